@@ -105,12 +105,19 @@ def special_orbit_tags(semi_major, ecc, incl, apogee, period) -> Column:
     return F.array_compact(F.array(*[F.when(c, lit(t)) for t, c in conditions.items()]))
 
 
-def regime_ladder(apogee, perigee, ecc, incl, tags) -> list[tuple[str, Column, Column]]:
+def at_critical_period(ecc, incl, period) -> Column:
+    """Frozen-apogee orbit of half or one sidereal day."""
+    return (F.abs(incl - K.CRITICAL_INCL_DEG) <= K.CRITICAL_TOLERANCE_DEG) & (ecc > 0.15) & (
+        _near_period(period, K.SIDEREAL_DAY_S / 2 / 60.0)
+        | _near_period(period, K.SIDEREAL_DAY_S / 60.0))
+
+
+def regime_ladder(apogee, perigee, ecc, incl, period) -> list[tuple[str, Column, Column]]:
     """(name, condition, reason) in ladder order; the last rule always holds."""
     geo = lit(K.GEO_ALTITUDE_KM)
-    frozen = F.array_contains(tags, "MOLNIYA") | F.array_contains(tags, "TUNDRA")
     eccentric = (ecc >= K.HEO_ECC_MIN) & (apogee > 20000)
-    transfer = (perigee < 2000) & (F.abs(apogee - geo) < 5000) & (incl < 30) & ~frozen
+    transfer = (perigee < 2000) & (F.abs(apogee - geo) < 5000) & (incl < 30) & (
+        ~at_critical_period(ecc, incl, period))
     fmt = F.format_string
     return [
         ("DECAYING", perigee < 150, fmt("perigee at %.0f km, strong drag", perigee)),

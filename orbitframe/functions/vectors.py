@@ -1,40 +1,34 @@
-"""Three-vectors as triples of columns."""
+"""SQL expressions over three-vectors stored as columns <name>x, <name>y, <name>z."""
 
-from pyspark.sql import Column, functions as F
+Vec = tuple[str, str, str]
 
-Vec = tuple[Column, Column, Column]
 
+def cols(prefix: str) -> Vec:
+    return tuple(f"{prefix}{axis}" for axis in "xyz")
 
-def cols(prefix: str, table: str | None = None) -> Vec:
-    """The columns ``<prefix>x, <prefix>y, <prefix>z``."""
-    dot = f"{table}." if table else ""
-    return tuple(F.col(f"{dot}{prefix}{axis}") for axis in "xyz")
 
+def named(vec: Vec, prefix: str) -> list[str]:
+    """``expr AS name`` for each component."""
+    return [f"{part} AS {prefix}{axis}" for axis, part in zip("xyz", vec)]
 
-def named(vec: Vec, prefix: str) -> dict[str, Column]:
-    """``withColumns`` mapping that stores a vector under a prefix."""
-    return {f"{prefix}{axis}": part for axis, part in zip("xyz", vec)}
 
-
-def dot(a: Vec, b: Vec) -> Column:
-    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+def dot(a: Vec, b: Vec) -> str:
+    return "(" + " + ".join(f"{p} * {q}" for p, q in zip(a, b)) + ")"
 
 
 def cross(a: Vec, b: Vec) -> Vec:
-    return (
-        a[1] * b[2] - a[2] * b[1],
-        a[2] * b[0] - a[0] * b[2],
-        a[0] * b[1] - a[1] * b[0],
-    )
+    return (f"({a[1]} * {b[2]} - {a[2]} * {b[1]})",
+            f"({a[2]} * {b[0]} - {a[0]} * {b[2]})",
+            f"({a[0]} * {b[1]} - {a[1]} * {b[0]})")
 
 
 def minus(a: Vec, b: Vec) -> Vec:
-    return tuple(p - q for p, q in zip(a, b))
+    return tuple(f"({p} - {q})" for p, q in zip(a, b))
 
 
-def scale(a: Vec, k: Column) -> Vec:
-    return tuple(p * k for p in a)
+def over(a: Vec, k: str) -> Vec:
+    return tuple(f"({p} / {k})" for p in a)
 
 
-def norm(a: Vec) -> Column:
-    return F.sqrt(dot(a, a))
+def norm(a: Vec) -> str:
+    return f"sqrt({dot(a, a)})"

@@ -42,8 +42,8 @@ def with_tempo(camps: DataFrame) -> DataFrame:
 
 def campaign_baseline(camps: DataFrame, min_campaigns: int = K.MIN_CAMPAIGNS) -> DataFrame:
     """Typical burn size and tempo of each object with enough campaigns."""
-    burn = robust_stats(camps, ["norad_id"], F.col("peak_dv_ms"))
-    tempo = robust_stats(with_tempo(camps), ["norad_id"], F.col("tempo_days"))
+    burn = robust_stats(camps, ["norad_id"], F.col("peak_dv_ms"), bounded=True)
+    tempo = robust_stats(with_tempo(camps), ["norad_id"], F.col("tempo_days"), bounded=True)
     return (
         burn.where(F.col("n") >= min_campaigns)
         .select("norad_id", F.col("n").alias("n_campaigns"),

@@ -34,23 +34,17 @@ def special_orbit_tags(df: DataFrame) -> DataFrame:
 
 def classify_regime(df: DataFrame) -> DataFrame:
     """Physics-based regime with tags, a label and the deciding reason."""
-    tagged = special_orbit_tags(df)
     rules = orbits.regime_ladder(F.col("apogee_km"), F.col("perigee_km"), F.col("ecc"),
-                                 F.col("incl_deg"), F.col("special_tags"))
-    choice = orbits.first_match(
-        [(cond, F.struct(F.lit(name).alias("name"), why.alias("why"))) for name, cond, why in rules])
+                                 F.col("incl_deg"), F.col("period_min"))
+    primary = orbits.first_match([(cond, F.lit(name)) for name, cond, _ in rules])
+    reason = orbits.first_match([(F.col("primary") == name, why) for name, _, why in rules])
     tags = F.array_join("special_tags", ", ")
-    return (
-        tagged.withColumn("_pick", choice)
-        .withColumns({
-            "primary": F.col("_pick.name"),
-            "label": F.when(F.size("special_tags") > 0, F.concat(
-                F.col("_pick.name"), F.lit(" ["), tags, F.lit("]"))).otherwise(F.col("_pick.name")),
-            "explanation": F.concat_ws("; ", F.col("_pick.why"), F.when(
-                F.size("special_tags") > 0,
-                F.format_string("inclination %.1f deg gives %s", F.col("incl_deg"), tags)))})
-        .drop("_pick")
-    )
+    tagged = F.size("special_tags") > 0
+    return special_orbit_tags(df).withColumn("primary", primary).withColumns({
+        "label": F.when(tagged, F.concat("primary", F.lit(" ["), tags, F.lit("]")))
+        .otherwise(F.col("primary")),
+        "explanation": F.concat_ws("; ", reason, F.when(tagged, F.format_string(
+            "inclination %.1f deg gives %s", F.col("incl_deg"), tags)))})
 
 
 def assess_disposal(classified: DataFrame) -> DataFrame:
@@ -58,8 +52,9 @@ def assess_disposal(classified: DataFrame) -> DataFrame:
     status = orbits.disposal_status(
         F.col("primary"), F.col("apogee_km"), F.col("perigee_km"), F.col("ecc"),
         F.col("incl_deg"), F.col("period_min"))
-    verdict = F.when(F.col("disposal_status") == "COMPLIANT_GRAVEYARD", True).when(
-        F.col("disposal_status").isin("NON_COMPLIANT_SHALLOW", "BELOW_GEO_DRIFT"), False)
+    verdict = orbits.first_match([
+        (F.col("disposal_status") == name, F.lit(ok))
+        for name, ok in orbits.DISPOSAL_COMPLIANT.items() if ok is not None])
     return (
         classified.withColumns({
             "disposal_status": status,
@@ -76,7 +71,9 @@ def disposal_scan(elements: DataFrame) -> DataFrame:
 
 def disposal_flagged(elements: DataFrame) -> DataFrame:
     """Non-compliant objects, deepest below the belt first."""
-    return assess_disposal(classify_regime(elements)).where(~F.col("compliant")).select(
+    broken = [name for name, ok in orbits.DISPOSAL_COMPLIANT.items() if ok is False]
+    assessed = assess_disposal(classify_regime(elements))
+    return assessed.where(F.col("disposal_status").isin(broken)).select(
         "norad_id", "disposal_status", "km_above_geo", "incl_deg").orderBy("km_above_geo")
 
 

@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame, functions as F
 
 from orbitframe import constants as K
-from orbitframe.functions import orbits, vectors as V
+from orbitframe.functions import orbits
 from orbitframe.operators.skew import neighbours, robust_stats
-from orbitframe.operators.trajectory import ELEMENTS, ric_relative, with_states
+from orbitframe.operators.trajectory import ELEMENTS, above_ground, ric_relative, with_states
 
 
 def consecutive_pairs(history: DataFrame, columns: list[str],
@@ -27,10 +27,8 @@ def pair_residuals(history: DataFrame, max_gap_days: float = K.MAX_GAP_DAYS) ->
     later set's own state there.
     """
     pairs = consecutive_pairs(history.select("norad_id", *ELEMENTS), ELEMENTS, max_gap_days)
-    states = with_states(pairs, F.col("epoch"), "", "a_")
-    states = with_states(states, F.col("epoch"), "prev.", "b_")
-    ok = (V.norm(V.cols("a_r")) >= K.R_EARTH_KM) & (V.norm(V.cols("b_r")) >= K.R_EARTH_KM)
-    rel = ric_relative(states.where(ok))
+    states = with_states(with_states(pairs, "epoch", "", "a_"), "epoch", "prev.", "b_")
+    rel = ric_relative(states.where(above_ground("a_") & above_ground("b_")))
     part = lambda axis: F.col(f"vel_{axis}") * F.lit(-1000.0)
     return rel.select(
         "norad_id", "epoch", "gap_days", (F.col("speed_kms") * 1000.0).alias("dv_ms"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from orbitframe import constants as K
 from orbitframe.functions import orbits, vectors as V
-from orbitframe.operators.trajectory import ELEMENTS, with_states
+from orbitframe.operators.trajectory import ELEMENTS, above_ground, with_states
 
 FACTORS = list(K.FACTOR_WEIGHTS)
 
@@ -73,8 +73,8 @@ def proximity_to_assets(objects: DataFrame, assets: DataFrame, as_of,
     """
     at = F.lit(as_of).cast("timestamp")
     fresh = F.abs(orbits.days_between(at, F.col("epoch"))) <= max_age_days
-    base = with_states(objects.select("norad_id", *ELEMENTS), F.col("epoch")).withColumn(
-        "_radius", V.norm(V.cols("r")))
+    base = with_states(objects.select("norad_id", *ELEMENTS), "epoch").withColumn(
+        "_radius", F.expr(V.norm(V.cols("r"))))
     base = base.withColumn("_ok", fresh & F.coalesce(
         F.col("_radius") >= K.R_EARTH_KM, F.lit(False)))
     own = base.where("_ok").select(
@@ -93,9 +93,9 @@ def proximity_to_assets(objects: DataFrame, assets: DataFrame, as_of,
         F.floor(F.col("_high") / shell_km).cast("long"))))
     pool = pool.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = own.join(pool, ["shell", "salt"]).where(F.col("norad_id") != F.col("asset_id"))
-    met = with_states(met, F.col("t"), "el_", "h_")
-    gap = V.norm(V.minus(V.cols("r"), V.cols("h_r")))
-    usable = (F.col("_gap") >= K.SAME_STRUCTURE_KM) & (V.norm(V.cols("h_r")) >= K.R_EARTH_KM)
+    met = with_states(met, "t", "el_", "h_")
+    gap = F.expr(V.norm(V.minus(V.cols("r"), V.cols("h_r"))))
+    usable = (F.col("_gap") >= K.SAME_STRUCTURE_KM) & above_ground("h_")
     reduced = met.withColumn("_gap", gap).withColumn(
         "_usable", F.coalesce(usable, F.lit(False))).groupBy("norad_id").agg(
         F.min(F.when(F.col("_usable"), F.struct("_gap", "asset_id", "asset_name"))).alias("_m"),

@@ -64,70 +64,85 @@ def running_sum(df: DataFrame, keys: list[str], slice_col: str, order: list,
     )
 
 
-def _value_bin(value: Column) -> Column:
-    """Non-decreasing integer function of a double, about 4096 steps per octave."""
-    return (F.signum(value) * F.floor(
-        F.log2(F.lit(1.0) + F.abs(value) * F.lit(1048576.0)) * 4096)).cast("long")
+def _key_list(keys: list[str]) -> str:
+    return ", ".join(f"`{k}`" for k in keys)
 
 
-def _middle(array: Column) -> Column:
-    n = F.size(array)
-    low = F.get(array, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(array, F.floor(n / 2).cast("int"))
-    return (low + high) / 2
+def _counted_median(source: str, name: str, keys: list[str]) -> str:
+    """CTEs ``<name>``: median per key of ``source`` (keys, v, n) by counting.
 
-
-def _counted_median(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Median per key of rows (keys, _v, _n) by rank counting over value bins."""
-    low, high = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
-    binned = rows.withColumn("_bin", _value_bin(F.col("_v")))
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(
-        Window.unboundedPreceding, -1)
-    target = (
-        binned.groupBy(*keys, "_n", "_bin").agg(F.count("*").alias("_c"))
-        .withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-        .where((F.col("_before") <= high) & (F.col("_before") + F.col("_c") > low))
-        .select(*keys, "_bin", "_before")
-    )
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, -1)
-    # at most two bins per hot key survive, see HOT_ROWS for the bound
-    ranked = (
-        binned.join(F.broadcast(target), [*keys, "_bin"])
-        .groupBy(*keys, "_n", "_bin", "_before", "_v").agg(F.count("*").alias("_c"))
-        .withColumn("_rank", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    Values fall into ordered bins (about 4096 per octave). Bin counts locate
+    the one or two bins that hold the middle ranks; only their values are then
+    ranked, one row per distinct value.
+    """
+    k = _key_list(keys)
+    return f"""
+    {name}_binned AS (SELECT {k}, n, v,
+        CAST(signum(v) * floor(log2(1D + abs(v) * 1048576D) * 4096) AS BIGINT) AS bin
+      FROM {source}),
+    {name}_bins AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY {k} ORDER BY bin
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM (SELECT {k}, n, bin, count(*) AS c FROM {name}_binned GROUP BY {k}, n, bin)),
+    {name}_middle AS (SELECT {k}, bin, before FROM {name}_bins
+      WHERE before <= n div 2 AND before + c > (n - 1) div 2),
+    {name}_values AS (SELECT /*+ BROADCAST({name}_middle) */ {k}, n, bin, before, v, count(*) AS c
+      FROM {name}_binned JOIN {name}_middle USING ({k}, bin) GROUP BY {k}, n, bin, before, v),
+    {name}_ranks AS (SELECT *, before + coalesce(sum(c) OVER (PARTITION BY {k}, bin ORDER BY v
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM {name}_values),
+    {name} AS (SELECT {k}, n,
+        (max(CASE WHEN r <= (n - 1) div 2 AND r + c > (n - 1) div 2 THEN v END)
+         + max(CASE WHEN r <= n div 2 AND r + c > n div 2 THEN v END)) / 2 AS median
+      FROM {name}_ranks GROUP BY {k}, n)"""
+
+
+def _middle(array: str) -> str:
+    return f"({array}[(size({array}) - 1) div 2] + {array}[size({array}) div 2]) / 2"
+
+
+def _gathered_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Median and MAD from one sorted array per key; one shuffle for both."""
+    return (
+        rows.groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("_vs"))
+        .selectExpr(*keys, "_vs", f"{_middle('_vs')} AS median")
+        .selectExpr(*keys, "CAST(size(_vs) AS BIGINT) AS n", "median",
+                    "array_sort(transform(_vs, x -> abs(x - median))) AS _ds")
+        .selectExpr(*keys, "n", "median", f"{_middle('_ds')} AS mad")
     )
-    holds = lambda p: (F.col("_rank") <= p) & (F.col("_rank") + F.col("_c") > p)
-    return ranked.groupBy(*keys, "_n").agg(
-        ((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2)
-        .alias("median"))
+
+
+def _counted_stats(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """Median and MAD of the keys in ``hot`` without gathering their values.
+
+    ``hot`` holds at most total/hot_rows keys (two million for 2e12 rows), and
+    each has one or two middle bins: that bound is what allows broadcasts.
+    """
+    k = _key_list(keys)
+    return rows.sparkSession.sql(f"""
+    WITH large AS (SELECT /*+ BROADCAST({{hot}}) */ * FROM {{rows}} JOIN {{hot}} USING ({k})),
+    {_counted_median('large', 'centre', keys)},
+    spread_rows AS (SELECT /*+ BROADCAST(centre) */ {k}, l.n, abs(v - median) AS v
+      FROM large l JOIN centre USING ({k})),
+    {_counted_median('spread_rows', 'spread', keys)}
+    SELECT {k}, centre.n, centre.median, spread.median AS mad
+    FROM centre JOIN spread USING ({k})
+    """.replace("BROADCAST({hot})", "BROADCAST(hot)"), rows=rows, hot=hot)
 
 
 def robust_stats(df: DataFrame, keys: list[str], value: Column,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+                 hot_rows: int = HOT_ROWS, bounded: bool = False) -> DataFrame:
     """(keys, n, median, mad) with exact medians.
 
-    Keys of up to ``hot_rows`` values are sorted in one bounded array. The list
-    of larger keys holds at most total/hot_rows entries (two million for 2e12
-    rows), which is what makes broadcasting it safe; it is usually empty and
-    then drops out of the plan at run time.
+    Keys of up to ``hot_rows`` values are sorted in one array each. Whether a
+    larger key exists is measured by one counting job when the operator is
+    called; only then the counting plan for those keys is added. ``bounded``
+    says that the caller knows a bound on the values per key and skips the
+    measurement.
     """
-    rows = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-    deviation = F.array_sort(F.transform("_values", lambda x: F.abs(x - F.col("median"))))
-    cold = (
-        rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-        .groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_values"))
-        .withColumn("median", _middle(F.col("_values")))
-        .withColumn("_dev", deviation)
-        .select(*keys, F.size("_values").cast("long").alias("n"), "median",
-                _middle(F.col("_dev")).alias("mad"))
-    )
-    hot_values = rows.join(F.broadcast(hot), keys)
-    centre = _counted_median(hot_values, keys)
-    spread = _counted_median(
-        hot_values.join(F.broadcast(centre.drop("_n")), keys)
-        .withColumn("_v", F.abs(F.col("_v") - F.col("median"))).drop("median"), keys)
-    hot_part = centre.join(spread.select(*keys, F.col("median").alias("mad")), keys).select(
-        *keys, F.col("_n").alias("n"), "median", "mad")
-    return cold.unionByName(hot_part)
+    rows = df.select(*keys, value.cast("double").alias("v")).where(F.col("v").isNotNull())
+    if bounded:
+        return _gathered_stats(rows, keys)
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
+    if hot.isEmpty():
+        return _gathered_stats(rows, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return _gathered_stats(cold, keys).unionByName(_counted_stats(rows, hot, keys))

@@ -16,63 +16,68 @@ from orbitframe.operators.skew import DAY_US, neighbours, slice_of
 ELEMENTS = ["epoch", "incl_deg", "raan_deg", "ecc", "argp_deg", "mean_anom_deg", "revs_per_day"]
 
 
-def _kepler(mean: Column, ecc: Column) -> Column:
-    """Eccentric anomaly by eight Newton steps."""
-    step = lambda e, _: e - (e - ecc * F.sin(e) - mean) / (F.lit(1.0) - ecc * F.cos(e))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), mean + ecc * F.sin(mean), step)
+_NEWTON_STEPS = 6
 
 
-def with_states(df: DataFrame, at: Column, elements: str = "", out: str = "") -> DataFrame:
-    """Add position (km) and velocity (km/s) columns at time ``at``.
+def with_states(df: DataFrame, at: str, elements: str = "", out: str = "") -> DataFrame:
+    """Add position (km) and velocity (km/s) columns at the time column ``at``.
 
     ``elements`` prefixes the element columns (``"a."`` reads a struct);
     outputs are ``<out>rx .. <out>vz``. Invalid elements give NULL.
+
+    Every step is a projection of its own: each Newton step reads the previous
+    value three times, which Spark keeps as one local variable of the generated
+    code.
     """
-    el = lambda name: F.col(f"{elements}{name}")
-    t = "_s_"
-    c = lambda name: F.col(t + name)
-    df = df.withColumns({
-        t + "n": orbits.mean_motion_rad_s(el("revs_per_day")),
-        t + "e": F.when((el("ecc") >= 0) & (el("ecc") < 1) & (el("revs_per_day") > 0), el("ecc")),
-        t + "i": F.radians(el("incl_deg")),
-        t + "dt": (F.unix_micros(at) - F.unix_micros(el("epoch"))) / F.lit(1e6),
-    })
-    df = df.withColumn(t + "a", orbits.semi_major_km(c("n")))
-    df = df.withColumn(t + "p", c("a") * (1 - c("e") * c("e")))
-    df = df.withColumn(t + "k", F.lit(1.5 * K.J2 * K.R_EARTH_KM ** 2) * c("n") / (c("p") * c("p")))
-    df = df.withColumns({
-        t + "node": F.radians(el("raan_deg")) - c("k") * F.cos(c("i")) * c("dt"),
-        t + "peri": F.radians(el("argp_deg"))
-        + c("k") * (2.0 - 2.5 * F.sin(c("i")) * F.sin(c("i"))) * c("dt"),
-        t + "m": F.pmod(F.radians(el("mean_anom_deg")) + c("n") * c("dt"),
-                        F.lit(orbits.TWO_PI)),
-    })
-    df = df.withColumn(t + "E", _kepler(c("m"), c("e")))
-    df = df.withColumns({
-        t + "cE": F.cos(c("E")), t + "sE": F.sin(c("E")),
-        t + "b": F.sqrt(1 - c("e") * c("e")),
-        t + "cn": F.cos(c("node")), t + "sn": F.sin(c("node")),
-        t + "cw": F.cos(c("peri")), t + "sw": F.sin(c("peri")),
-        t + "ci": F.cos(c("i")), t + "si": F.sin(c("i")),
-    })
-    df = df.withColumns({
-        t + "x": c("a") * (c("cE") - c("e")),
-        t + "y": c("a") * c("b") * c("sE"),
-        t + "rate": c("n") * c("a") / (1 - c("e") * c("cE")),
-        # perifocal unit vectors in the inertial frame
-        t + "Px": c("cn") * c("cw") - c("sn") * c("sw") * c("ci"),
-        t + "Py": c("sn") * c("cw") + c("cn") * c("sw") * c("ci"),
-        t + "Pz": c("sw") * c("si"),
-        t + "Qx": -c("cn") * c("sw") - c("sn") * c("cw") * c("ci"),
-        t + "Qy": -c("sn") * c("sw") + c("cn") * c("cw") * c("ci"),
-        t + "Qz": c("cw") * c("si"),
-    })
-    p, q = V.cols(t + "P"), V.cols(t + "Q")
-    vx, vy = -c("rate") * c("sE"), c("rate") * c("b") * c("cE")
-    position = tuple(c("x") * i + c("y") * j for i, j in zip(p, q))
-    velocity = tuple(vx * i + vy * j for i, j in zip(p, q))
-    df = df.withColumns({**V.named(position, out + "r"), **V.named(velocity, out + "v")})
-    return df.drop(*[name for name in df.columns if name.startswith(t)])
+    kept = [f"`{name}`" for name in df.columns]
+    el = lambda name: f"{elements}{name}"
+    two_pi, ready = orbits.TWO_PI, f"{el('ecc')} >= 0 AND {el('ecc')} < 1 AND {el('revs_per_day')} > 0"
+    steps = [
+        [f"{el('revs_per_day')} * {two_pi!r}D / 86400D AS _s_n",
+         f"CASE WHEN {ready} THEN {el('ecc')} END AS _s_e",
+         f"radians({el('incl_deg')}) AS _s_i",
+         f"(unix_micros({at}) - unix_micros({el('epoch')})) / 1000000D AS _s_dt"],
+        [f"pow({K.MU_KM3_S2!r}D / (_s_n * _s_n), 1D / 3D) AS _s_a"],
+        ["_s_a * (1D - _s_e * _s_e) AS _s_p", "sqrt(1D - _s_e * _s_e) AS _s_b",
+         "cos(_s_i) AS _s_ci", "sin(_s_i) AS _s_si"],
+        [f"(1.5D * {K.J2!r}D * pow({K.R_EARTH_KM!r}D, 2D)) * _s_n / (_s_p * _s_p) AS _s_k"],
+        [f"radians({el('raan_deg')}) - _s_k * _s_ci * _s_dt AS _s_node",
+         f"radians({el('argp_deg')}) + _s_k * (2D - 2.5D * _s_si * _s_si) * _s_dt AS _s_peri",
+         f"pmod(radians({el('mean_anom_deg')}) + _s_n * _s_dt, {two_pi!r}D) AS _s_m"],
+        ["_s_m + _s_e * sin(_s_m) AS _s_k0", "cos(_s_node) AS _s_cn", "sin(_s_node) AS _s_sn",
+         "cos(_s_peri) AS _s_cw", "sin(_s_peri) AS _s_sw"],
+    ]
+    for i in range(_NEWTON_STEPS):
+        e = f"_s_k{i}"
+        steps.append([f"{e} - ({e} - _s_e * sin({e}) - _s_m) / (1D - _s_e * cos({e})) "
+                      f"AS _s_k{i + 1}"])
+    anomaly = f"_s_k{_NEWTON_STEPS}"
+    steps.append([f"cos({anomaly}) AS _s_ca", f"sin({anomaly}) AS _s_sa"])
+    steps.append([
+        "_s_a * (_s_ca - _s_e) AS _s_x", "_s_a * _s_b * _s_sa AS _s_y",
+        "_s_n * _s_a / (1D - _s_e * _s_ca) AS _s_rate",
+        # unit vectors to perigee and along the motion there
+        "_s_cn * _s_cw - _s_sn * _s_sw * _s_ci AS _s_ux",
+        "_s_sn * _s_cw + _s_cn * _s_sw * _s_ci AS _s_uy", "_s_sw * _s_si AS _s_uz",
+        "-_s_cn * _s_sw - _s_sn * _s_cw * _s_ci AS _s_wx",
+        "-_s_sn * _s_sw + _s_cn * _s_cw * _s_ci AS _s_wy", "_s_cw * _s_si AS _s_wz"])
+    for step in steps:
+        df = df.selectExpr("*", *step)
+    state = {}
+    for axis in "xyz":
+        state[f"{out}r{axis}"] = f"_s_x * _s_u{axis} + _s_y * _s_w{axis}"
+    for axis in "xyz":
+        state[f"{out}v{axis}"] = (
+            f"-_s_rate * _s_sa * _s_u{axis} + _s_rate * _s_b * _s_ca * _s_w{axis}")
+    fields = ", ".join(f"{value} AS {name}" for name, value in state.items())
+    # inline() keeps later filters from being pushed through, and copied over,
+    # the whole chain of expressions above
+    return df.selectExpr(*kept, f"inline(array(struct({fields})))")
+
+
+def above_ground(prefix: str = "") -> Column:
+    """True where the state under ``prefix`` lies outside the Earth."""
+    return F.expr(f"{V.norm(V.cols(prefix + 'r'))} >= {K.R_EARTH_KM!r}")
 
 
 def propagate_at(elements: DataFrame, at: Column) -> DataFrame:
@@ -80,8 +85,8 @@ def propagate_at(elements: DataFrame, at: Column) -> DataFrame:
 
     Objects with invalid elements, or inside the Earth at that time, drop out.
     """
-    states = with_states(elements.withColumn("t", at), F.col("t"))
-    return states.where(V.norm(V.cols("r")) >= K.R_EARTH_KM).select(
+    states = with_states(elements.withColumn("t", at), "t")
+    return states.where(above_ground()).select(
         "norad_id", "t", "rx", "ry", "rz", "vx", "vy", "vz")
 
 
@@ -172,35 +177,32 @@ def aligned_pairs(pairs: DataFrame, history: DataFrame,
     grid = pair_grid(pairs.select("actor", "target"), slim, step_hours * 3600.0)
     grid = nearest_epoch_join(grid, slim, "actor", "t", "a", "inner", max_gap_days)
     grid = nearest_epoch_join(grid, slim, "target", "t", "b", "inner", max_gap_days)
-    states = with_states(grid, F.col("t"), "a.", "a_")
-    states = with_states(states, F.col("t"), "b.", "b_")
-    outside = (V.norm(V.cols("a_r")) >= K.R_EARTH_KM) & (V.norm(V.cols("b_r")) >= K.R_EARTH_KM)
-    return states.where(outside).drop("a", "b")
+    states = with_states(with_states(grid, "t", "a.", "a_"), "t", "b.", "b_")
+    return states.where(above_ground("a_") & above_ground("b_")).drop("a", "b")
 
 
 def ric_relative(df: DataFrame, ref: str = "a_", other: str = "b_") -> DataFrame:
     """Motion of ``other`` in the rotating radial / in-track / cross-track
     frame of ``ref``: rho_r/i/c (km), vel_r/i/c (km/s), range_km, speed_kms."""
+    kept = [f"`{name}`" for name in df.columns]
     r, v = V.cols(ref + "r"), V.cols(ref + "v")
-    df = df.withColumns({**V.named(V.cross(r, v), "_h"), "_r": V.norm(r)})
-    h = V.cols("_h")
-    df = df.withColumn("_hn", V.norm(h))
-    inv_r, inv_h = 1 / F.col("_r"), 1 / F.col("_hn")
-    df = df.withColumns({
-        **V.named(V.scale(r, inv_r), "_R"), **V.named(V.scale(h, inv_h), "_C"),
-        **V.named(V.minus(V.cols(other + "r"), r), "_d"),
-        **V.named(V.scale(h, inv_r * inv_r), "_w")})
-    big_r, big_c, d, w = (V.cols(p) for p in ("_R", "_C", "_d", "_w"))
-    df = df.withColumns({
-        **V.named(V.cross(big_c, big_r), "_I"),
-        **V.named(V.minus(V.minus(V.cols(other + "v"), v), V.cross(w, d)), "_u")})
-    big_i, u = V.cols("_I"), V.cols("_u")
-    df = df.withColumns({
-        "rho_r": V.dot(big_r, d), "rho_i": V.dot(big_i, d), "rho_c": V.dot(big_c, d),
-        "vel_r": V.dot(big_r, u), "vel_i": V.dot(big_i, u), "vel_c": V.dot(big_c, u),
-        "range_km": V.norm(d), "speed_kms": V.norm(u)})
-    temps = ["_r", "_hn"] + [f"_{p}{x}" for p in "hRCIdwu" for x in "xyz"]
-    return df.drop(*temps)
+    h, d, w, u = (V.cols(f"_{name}") for name in "hdwu")
+    radial, along, normal = V.cols("_er"), V.cols("_ei"), V.cols("_ec")
+    steps = [
+        [*V.named(V.cross(r, v), "_h"), *V.named(V.minus(V.cols(other + "r"), r), "_d"),
+         f"{V.norm(r)} AS _rn"],
+        [*V.named(V.over(h, "(_rn * _rn)"), "_w"), *V.named(V.over(r, "_rn"), "_er"),
+         *V.named(V.over(h, V.norm(h)), "_ec")],
+        [*V.named(V.cross(normal, radial), "_ei"),
+         *V.named(V.minus(V.minus(V.cols(other + "v"), v), V.cross(w, d)), "_u")],
+    ]
+    for step in steps:
+        df = df.selectExpr("*", *step)
+    axes = {"r": radial, "i": along, "c": normal}
+    return df.selectExpr(
+        *kept, *[f"{V.dot(axis, d)} AS rho_{k}" for k, axis in axes.items()],
+        *[f"{V.dot(axis, u)} AS vel_{k}" for k, axis in axes.items()],
+        f"{V.norm(d)} AS range_km", f"{V.norm(u)} AS speed_kms")
 
 
 def pair_samples(aligned: DataFrame) -> DataFrame:

@@ -206,6 +206,37 @@ VIEWS = {
           CASE WHEN norad_id % 10 < 3 THEN CAST((norad_id * 7) % 200 AS DOUBLE) END
             AS days_to_reentry, 0.5e0 AS decay_rate
         FROM @elements""",
+    "scores": """
+        SELECT norad_id, (norad_id % 97) / 97e0 AS score FROM @shapes WHERE norad_id % 3 <> 0""",
+    "history": """
+        SELECT norad_id, at_utc AS epoch_utc,
+          incl_deg + 0.0001e0 * (seq % 5) + CASE WHEN seq % 37 = 0 THEN 0.06e0 ELSE 0e0 END
+            AS incl_deg,
+          raan_deg + degrees(-k * cos(radians(incl_deg))) * dt AS raan_deg, ecc,
+          argp_deg + degrees(k * (2e0 - 2.5e0 * sin(radians(incl_deg)) * sin(radians(incl_deg))))
+            * dt AS argp_deg,
+          mean_anom_deg + (360e0 * revs_per_day * dt / 86400e0) % 360e0 AS mean_anom_deg,
+          revs_per_day * (1e0 + ((seq % 11) - 5) * 1e-7) AS revs_per_day,
+          CASE WHEN norad_id % 3 = 0 THEN 'live' ELSE 'archive' END AS source,
+          'set' AS line1
+        FROM (SELECT e.*, h.epoch_utc AS at_utc, h.seq,
+                (h.epoch_utc - 1704067200000) / 1000e0 AS dt,
+                1.5e0 * 1.08262668e-3 * 6378.137e0 * 6378.137e0 * revs_per_day
+                  * 6.283185307179586e0 / 86400e0 / (semi_major_km * (1e0 - ecc * ecc)
+                  * semi_major_km * (1e0 - ecc * ecc)) AS k
+              FROM @elements e JOIN (
+                SELECT l_partkey, 1704067200000 + CAST(floor(
+                    (@ms(l_shipdate) - 788918400000) / 100e0) AS BIGINT) AS epoch_utc,
+                  min(l_orderkey) AS seq
+                FROM @lineitem GROUP BY l_partkey, 1704067200000 + CAST(floor(
+                    (@ms(l_shipdate) - 788918400000) / 100e0) AS BIGINT)
+              ) h ON h.l_partkey = e.norad_id) q""",
+    "neighbour_pairs": """
+        SELECT actor, target FROM (
+          SELECT p_partkey AS actor, lead(p_partkey) OVER (
+            PARTITION BY p_size, p_partkey % 5 ORDER BY p_partkey) AS target
+          FROM @part) q
+        WHERE target IS NOT NULL""",
     "watch_list": """
         SELECT c_custkey AS norad_id, 1704067200000 + c_custkey AS added_at_utc, c_name AS note
         FROM @customer WHERE c_nationkey < 12""",
@@ -216,7 +247,7 @@ VIEWS = {
         FROM @orders""",
 }
 
-_MS = {"spark": r"unix_millis(CAST(\1 AS TIMESTAMP))", "sql": r"epoch_ms(\1)"}
+_MS = {"spark": r"unix_millis(CAST(\1 AS TIMESTAMP))", "sql": r"(epoch_us(\1) // 1000)"}
 _EACH = {"spark": r"explode(array(\1))", "sql": r"unnest([\1])"}
 
 
@@ -246,7 +277,7 @@ def oracle(names: list[str], body: str) -> str:
     """SQL text for the oracle: the views as CTEs, then ``body``."""
     ctes = [f"{n} AS ({re.sub('@', '', _render(VIEWS[n], 'sql'))})" for n in _needed(names)]
     body = body.strip()
-    if body.upper().startswith("WITH "):
+    if re.match(r"WITH\s", body):
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
@@ -257,21 +288,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame with timestamp columns."""
-    names = _needed([name])
     used: set[str] = set()
 
-    def mark(match):
-        if match.group(1) in VIEWS:
-            return match.group(1)
-        used.add(match.group(1))
-        return "{" + match.group(1) + "}"
+    def expand(match):
+        word = match.group(1)
+        if word in VIEWS:
+            return f"({text_of(word)})"
+        used.add(word)
+        return "{" + word + "}"
 
-    ctes = []
-    for n in names:
-        text = _render(VIEWS[n], "spark").replace("{", "{{").replace("}", "}}")
-        ctes.append(f"{n} AS ({re.sub(r'@(\w+)', mark, text)})")
-    sql = "WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}"
-    df = spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
+    def text_of(view_name: str) -> str:
+        text = _render(VIEWS[view_name], "spark").replace("{", "{{").replace("}", "}}")
+        return re.sub(r"@(\w+)", expand, text)
+
+    text = text_of(name)
+    df = spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
     return df.select(*[
         F.timestamp_millis(c).alias(c[:-4]) if c.endswith("_utc") else F.col(c)
         for c in df.columns])

@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, functions as F, types as T
 
 
-def plain(df: DataFrame, *columns: str) -> DataFrame:
-    """Timestamps to epoch milliseconds, doubles to six decimals, dates,
+def plain(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Timestamps to epoch milliseconds, doubles to ``digits`` decimals, dates,
     booleans and string arrays to text."""
     out = []
     for field in df.schema.fields:
@@ -15,7 +15,7 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
             c = F.unix_millis(c.cast("timestamp"))
         elif isinstance(kind, (T.DoubleType, T.FloatType)):
-            c = F.round(c, 6) + F.lit(0.0)
+            c = F.round(c, digits) + F.lit(0.0)
         elif isinstance(kind, (T.BooleanType, T.DateType)):
             c = c.cast("string")
         elif isinstance(kind, T.ArrayType):
@@ -26,6 +26,6 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*out)
 
 
-def r6(expression: str) -> str:
-    """The same rounding in SQL."""
-    return f"round({expression}, 6) + 0.0"
+def r6(expression: str, name: str = "", digits: int = 6) -> str:
+    """The same rounding in SQL, named after the column by default."""
+    return f"round({expression}, {digits}) + 0.0 AS {name or expression}"
