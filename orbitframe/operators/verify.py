@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from orbitframe import constants as K
 
+# (?U): digits, white space and word borders as Unicode defines them
+_UNICODE = "(?U)"
 _UNSIGNED = r"\d+\.?\d*"
 _SIGNED = r"-?\d+\.?\d*"
 
@@ -160,16 +162,16 @@ def fact_pools(facts: DataFrame, names: DataFrame | None = None) -> DataFrame:
 # ---------------------------------------------------------------- texts
 def split_sentences(texts: DataFrame) -> DataFrame:
     """(report_id, seq, sentence): cut after . ! ? followed by white space."""
-    parts = F.split(F.trim("text"), r"(?<=[.!?])\s+")
+    parts = F.split(F.trim("text"), _UNICODE + r"(?<=[.!?])\s+")
     return texts.select("report_id", F.posexplode(parts).alias("seq", "sentence")).select(
-        "report_id", "seq", F.regexp_replace("sentence", r"^\s+|\s+$", "").alias("sentence")
+        "report_id", "seq", F.regexp_replace("sentence", _UNICODE + r"^\s+|\s+$", "").alias("sentence")
     ).where(F.col("sentence") != "")
 
 
 def number_strings(sentence: Column) -> Column:
     """Numbers of a sentence with identifiers and clock times masked out."""
-    masked = F.regexp_replace(sentence, K.IDENTIFIER_PATTERN, " ")
-    masked = F.regexp_replace(masked, K.CLOCK_PATTERN, " ")
+    masked = F.regexp_replace(sentence, _UNICODE + K.IDENTIFIER_PATTERN, " ")
+    masked = F.regexp_replace(masked, _UNICODE + K.CLOCK_PATTERN, " ")
     return F.regexp_extract_all(masked, F.lit(K.NUMBER_PATTERN), 0)
 
 
@@ -182,10 +184,13 @@ def numbers_in(sentences: DataFrame) -> DataFrame:
 
 
 def _cell(value: Column) -> Column:
-    """Non-decreasing integer cell: steps of 0.05 near zero, of 2 % beyond."""
+    """Non-decreasing integer cell: steps of 0.05 near zero, of 2 % beyond.
+
+    Infinite values (numerals too large for a double) share the last cell.
+    """
     size = F.abs(value)
     steps = F.when(size <= 2.5, F.floor(size / 0.05)).otherwise(
-        F.lit(50) + F.floor(F.log(size / 2.5) / 0.02))
+        F.lit(50) + F.floor(F.least(F.log(size / 2.5) / 0.02, F.lit(1e6))))
     return (F.signum(value) * steps).cast("long")
 
 

@@ -105,7 +105,8 @@ VIEWS = {
         FROM @lineitem""",
     "assets": "SELECT p_partkey AS norad_id, p_name AS name FROM @part WHERE p_size <= 10",
     "snapshots": """
-        SELECT DISTINCT @ms(date_trunc('month', o_orderdate)) AS snapshot_at_utc,
+        SELECT DISTINCT @ms(date_trunc('month', o_orderdate + INTERVAL '15' DAY))
+            AS snapshot_at_utc,
           o_custkey AS norad_id
         FROM @orders""",
     "states": """
@@ -252,7 +253,7 @@ _EACH = {"spark": r"explode(array(\1))", "sql": r"unnest([\1])"}
 
 
 def _render(text: str, dialect: str) -> str:
-    # one level of nested brackets is enough for the views above
+    # nested brackets one deep are enough for the views above
     text = re.sub(r"@each\(([^()]*)\)", _EACH[dialect], text)
     return re.sub(r"@ms\(((?:[^()]|\([^()]*\))*)\)", _MS[dialect], text)
 
