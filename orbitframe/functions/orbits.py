@@ -198,7 +198,8 @@ def hard_body_radius_km(rcs_m2) -> Column:
 def modelled_sigma_km(age_days, axis: str) -> Column:
     """Modelled position sigma along one of the axes r, i, c."""
     start, growth = K.SIGMA_MODEL[axis]
-    return lit(start) + lit(growth) * F.greatest(age_days, lit(0.0))
+    grown = F.when(age_days > 0, age_days).when(age_days.isNotNull(), 0.0)
+    return lit(start) + lit(growth) * grown
 
 
 def format_range(km) -> Column:
@@ -210,7 +211,9 @@ def plane_angle_deg(incl_a, raan_a, incl_b, raan_b) -> Column:
     """Angle between two orbital planes."""
     ia, ib = F.radians(incl_a), F.radians(incl_b)
     cosine = F.cos(ia) * F.cos(ib) + F.sin(ia) * F.sin(ib) * F.cos(F.radians(raan_a - raan_b))
-    return F.degrees(F.acos(F.greatest(lit(-1.0), F.least(lit(1.0), cosine))))
+    # least and greatest skip NULL, so an unknown angle needs its own branch
+    return F.when(cosine.isNotNull(), F.degrees(F.acos(
+        F.greatest(lit(-1.0), F.least(lit(1.0), cosine)))))
 
 
 def days_between(later, earlier) -> Column:

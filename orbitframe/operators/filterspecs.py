@@ -50,8 +50,8 @@ def parse_filter_specs(requests: DataFrame) -> DataFrame:
         number("min_inclination").alias("min_inclination"),
         number("max_inclination").alias("max_inclination"),
         _one_of(F.lower(field("sort")), SORTS).alias("sort"),
-        F.coalesce(F.greatest(F.lit(1), F.least(F.lit(K.SPEC_MAX_LIMIT), limit)),
-                   F.lit(K.SPEC_DEFAULT_LIMIT)).cast("int").alias("limit"))
+        F.greatest(F.lit(1), F.least(F.lit(K.SPEC_MAX_LIMIT), F.coalesce(
+            limit, F.lit(K.SPEC_DEFAULT_LIMIT)))).cast("int").alias("limit"))
 
 
 def _key(*parts: Column) -> Column:

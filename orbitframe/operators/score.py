@@ -26,8 +26,8 @@ def maneuver_activity(floors: DataFrame, events: DataFrame) -> DataFrame:
     """
     peak = events.groupBy("norad_id").agg(F.max("dv_ms").alias("_peak"))
     return floors.select("norad_id").join(peak, "norad_id", "left").select(
-        "norad_id", F.coalesce(F.least(F.lit(1.0), F.col("_peak") / K.ACTIVITY_SATURATION_MS),
-                               F.lit(0.0)).alias("maneuver_activity"))
+        "norad_id", F.least(F.lit(1.0), F.coalesce("_peak", F.lit(0.0))
+                            / K.ACTIVITY_SATURATION_MS).alias("maneuver_activity"))
 
 
 def _lookup(table: dict[str, float], key: Column, default: float) -> Column:

@@ -202,7 +202,7 @@ QUERIES = {
         lambda s, d: plain(score.maneuver_activity(
             maneuver.noise_floor(_residuals(s, d)), _flagged(s, d, 8.0))),
         oracle(["residuals"], f"""WITH {flagged(8.0)}
-            SELECT f.norad_id, round(coalesce(least(1.0, max(e.dv_ms) / 20.0), 0), 6) + 0.0
+            SELECT f.norad_id, round(least(1.0, coalesce(max(e.dv_ms), 0) / 20.0), 6) + 0.0
               AS maneuver_activity
             FROM floors f LEFT JOIN flagged e USING (norad_id) GROUP BY 1""")),
     "perigee_trend": Query(

@@ -58,7 +58,7 @@ specs_text AS (SELECT request_id, text, ok, upper(json_extract_string(j, '$.regi
     try_cast(json_extract_string(j, '$.min_inclination') AS DOUBLE) AS min_inclination,
     try_cast(json_extract_string(j, '$.max_inclination') AS DOUBLE) AS max_inclination,
     lower(json_extract_string(j, '$.sort')) AS sort,
-    coalesce(greatest(1, least(200, try_cast(json_extract_string(j, '$.limit') AS BIGINT))), 50)
+    greatest(1, least(200, coalesce(try_cast(json_extract_string(j, '$.limit') AS BIGINT), 50)))
       AS "limit" FROM specs_json),
 specs AS (SELECT request_id, ok AS parsed,
     CASE WHEN regime IN ('LEO', 'MEO', 'GEO', 'HEO', 'GRAVEYARD') THEN regime END AS regime,

@@ -103,14 +103,17 @@ def save_cycle(tables: dict[str, DataFrame], root: str) -> None:
     """Persist a watch cycle as one partition per table.
 
     Dynamic partition overwrite makes a repeated save of the same cycle
-    idempotent; the previous cycle's states stay untouched.
+    idempotent. The tables must be derived from earlier cycles only, see
+    ``before`` in :func:`load_states`.
     """
-    for name in ("states", "findings", "cycle"):
+    for name in ("findings", "cycle", "states"):
         tables[name].write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("cycle_id").parquet(f"{root}/{name}")
 
 
-def load_states(spark: SparkSession, root: str) -> DataFrame:
-    """States as of the newest saved cycle."""
+def load_states(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """States as of the newest saved cycle, or the newest one before ``before``."""
     states = spark.read.parquet(f"{root}/states")
+    if before is not None:
+        states = states.where(F.col("cycle_id") < before)
     return states.where(F.col("cycle_id") == states.agg(F.max("cycle_id")).scalar())
