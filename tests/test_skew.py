@@ -76,8 +76,9 @@ def test_overlap_join_equals_brute_force(spark, budget):
         length = rng.choice([0.0, 1.0, 100.0, 900.0, 40000.0, 250000.0])
         rows.append((i, low, low + length))
     df = spark.createDataFrame(rows, ["id", "lo", "hi"])
-    got = overlap_self_join(df, "id", "lo", "hi", [], 100.0, pairs_per_task=budget)
-    pairs = [tuple(sorted((r["a"]["id"], r["b"]["id"]))) for r in got.collect()]
+    got = overlap_self_join(df, "id", "lo", "hi", [], 100.0, pairs_per_task=budget,
+                            starts_per_task=budget)
+    pairs = [tuple(sorted((r["a_id"], r["b_id"]))) for r in got.collect()]
     want = {(a[0], b[0]) for a in rows for b in rows
             if a[0] < b[0] and a[1] <= b[2] and b[1] <= a[2]}
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
