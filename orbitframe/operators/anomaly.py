@@ -145,21 +145,25 @@ def _forest_score(nodes: pd.DataFrame, sample_size: int):
 
 
 def _tree_samples(scaled: DataFrame, n_rows: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """A fixed-size sample per tree, chosen by hash so it does not depend on
-    partitioning. A hash threshold first keeps about four times the sample, then
-    the smallest hashes per tree are taken (partial limits before the shuffle)."""
-    keep = min(1.0, 4.0 * sample / max(n_rows, 1))
-    draw = lambda tree: F.pmod(F.xxhash64(F.col("norad_id"), tree, F.lit(seed)),
-                               F.lit(1 << 52)).cast("double") / float(1 << 52)
-    picks = F.filter(F.transform(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda tree: F.struct(tree.alias("tree"), draw(tree).alias("u"))),
-        lambda p: p["u"] <= keep)
-    w = Window.partitionBy("tree").orderBy("u", "norad_id")
+    """A fixed-size sample per tree, chosen by hash so that it does not depend
+    on partitioning.
+
+    One hash deals all rows into hands of about twice the sample, one hand per
+    tree; when there are fewer hands than trees the rows are dealt again with
+    another seed. Each tree then takes the smallest hashes of its hand, cut
+    inside map tasks before the shuffle.
+    """
+    hands = max(1, n_rows // (2 * sample))
+    deals = -(-trees // hands)
+    dealt = scaled.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    dealt = dealt.withColumn("_h", F.xxhash64("norad_id", "_deal", F.lit(seed)))
+    dealt = dealt.withColumn("tree", (
+        F.col("_deal") * hands + F.pmod("_h", F.lit(hands))).cast("int"))
+    w = Window.partitionBy("tree").orderBy("_u", "norad_id")
     return (
-        scaled.withColumn("_p", F.explode(picks)).select("norad_id", *_X, "_p.*")
+        dealt.where(F.col("tree") < trees).withColumn("_u", F.xxhash64("_h"))
         .withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= sample)
-        .drop("_rank", "u")
+        .select("norad_id", *_X, "tree")
     )
 
 

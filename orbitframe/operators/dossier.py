@@ -18,7 +18,7 @@ def dossiers(element_sets: DataFrame, satcat: DataFrame, events: DataFrame, as_o
     latest = el.classify_regime(el.mean_elements(catalog.latest_per_object(element_sets)))
     residuals = maneuver.pair_residuals(element_sets) if residuals is None else residuals
     floors = maneuver.noise_floor(residuals)
-    flagged = maneuver.detect_maneuvers(residuals)
+    flagged = maneuver.detect_maneuvers(residuals, floors=floors)
     camps = behaviour.campaigns(flagged)
     classified = behaviour.classify_campaigns(camps)
     shifts = behaviour.changepoints(camps)
@@ -30,8 +30,9 @@ def dossiers(element_sets: DataFrame, satcat: DataFrame, events: DataFrame, as_o
     fall = decay.predict_decay(perigees).where(F.col("reentry_at").isNotNull())
     disposal = el.assess_disposal(latest.where(F.col("primary").isin("GEO", "GRAVEYARD")))
     targets = proximity.known_targets(events, element_sets)
-    meetings = proximity.rpo_summary(
-        trajectory.pair_samples(trajectory.aligned_pairs(targets, element_sets)), satcat)
+    # read three times below; spills to disk and is rebuilt if an executor is lost
+    samples = trajectory.pair_samples(trajectory.aligned_pairs(targets, element_sets)).persist()
+    meetings = proximity.rpo_summary(samples, satcat)
 
     burns = flagged.groupBy("norad_id").agg(
         F.count("*").alias("n_maneuvers"), F.max("epoch").alias("last_maneuver_epoch"))

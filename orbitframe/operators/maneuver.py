@@ -46,10 +46,14 @@ def noise_floor(residuals: DataFrame, min_history: int = K.MIN_RESIDUALS, **skew
 
 
 def detect_maneuvers(residuals: DataFrame, z_flag: float = K.Z_FLAG,
-                     min_history: int = K.MIN_RESIDUALS, **skew) -> DataFrame:
-    """Residuals that stand out from the object's own noise floor."""
-    floor = noise_floor(residuals, min_history, **skew).select(
-        "norad_id", "floor_ms", "sigma_ms")
+                     min_history: int = K.MIN_RESIDUALS, floors: DataFrame | None = None,
+                     **skew) -> DataFrame:
+    """Residuals that stand out from the object's own noise floor.
+
+    ``floors`` is the result of :func:`noise_floor` when it is already there.
+    """
+    floor = noise_floor(residuals, min_history, **skew) if floors is None else floors
+    floor = floor.select("norad_id", "floor_ms", "sigma_ms")
     z = (F.col("dv_ms") - F.col("floor_ms")) / F.col("sigma_ms")
     confidence = F.when(F.col("zscore") >= K.Z_STRONG, "high").when(
         F.col("zscore") >= 2 * z_flag, "medium").otherwise("low")

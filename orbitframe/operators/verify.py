@@ -6,6 +6,9 @@ from orbitframe import constants as K
 
 # (?U): digits, white space and word borders as Unicode defines them
 _UNICODE = "(?U)"
+# white space of Unicode (fixed values)
+_BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+           "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 _UNSIGNED = r"\d+\.?\d*"
 _SIGNED = r"-?\d+\.?\d*"
 
@@ -162,9 +165,10 @@ def fact_pools(facts: DataFrame, names: DataFrame | None = None) -> DataFrame:
 # ---------------------------------------------------------------- texts
 def split_sentences(texts: DataFrame) -> DataFrame:
     """(report_id, seq, sentence): cut after . ! ? followed by white space."""
-    parts = F.split(F.trim("text"), _UNICODE + r"(?<=[.!?])\s+")
+    blank = F.lit(_BLANKS)
+    parts = F.split(F.btrim("text", blank), _UNICODE + r"(?<=[.!?])\s+")
     return texts.select("report_id", F.posexplode(parts).alias("seq", "sentence")).select(
-        "report_id", "seq", F.regexp_replace("sentence", _UNICODE + r"^\s+|\s+$", "").alias("sentence")
+        "report_id", "seq", F.btrim("sentence", blank).alias("sentence")
     ).where(F.col("sentence") != "")
 
 
@@ -176,8 +180,11 @@ def number_strings(sentence: Column) -> Column:
 
 
 def numbers_in(sentences: DataFrame) -> DataFrame:
-    """One row per number: (report_id, seq, pos, value)."""
-    return sentences.select(
+    """One row per number: (report_id, seq, pos, value).
+
+    Only sentences with a digit go through the masking patterns.
+    """
+    return sentences.where(F.col("sentence").rlike("[0-9]")).select(
         "report_id", "seq", F.posexplode(number_strings(F.col("sentence"))).alias("pos", "_v")
     ).select("report_id", "seq", "pos", F.expr("try_cast(_v AS double)").alias("value")).where(
         F.col("value").isNotNull())
