@@ -2,10 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from orbitframe.llm import simhash
-from orbitframe.llm.common import table
+from orbitframe.llm import chat, packing, simhash, token_counts, topk, warc
+from orbitframe.llm.common import saved, scratch, table
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), scratch(spark), TOKENIZER)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    folder = scratch(spark)
+    pages = table(spark, sf_dir, "pages")
+    if pages.isEmpty():
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, "
+                                         "record_type string, refers_to long")
+    warc.write_warc(pages, folder)
+    number = lambda name: F.regexp_extract(
+        F.col("headers")[name], "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    records = saved(warc.read_warc(spark, folder).where("kind = 'record'").select(
+        number("warc-record-id").alias("page_id"), F.col("headers")["warc-type"].alias("record_type"),
+        number("warc-refers-to").alias("refers_to"), "payload_digest",
+        F.length("payload").cast("long").alias("payload_bytes")))
+    first = records.where("record_type = 'response'").groupBy(
+        F.col("page_id").alias("refers_to"), "payload_digest").agg(
+            F.max("payload_bytes").alias("payload_bytes"))
+    revisits = records.where("record_type = 'revisit'").drop("payload_bytes").join(
+        first, ["refers_to", "payload_digest"], "left")
+    return records.where("record_type = 'response'").unionByName(revisits).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +45,96 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def chat_events(conversations: DataFrame, delta_chars: int = 200) -> DataFrame:
+    """The log behind finished conversations: drafts that are thrown away, then streamed text.
+
+    A user's draft is edited away, any other role's is regenerated. Rows of one turn are messages
+    each, in order of (role, text); a null turn comes first.
+    """
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(role, text))
+    rows = conversations.select(
+        F.col("conv_id").cast("long"), (F.shiftleft(F.coalesce(F.col("turn").cast("long"), F.lit(-1)), 24)
+                                        + nth).alias("message"), role.alias("role"), text.alias("text"))
+    event = lambda kind, text, role=F.lit(None).cast("string"): F.struct(
+        F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor(F.length("text") / delta_chars).cast("int")),
+        lambda i: event("delta", F.substring(F.col("text"), i * delta_chars + 1, F.lit(delta_chars))))
+    draft = F.reverse("text")
+    dropped = F.when(F.col("role") == "user", F.array(
+        event("start", draft, F.col("role")), event("edit", F.lit("")))).otherwise(F.array(
+            event("start", F.lit(""), F.col("role")), event("delta", draft),
+            event("regenerate", F.lit(None).cast("string"))))
+    return rows.select("conv_id", "message", F.posexplode(F.concat(dropped, pieces)).alias("seq", "e")
+                       ).select("conv_id", "message", "seq", "e.kind", "e.role", "e.text")
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts imitate the template, rebuilt and rendered."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    mimic = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", mimic), (-7, 1, "assistant", mimic)], own.schema)
+    messages = chat.fold_events(chat_events(own.unionByName(extra)))
+    return chat.read_back(chat.render(messages))
+
+
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces with their places in sequences."""
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), TOKENIZER))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector."""
+    vectors = saved(topk.integer_vectors(table(spark, sf_dir, "embeddings")))
+    return topk.exact_top_k(vectors.where("vec_id % 50 = 0"), vectors)
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
+    "op7_chat": op7_chat,
+    "op8_best_fit": op8_best_fit,
+    "op9_top_k": op9_top_k,
+}
+SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n,
+                          sha1(encode(coalesce(html, ''))) AS h FROM pages),
+        f AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(32), lambda i:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(
+                       h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)),
+                   '') AS payload_digest,
+               CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END
+                   AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM f""",
+    "op7_chat": """
+        WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+                   UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn))
+                   AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT)
+                   AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, ''
+                                 ORDER BY turn)) AS loss_sha256,
+               CAST(sum(14 + length(regexp_replace(role, '[\\\\#<:]', 'xx', 'g'))
+                        + length(regexp_replace(text, '[\\\\#<]', 'xx', 'g'))) AS BIGINT)
+                   AS formatted_chars
+        FROM t GROUP BY conv_id""",
+    "op9_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w
+                   FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                     CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+            FROM s) WHERE rank <= 5""",
 }
-SQL: dict[str, str] = {}
