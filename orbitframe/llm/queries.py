@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from orbitframe.llm import chat, packing, simhash, token_counts, topk, warc
+from orbitframe.llm import chat, packing, simhash, suffix_dedup, token_counts, topk, warc
 from orbitframe.llm.common import saved, scratch, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 100 bytes that come earlier."""
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
@@ -93,6 +98,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_warc": op4_warc,
+    "op5_suffix_array": op5_suffix_array,
     "op6_simhash": op6_simhash,
     "op7_chat": op7_chat,
     "op8_best_fit": op8_best_fit,
