@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from orbitframe.llm import chat, packing, simhash, suffix_dedup, token_counts, topk, warc
+from orbitframe.llm import (
+    chat, decontaminate, license_scan, packing, simhash, suffix_dedup, token_counts, topk, toxicity, warc)
 from orbitframe.llm.common import saved, scratch, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +17,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), scratch(spark), TOKENIZER)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that documents state or consist of."""
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return toxicity.toxicity_scores(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     folder = scratch(spark)
@@ -95,16 +111,26 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors.where("vec_id % 50 = 0"), vectors)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the alignment."""
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_license_scan": op2_license_scan,
+    "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
     "op5_suffix_array": op5_suffix_array,
     "op6_simhash": op6_simhash,
     "op7_chat": op7_chat,
     "op8_best_fit": op8_best_fit,
     "op9_top_k": op9_top_k,
+    "op10_decontamination": op10_decontamination,
 }
 SQL: dict[str, str] = {
+    "op2_license_scan": license_scan.scan_sql(),
     "op4_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n,
                           sha1(encode(coalesce(html, ''))) AS h FROM pages),
