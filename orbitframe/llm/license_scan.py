@@ -1,6 +1,6 @@
 """Licence scan: lines and whole texts against licence templates by Dice over word bigrams.
 
-Two texts with a and b different bigrams can reach a coefficient t only if
+Most units are left out by a few words of which every match must hold one. Two texts with a and b different bigrams can reach a coefficient t only if
 2 * min(a, b) >= t * (a + b); units of a size that no template allows are left out before their
 bigrams are spread, and single templates by their own bounds in the join. Templates are a fixed
 list, so the table of their bigrams is bounded and broadcast. DataFrame functions only.
@@ -68,6 +68,8 @@ TEXTS = {
         General Public License for more details. You should have received a copy of the GNU General
         Public License along with this program. If not, see http://www.gnu.org/licenses/.""",
 }
+# Words that are too common to tell anything.
+_COMMON = {"and", "by", "in", "is", "of", "or", "the", "this", "to", "under", "with"}
 
 
 def templates() -> list[tuple[str, str]]:
@@ -82,10 +84,28 @@ def normalised(text: Column) -> Column:
 
 def _bigrams(text: Column) -> Column:
     """The different word bigrams of normalised text."""
-    words = F.split(text, " ")
-    return F.array_distinct(F.zip_with(
+    pairs = lambda words: F.array_distinct(F.zip_with(
         F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)),
         lambda a, b: F.concat_ws(" ", a, b)))
+    # as a variable of the outer function the words are split once
+    return F.transform(F.array(F.split(text, " ")), pairs)[0]
+
+
+def _keywords(found: list[list[str]], min_dice: float) -> list[str]:
+    """Words of which every match has one.
+
+    A match shares at least b * t / (2 - t) of a template's b bigrams. Words are added, those in
+    most bigrams first and long ones before short ones, until the bigrams without any of them are
+    fewer than that for every template.
+    """
+    chosen: set[str] = set()
+    for words in found:
+        bigrams = set(zip(words, words[1:]))
+        shared = len(bigrams) * min_dice / (2 - min_dice) - 1e-9
+        while len(bare := [pair for pair in bigrams if not chosen & set(pair)]) >= shared:
+            chosen.add(max({w for pair in bare for w in pair}, key=lambda w: (
+                w not in _COMMON, min(len(w), 6), sum(w in pair for pair in bare), len(w), w)))
+    return sorted(chosen)
 
 
 def _possible(a: Column, b: Column, min_dice: float) -> Column:
@@ -109,20 +129,26 @@ def license_scan(docs: DataFrame, min_dice: float = MIN_DICE,
     sizes = [r[0] for r in known.select(F.size("bigrams")).distinct().collect()]
     known = known.select("template", "license_id", F.size("bigrams").alias("b"),
                          F.explode("bigrams").alias("bigram"))
+    words = [r[0].split(" ") for r in spark.createDataFrame(
+        [(t,) for _, t in found or templates()], "text string").select(normalised(F.col("text"))).collect()]
     text = F.col("text").cast("string")
     lines = F.split(text, "\n")
     units = docs.select(
         F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.when(
             F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.array(text))).alias("unit", "line"))
-    # a bigram needs two letters and a space at least: a cheap bound before the text is normalised
-    normal = units.where(F.length("line") > 2).withColumn("line", normalised(F.col("line")))
-    spread = normal.where(F.size(F.split("line", " ")) > 1).withColumn(
-        "bigrams", _bigrams(F.col("line"))).withColumn("a", F.size("bigrams"))
+    possible = F.lower("line").rlike("(?<![a-z0-9])(?:" + "|".join(
+        _keywords([w for w in words if len(w) > 1], min_dice)) + ")(?![a-z0-9])")
+    # explode() keeps what it makes: a filter on it does not compute it again
+    spread = units.where(possible).select(
+        "doc_id", "text_hash", "unit", F.explode(F.array(normalised(F.col("line")))).alias("line")).where(
+            F.contains("line", F.lit(" "))).select(
+                "doc_id", "text_hash", "unit", F.explode(F.array(_bigrams(F.col("line")))).alias("bigrams"))
+    a = F.size("bigrams")
     allowed = F.lit(False)
     for low, high in _ranges(sizes, min_dice):
-        allowed = allowed | F.col("a").between(low, high)
+        allowed = allowed | a.between(low, high)
     joined = spread.where(allowed).select(
-        "doc_id", "text_hash", "unit", "a", F.explode("bigrams").alias("bigram")).join(
+        "doc_id", "text_hash", "unit", a.alias("a"), F.explode("bigrams").alias("bigram")).join(
             F.broadcast(known), "bigram").where(_possible(F.col("a"), F.col("b"), min_dice))
     scored = joined.groupBy("doc_id", "text_hash", "unit", "template", "license_id", "a", "b").agg(
         F.size(F.collect_set("bigram")).alias("common")).withColumn(
@@ -150,18 +176,18 @@ def scan_sql(min_dice: float = MIN_DICE) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({k}, {quote(i)}, {quote(t)})" for k, (i, t) in enumerate(templates()))
     normal = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
-    pairs = lambda x: (f"list_distinct(list_transform(range(1, len(string_split({x}, ' '))), lambda i: "
-                       f"string_split({x}, ' ')[i] || ' ' || string_split({x}, ' ')[i + 1]))")
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return f"""
-        WITH t AS (SELECT k, license_id, {pairs("x")} AS g FROM (
-                SELECT k, license_id, {normal("text")} AS x FROM (VALUES {rows}) v(k, license_id, text))),
+        WITH tw AS (SELECT k, license_id, string_split({normal("text")}, ' ') AS w
+                    FROM (VALUES {rows}) v(k, license_id, text)),
+        t AS (SELECT k, license_id, {pairs} AS g FROM tw),
         d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM d),
         u AS (SELECT doc_id, text, 0 AS unit, text AS line FROM d
-              UNION ALL SELECT doc_id, text, i AS unit, string_split(text, chr(10))[i] AS line
-              FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
-                    FROM d WHERE contains(text, chr(10)))),
-        n AS (SELECT doc_id, text, unit, {normal("line")} AS x FROM u),
-        b AS (SELECT doc_id, text, unit, {pairs("x")} AS g FROM n WHERE contains(x, ' ')),
+              UNION ALL SELECT doc_id, text, unnest(range(1, len(lines) + 1)) AS unit,
+                               unnest(lines) AS line FROM l WHERE len(lines) > 1),
+        n AS (SELECT doc_id, text, unit, string_split({normal("line")}, ' ') AS w FROM u),
+        b AS (SELECT doc_id, text, unit, {pairs} AS g FROM n WHERE len(w) > 1),
         c AS (SELECT doc_id, text, unit, len(g) AS a, unnest(g) AS w FROM b),
         tb AS (SELECT k, license_id, len(g) AS b, unnest(g) AS w FROM t),
         s AS (SELECT doc_id, text, unit, k, license_id,
