@@ -29,6 +29,7 @@ _READ = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SEPARATOR = gzip.compress(b"", mtime=0).decode("latin-1")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+_VERSION = re.compile(rb"WARC/1\.[0-9]\r\n")
 _MEMBER = pa.schema([("value", pa.binary())])
 _READ_SCHEMA = pa.schema([
     ("kind", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
@@ -141,7 +142,7 @@ def _parse(get, start: int, limit: int) -> tuple[dict, bytes, bytes | None, str
     """Headers, block, payload, its digest and the end of the record that begins at ``start``."""
     head = get(start, start + MAX_HEADER)
     end = head.find(b"\r\n\r\n")
-    if not head.startswith(b"WARC/1."):
+    if not _VERSION.match(head):
         raise _Unsound("no version line")
     if end < 0:
         raise _Unsound("headers do not end")
