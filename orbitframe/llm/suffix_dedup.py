@@ -34,8 +34,8 @@ from orbitframe.llm.common import batch, saved
 
 LENGTH = 100
 GRAM = 48
-SHARD_BYTES = 4 << 20
-BUCKET_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20
 _BLOCK = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
