@@ -1,7 +1,5 @@
 """Session settings the operators rely on."""
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 _SETTINGS = {
@@ -21,17 +19,3 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.conf.set(key, value)
     return spark
 
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster.
-
-    Only when ``spark.checkpoint.dir`` is unset (local tests) a temporary
-    folder is made.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or tempfile.mkdtemp(prefix="orbitframe-ckpt-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder

@@ -68,13 +68,34 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (reader.schema(schema) if schema is not None else reader).parquet(path)
 
 
-def write_element_sets(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Clustered by object and sorted by time, so that row-group statistics
-    prune reads of single objects. The time bucket in the clustering key keeps
-    an object with very many sets from filling one writer."""
-    month = F.date_trunc("month", "epoch")
-    df.repartition("norad_id", month).sortWithinPartitions("norad_id", "epoch").write.mode(
-        mode).parquet(path)
+def _month():
+    return F.date_format("epoch", "yyyy-MM")
+
+
+def epoch_months(sets: DataFrame) -> list[str]:
+    """The months of the epochs, at most twelve for each year that element text can name."""
+    return [r[0] for r in sets.select(_month()).distinct().collect() if r[0]]
+
+
+def stored_element_sets(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:
+    """Stored sets, of some months only if they are given; none where nothing is stored yet."""
+    try:
+        table = read_table(spark, path, schemas.ELEMENT_SETS)
+        table.schema
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schemas.ELEMENT_SETS)
+    if months is not None:
+        table = table.where(F.col("epoch_month").cast("string").isin(months))
+    return table.select(*schemas.ELEMENT_SETS.names)
+
+
+def write_element_sets(df: DataFrame, path: str, mode: str = "append", buckets: int = 16) -> None:
+    """Partitioned by month, some files of object buckets in each, sorted by object and time."""
+    rows = df.withColumn("epoch_month", _month())
+    rows.repartition("epoch_month", F.pmod(F.hash("norad_id"), F.lit(buckets))).sortWithinPartitions(
+        "epoch_month", "norad_id", "epoch").write.mode(mode).partitionBy("epoch_month").parquet(path)
 
 
 def ingest_groups(spark: SparkSession, incoming: DataFrame, path: str) -> DataFrame:
@@ -84,13 +105,7 @@ def ingest_groups(spark: SparkSession, incoming: DataFrame, path: str) -> DataFr
     come from two aggregates; nothing passes through the driver.
     """
     keys = [f.name for f in schemas.ELEMENT_SETS.fields]
-    try:
-        existing = read_table(spark, path, schemas.ELEMENT_SETS)
-        existing.schema
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        existing = spark.createDataFrame([], schemas.ELEMENT_SETS)
+    existing = stored_element_sets(spark, path, epoch_months(incoming))
     fresh = new_element_sets(existing, incoming, ("file", "block", "seq")).persist()
     counts = ingest_counts(incoming, fresh).persist()
     counts.count()
@@ -100,15 +115,15 @@ def ingest_groups(spark: SparkSession, incoming: DataFrame, path: str) -> DataFr
 
 
 def save_cycle(tables: dict[str, DataFrame], root: str) -> None:
-    """Persist a watch cycle as one partition per table.
+    """Persist a watch cycle in a folder of its own per table.
 
-    Dynamic partition overwrite makes a repeated save of the same cycle
-    idempotent. The tables must be derived from earlier cycles only, see
-    ``before`` in :func:`load_states`.
+    A repeated save replaces the folder, also where nothing is left to write. The tables must be
+    derived from earlier cycles only, see ``before`` in :func:`load_states`.
     """
+    cycle_id = tables["cycle"].first()["cycle_id"]
     for name in ("findings", "cycle", "states"):
-        tables[name].write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("cycle_id").parquet(f"{root}/{name}")
+        tables[name].drop("cycle_id").write.mode("overwrite").parquet(
+            f"{root}/{name}/cycle_id={cycle_id}")
 
 
 def load_states(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:

@@ -3,45 +3,39 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orbitframe import schemas
 from orbitframe.operators.watch import STATE, finding_list
-from orbitframe.sources.store import new_element_sets, write_element_sets
+from orbitframe.sources.store import (
+    epoch_months, new_element_sets, stored_element_sets, write_element_sets)
 
 
 def ingest_stream(rows: DataFrame, path: str, checkpoint: str,
-                  watermark: str = "30 days", **trigger) -> StreamingQuery:
-    """Append landed sets to the table at ``path``, each (norad_id, epoch) once.
+                  arrival: tuple[str, ...] = ("file", "block", "seq"), **trigger) -> StreamingQuery:
+    """Append landed sets to the table at ``path``, each (norad_id, epoch) once, however old.
 
-    Recent repeats are dropped by the stream's own state; older ones by an anti
-    join with the stored table. A replayed batch finds its rows already stored.
+    The first arrival wins: within a micro-batch by the ``arrival`` columns that the stream has,
+    before that by what is stored. Only the months that a batch touches are read for that. A
+    replayed batch finds its rows already stored.
     """
-    unique = rows.withWatermark("epoch", watermark).dropDuplicatesWithinWatermark(
-        ["norad_id", "epoch"])
-    columns = schemas.ELEMENT_SETS.names
+    order = tuple(c for c in arrival if c in rows.columns) or ("ingested_at", "source", "line1")
 
     def append(batch: DataFrame, _: int) -> None:
-        existing = _stored(batch.sparkSession, path)
-        write_element_sets(new_element_sets(existing, batch.select(*columns)), path)
-
-    return unique.writeStream.foreachBatch(append).option(
+        batch = batch.persist()
+        try:
+            existing = stored_element_sets(batch.sparkSession, path, epoch_months(batch))
+            write_element_sets(new_element_sets(existing, batch, order).select(
+                *schemas.ELEMENT_SETS.names), path)
+        finally:
+            batch.unpersist()
+
+    return rows.writeStream.foreachBatch(append).option(
         "checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        table = spark.read.schema(schemas.ELEMENT_SETS).parquet(path)
-        table.schema
-        return table
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schemas.ELEMENT_SETS)
-
-
 def stream_campaigns(events: DataFrame, watermark: str = "2 days",
                      gap: str = "1 day") -> DataFrame:
     """Campaigns of a stream of flagged events; closed once the watermark passes."""

@@ -188,6 +188,35 @@ def test_stream_ingest(spark, tmp_path):
     assert sorted(r["norad_id"] for r in got.collect()) == [1, 2, 3]
 
 
+def test_stream_ingest_keeps_late_sets_and_first_arrivals(spark, tmp_path):
+    inbox, table, mark = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "c")
+    start = lambda: jobs.ingest_stream(
+        element_text.stream_element_text(spark, str(inbox), "live"), table, mark).awaitTermination()
+    write(inbox, "a.txt", *two_lines(1, "56001.50000000"))
+    start()
+    write(inbox, "b.txt", *two_lines(2, "24001.50000000"), *two_lines(2, "24001.50000000"))
+    start()
+    write(inbox, "c.txt", *two_lines(3, "85001.50000000"), *two_lines(2, "24001.50000000"),
+          *two_lines(2, "24200.50000000"))
+    start()
+    got = store.stored_element_sets(spark, table).collect()
+    assert sorted((r["norad_id"], r["epoch"].year) for r in got) == [(1, 2056), (2, 2024), (2, 2024), (3, 1985)]
+    plan = store.stored_element_sets(spark, table, ["2024-01"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "epoch_month" in plan.split("PartitionFilters")[1][:200]
+    assert store.stored_element_sets(spark, table, ["2024-01"]).count() == 1
+
+
+def test_a_repeated_save_drops_old_findings(spark, tmp_path):
+    root = str(tmp_path / "watch")
+    tables = lambda n: {
+        "cycle": spark.createDataFrame([(1, n)], "cycle_id long, n_findings long"),
+        "findings": spark.createDataFrame([(1, 5)] * n, "cycle_id long, norad_id long"),
+        "states": spark.createDataFrame([(1, 5)], "cycle_id long, norad_id long")}
+    for n in (2, 0):
+        store.save_cycle(tables(n), root)
+        assert spark.read.schema("cycle_id long, norad_id long").parquet(root + "/findings").count() == n
+
+
 def test_stream_campaigns_equal_batch(spark, tmp_path, day):
     rows = [(k, day(t), float(v)) for k in range(3) for t, v in
             ((0, 1), (.5, 4), (3, 2), (10, 1), (10.2, 9), (40 + k, 1))]
