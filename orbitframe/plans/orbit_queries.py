@@ -232,13 +232,11 @@ QUERIES = {
     "nearest_epoch_join": Query(
         lambda s, d: plain(trajectory.nearest_epoch_join(
             view(s, d, "coarse_sets").select("norad_id", F.col("epoch").alias("t"))
-            .distinct(), view(s, d, "element_sets").select("norad_id", "epoch", "event_id")
-            .where(F.col("line1") != "click"), max_gap_days=1.0)
+            .distinct(), view(s, d, "element_sets").select("norad_id", "epoch", "event_id"), max_gap_days=1.0)
             .select("norad_id", "t", F.col("nearest.event_id").alias("event_id"))),
         oracle(["coarse_sets", "element_sets"], """
             WITH grid AS (SELECT DISTINCT norad_id, epoch_utc AS t FROM coarse_sets),
-            held AS (SELECT norad_id, epoch_utc, event_id FROM element_sets
-                     WHERE line1 <> 'click')
+            held AS (SELECT norad_id, epoch_utc, event_id FROM element_sets)
             SELECT g.norad_id, g.t, first(h.event_id ORDER BY abs(h.epoch_utc - g.t),
                 h.epoch_utc) AS event_id
             FROM grid g LEFT JOIN held h ON h.norad_id = g.norad_id
@@ -327,8 +325,7 @@ QUERIES = {
             view(s, d, "neighbour_pairs"), view(s, d, "history")), digits=3)),
     "collision_probability": Query(
         lambda s, d: plain(conjunction.collision_probability(
-            view(s, d, "neighbour_pairs"), view(s, d, "history"), view(s, d, "satcat"),
-            n_samples=20_000), digits=6)),
+            view(s, d, "neighbour_pairs"), view(s, d, "history"), view(s, d, "satcat")), digits=6)),
     "anomaly_features": Query(
         lambda s, d: plain(anomaly.anomaly_features(view(s, d, "satcat").where(
             "decay_date IS NULL"))),

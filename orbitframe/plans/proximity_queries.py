@@ -117,11 +117,9 @@ QUERIES = {
             SELECT actor, target, CAST(is_asset AS STRING) AS is_asset FROM marked""")),
     "serial_inspectors": Query(
         lambda s, d: proximity.serial_inspectors(
-            proximity.edges_in_window(_edges(s, d), "1998-01-01", "1998-01-20"),
-            view(s, d, "assets")),
+            _edges(s, d), view(s, d, "assets")),
         oracle(["edges", "assets"], f"""
-            WITH {SERIAL.replace("label <> 'none'", "label <> 'none' AND "
-                "start_at_utc <= 885254400000 AND end_at_utc >= 883612800000")},
+            WITH {SERIAL},
             sums AS (SELECT actor, count(*) AS distinct_targets,
               count(*) FILTER (is_asset) AS asset_targets FROM marked GROUP BY 1)
             SELECT *, CASE WHEN asset_targets >= 3 OR distinct_targets >= 5 THEN 'high'
@@ -131,8 +129,8 @@ QUERIES = {
             ORDER BY asset_targets DESC, distinct_targets DESC, actor""")),
     "interaction_assets": Query(
         lambda s, d: catalog.union_ids(
-            view(s, d, "assets"), _edges(s, d).where("label = 'likely'").select(
+            view(s, d, "assets"), _edges(s, d).select(
                 F.col("target").alias("norad_id"))),
         oracle(["assets", "edges"], """SELECT norad_id FROM assets UNION
-            SELECT target FROM edges WHERE label = 'likely'""")),
+            SELECT target FROM edges""")),
 }

@@ -106,11 +106,10 @@ QUERIES = {
             count(*) FILTER (significance = 'elevated') AS elevated,
             count(*) FILTER (significance = 'routine') AS routine FROM findings GROUP BY 1""")),
     "merge_states": Query(
-        lambda s, d: plain(watch.merge_states(_states(s, d, 0), _states(s, d, 1).where(
-            "n_maneuvers > 33")).select("norad_id", "n_maneuvers", "last_maneuver_epoch",
+        lambda s, d: plain(watch.merge_states(_states(s, d, 0), _states(s, d, 1)).select("norad_id", "n_maneuvers", "last_maneuver_epoch",
                                         "rpo_min_range_km")),
         oracle(["states"], f"""
-            WITH fresh AS (SELECT * FROM states WHERE half = 1 AND n_maneuvers > 33),
+            WITH fresh AS (SELECT * FROM states WHERE half = 1),
             all_ AS (SELECT * FROM fresh UNION ALL SELECT * FROM states s WHERE half = 0
               AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.norad_id = s.norad_id))
             SELECT norad_id, n_maneuvers, last_maneuver_epoch_utc AS last_maneuver_epoch,
