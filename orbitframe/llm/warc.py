@@ -239,7 +239,7 @@ def salvage(stream, limit: int = MAX_RECORD) -> Iterator[tuple]:
 
 
 def read_warc(spark: SparkSession, folder: str, limit: int = MAX_RECORD) -> DataFrame:
-    """Records and gaps of all files of a folder, one task per file at most.
+    """Records and gaps of all files of a folder, which Spark deals to tasks by their sizes.
 
     kind (record or gap), file, offset and length (of the record's member or plain bytes, or of
     the gap), reason (of a gap), headers (names in lower case), payload (the HTTP body; null for
@@ -261,5 +261,4 @@ def read_warc(spark: SparkSession, folder: str, limit: int = MAX_RECORD) -> Data
                 if held:
                     yield batch(_READ_SCHEMA, **dict(zip(_READ_SCHEMA.names, zip(*held))))
 
-    return spark.read.format("binaryFile").load(folder).select("path").repartition(
-        "path").mapInArrow(run, _READ_DDL)
+    return spark.read.format("binaryFile").load(folder).select("path").mapInArrow(run, _READ_DDL)
