@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orbitframe import constants as K
 from orbitframe.functions import orbits
-from orbitframe.operators.skew import robust_stats
+from orbitframe.operators.skew import daily_stats
 
 
 def campaigns(events: DataFrame, gap_days: float = K.CAMPAIGN_GAP_DAYS,
@@ -42,8 +42,8 @@ def with_tempo(camps: DataFrame) -> DataFrame:
 
 def campaign_baseline(camps: DataFrame, min_campaigns: int = K.MIN_CAMPAIGNS) -> DataFrame:
     """Typical burn size and tempo of each object with enough campaigns."""
-    burn = robust_stats(camps, ["norad_id"], F.col("peak_dv_ms"), bounded=True)
-    tempo = robust_stats(with_tempo(camps), ["norad_id"], F.col("tempo_days"), bounded=True)
+    burn = daily_stats(camps, ["norad_id"], F.col("peak_dv_ms"))
+    tempo = daily_stats(with_tempo(camps), ["norad_id"], F.col("tempo_days"))
     return (
         burn.where(F.col("n") >= min_campaigns)
         .select("norad_id", F.col("n").alias("n_campaigns"),

@@ -8,18 +8,18 @@ from orbitframe.operators.skew import robust_stats
 
 
 def debris_rows(satcat: DataFrame) -> DataFrame:
-    """Debris with a complete orbit, keyed by launch."""
+    """Debris with a complete orbit and a designator, keyed by launch."""
     return satcat.where(
         (F.col("object_type") == "DEB") & F.col("inclination").isNotNull()
         & F.col("perigee_km").isNotNull() & F.col("apogee_km").isNotNull()
     ).withColumn("launch_prefix", launch_prefix(F.col("intl_desig"))).where(
-        F.col("launch_prefix").isNotNull())
+        F.col("launch_prefix") != "")
 
 
 def launch_parents(satcat: DataFrame) -> DataFrame:
     """Per launch: first payload, else first rocket body, in designator order."""
     bodies = satcat.where(F.col("object_type").isin("PAY", "R/B")).where(
-        F.col("intl_desig").isNotNull())
+        F.col("intl_desig") != "")
     rank = F.struct((F.col("object_type") != "PAY").alias("_late"), "intl_desig", "norad_id")
     return bodies.groupBy(launch_prefix(F.col("intl_desig")).alias("launch_prefix")).agg(
         F.min_by(F.struct("norad_id", "name"), rank).alias("_p")).select(
@@ -28,7 +28,7 @@ def launch_parents(satcat: DataFrame) -> DataFrame:
 
 
 def launch_breakups(satcat: DataFrame, prefixes: DataFrame | None = None,
-                    min_fragments: int = K.MIN_FRAGMENTS, **skew) -> DataFrame:
+                    min_fragments: int = K.MIN_FRAGMENTS) -> DataFrame:
     """Launches whose debris looks like one event, one row per launch.
 
     The fragments themselves are rows of :func:`breakup_fragments`, not a list,
@@ -45,7 +45,7 @@ def launch_breakups(satcat: DataFrame, prefixes: DataFrame | None = None,
         F.min("perigee_km").alias("perigee_min_km"), F.max("perigee_km").alias("perigee_max_km"),
         F.min("apogee_km").alias("apogee_min_km"), F.max("apogee_km").alias("apogee_max_km"),
     ).where(F.col("n_fragments") >= min_fragments)
-    ids = robust_stats(debris, ["launch_prefix"], F.col("norad_id"), **skew)
+    ids = robust_stats(debris, ["launch_prefix"], F.col("norad_id"))
     relative = F.when(F.col("median") > 0, F.col("mad") / F.col("median")).otherwise(F.lit(0.0))
     burst = ids.where(relative <= K.MAX_ID_RELATIVE_MAD).select("launch_prefix")
     std, n = F.col("incl_std_deg"), F.col("n_fragments")
@@ -66,7 +66,7 @@ def breakup_fragments(satcat: DataFrame, breakups: DataFrame) -> DataFrame:
 
 
 def breakups_from_delta(new_ids: DataFrame, satcat: DataFrame,
-                        min_new: int = K.MIN_NEW_FRAGMENTS, **skew) -> DataFrame:
+                        min_new: int = K.MIN_NEW_FRAGMENTS) -> DataFrame:
     """Launches with enough new debris, judged on their whole cohort."""
     fresh = satcat.where(
         (F.col("object_type") == "DEB") & F.col("intl_desig").isNotNull()
@@ -74,10 +74,10 @@ def breakups_from_delta(new_ids: DataFrame, satcat: DataFrame,
     ).join(new_ids.select("norad_id").distinct(), "norad_id", "left_semi")
     triggered = fresh.groupBy(launch_prefix(F.col("intl_desig")).alias("launch_prefix")).agg(
         F.count("*").alias("_n")).where(F.col("_n") >= min_new)
-    return launch_breakups(satcat, triggered, **skew)
+    return launch_breakups(satcat, triggered)
 
 
-def evaluate_labelled_events(labels: DataFrame, satcat: DataFrame, **skew) -> DataFrame:
+def evaluate_labelled_events(labels: DataFrame, satcat: DataFrame) -> DataFrame:
     """Detector against labelled launches.
 
     ``labels``: key, expected ('positive' or 'control'), norad_id. A label whose
@@ -86,7 +86,7 @@ def evaluate_labelled_events(labels: DataFrame, satcat: DataFrame, **skew) -> Da
     own = satcat.select("norad_id", F.nullif(F.col("intl_desig"), F.lit("")).alias("_d"))
     keyed = labels.join(own, "norad_id", "left").withColumn(
         "launch_prefix", launch_prefix(F.col("_d"))).drop("_d")
-    found = launch_breakups(satcat, keyed.where(F.col("launch_prefix").isNotNull()), **skew)
+    found = launch_breakups(satcat, keyed.where(F.col("launch_prefix").isNotNull()))
     return keyed.join(
         found.select("launch_prefix", "n_fragments", "confidence"), "launch_prefix", "left"
     ).withColumn("found", F.col("n_fragments").isNotNull()).withColumn(

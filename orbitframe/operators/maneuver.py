@@ -36,9 +36,9 @@ def pair_residuals(history: DataFrame, max_gap_days: float = K.MAX_GAP_DAYS) ->
         F.col("range_km").alias("pos_err_km"))
 
 
-def noise_floor(residuals: DataFrame, min_history: int = K.MIN_RESIDUALS, **skew) -> DataFrame:
+def noise_floor(residuals: DataFrame, min_history: int = K.MIN_RESIDUALS) -> DataFrame:
     """Per object: median, MAD and sigma of the residual size."""
-    stats = robust_stats(residuals, ["norad_id"], F.col("dv_ms"), **skew)
+    stats = robust_stats(residuals, ["norad_id"], F.col("dv_ms"))
     return stats.where(F.col("n") >= min_history).select(
         "norad_id", F.col("n").alias("n_residuals"), F.col("median").alias("floor_ms"),
         F.col("mad").alias("mad_ms"),
@@ -46,13 +46,13 @@ def noise_floor(residuals: DataFrame, min_history: int = K.MIN_RESIDUALS, **skew
 
 
 def detect_maneuvers(residuals: DataFrame, z_flag: float = K.Z_FLAG,
-                     min_history: int = K.MIN_RESIDUALS, floors: DataFrame | None = None,
-                     **skew) -> DataFrame:
+                     min_history: int = K.MIN_RESIDUALS,
+                     floors: DataFrame | None = None) -> DataFrame:
     """Residuals that stand out from the object's own noise floor.
 
     ``floors`` is the result of :func:`noise_floor` when it is already there.
     """
-    floor = noise_floor(residuals, min_history, **skew) if floors is None else floors
+    floor = noise_floor(residuals, min_history) if floors is None else floors
     floor = floor.select("norad_id", "floor_ms", "sigma_ms")
     z = (F.col("dv_ms") - F.col("floor_ms")) / F.col("sigma_ms")
     confidence = F.when(F.col("zscore") >= K.Z_STRONG, "high").when(

@@ -2,13 +2,12 @@
 
 A time series is cut into slices; windows run inside (key, slice) and what one
 slice needs from others is either replicated at its border or added from one
-summary row per slice. Medians of keys beyond ``hot_rows`` values are selected
-by counting value bins instead of gathering the values.
+summary row per slice. Medians are selected by counting value bins instead of
+gathering the values.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOT_ROWS = 1_000_000
 DAY_US = 86_400_000_000
 
 
@@ -64,85 +63,69 @@ def running_sum(df: DataFrame, keys: list[str], slice_col: str, order: list,
     )
 
 
-def _key_list(keys: list[str]) -> str:
-    return ", ".join(f"`{k}`" for k in keys)
+def _bin(value: Column, per_octave: int) -> Column:
+    """Non-decreasing integer bins, ``per_octave`` for each doubling; infinities and NaN have their own."""
+    steps = F.floor(F.least(F.log2(F.lit(1.0) + F.abs(value) * 1048576.0), F.lit(2048.0)) * per_octave)
+    return F.when(F.isnan(value), F.lit(4096 * per_octave)).otherwise(
+        F.signum(value) * steps).cast("long")
 
 
-def _counted_median(source: str, name: str, keys: list[str]) -> str:
-    """CTEs ``<name>``: median per key of ``source`` (keys, v, n) by counting.
+def _median(values: DataFrame, keys: list[str], per_octave: int, slices: int) -> DataFrame:
+    """(keys, n, median) of ``values`` (keys, v, c), where v stands for c equal values.
 
-    Values fall into ordered bins (about 4096 per octave). Bin counts locate
-    the one or two bins that hold the middle ranks; only their values are then
-    ranked, one row per distinct value.
+    Counts of bins tell which one or two bins of a key hold its middle ranks. Only values of these
+    are ranked, each bin cut into slices between its own least and greatest value.
     """
-    k = _key_list(keys)
-    return f"""
-    {name}_binned AS (SELECT {k}, n, v,
-        CAST(signum(v) * floor(log2(1D + abs(v) * 1048576D) * 4096) AS BIGINT) AS bin
-      FROM {source}),
-    {name}_bins AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY {k} ORDER BY bin
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM (SELECT {k}, n, bin, count(*) AS c FROM {name}_binned GROUP BY {k}, n, bin)),
-    {name}_middle AS (SELECT {k}, bin, before FROM {name}_bins
-      WHERE before <= n div 2 AND before + c > (n - 1) div 2),
-    {name}_values AS (SELECT /*+ BROADCAST({name}_middle) */ {k}, n, bin, before, v, count(*) AS c
-      FROM {name}_binned JOIN {name}_middle USING ({k}, bin) GROUP BY {k}, n, bin, before, v),
-    {name}_ranks AS (SELECT *, before + coalesce(sum(c) OVER (PARTITION BY {k}, bin ORDER BY v
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM {name}_values),
-    {name} AS (SELECT {k}, n,
-        (max(CASE WHEN r <= (n - 1) div 2 AND r + c > (n - 1) div 2 THEN v END)
-         + max(CASE WHEN r <= n div 2 AND r + c > n div 2 THEN v END)) / 2 AS median
-      FROM {name}_ranks GROUP BY {k}, n)"""
+    binned = values.withColumn("_bin", _bin(F.col("v"), per_octave))
+    whole = Window.partitionBy(*keys)
+    upto = F.sum("_c").over(whole.orderBy("_bin"))
+    low, high = F.expr("(n - 1) div 2"), F.expr("n div 2")
+    middle = binned.groupBy(*keys, "_bin").agg(
+        F.sum("c").alias("_c"), F.min("v").alias("_low"), F.max("v").alias("_high")).select(
+            "*", F.sum("_c").over(whole).alias("n"), (upto - F.col("_c")).alias("_before")).where(
+                (F.col("_before") <= high) & (F.col("_before") + F.col("_c") > low)).drop("_c")
+    width = F.col("_high") - F.col("_low")
+    part = F.when(F.col("_high") > F.col("_low"), F.floor(
+        (F.col("v") - F.col("_low")) / width * slices).cast("int")).otherwise(F.lit(0))
+    ranked = running_sum(
+        binned.join(middle, [*keys, "_bin"]).withColumn("_part", part),
+        [*keys, "_bin"], "_part", ["v"], F.col("c"), "_upto")
+    last = F.col("_before") + F.col("_upto")
+    at = lambda rank: F.max(F.when((last - F.col("c") <= rank) & (last > rank), F.col("v")))
+    return ranked.groupBy(*keys, "n").agg(((at(low) + at(high)) / 2).alias("median"))
+
+
+def robust_stats(df: DataFrame, keys: list[str], value: Column, per_octave: int = 4096,
+                 slices: int = 4096) -> DataFrame:
+    """(keys, n, median, mad), exact at any number of values per key, in one lazy plan.
+
+    The input is read once and shuffled as counted distinct values. No task holds more of a key
+    than its bins (bounded by the range of a double) or one slice of a middle bin. Null values
+    and rows with a null key are left out.
+    """
+    rows = df.select(*keys, value.cast("double").alias("v")).dropna()
+    values = rows.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    centre = _median(values, keys, per_octave, slices)
+    off = values.join(centre.drop("n"), keys).select(
+        *keys, F.abs(F.col("v") - F.col("median")).alias("v"), "c")
+    spread = _median(off, keys, per_octave, slices).select(*keys, F.col("median").alias("mad"))
+    return centre.join(spread, keys)
 
 
 def _middle(array: str) -> str:
     return f"({array}[(size({array}) - 1) div 2] + {array}[size({array}) div 2]) / 2"
 
 
-def _gathered_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Median and MAD from one sorted array per key; one shuffle for both."""
+def daily_stats(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """(keys, n, median, mad) like :func:`robust_stats`, for at most one value per key and day.
+
+    That bounds a key by the days of its history, so its values are one sorted array.
+    """
     return (
-        rows.groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("_vs"))
+        df.select(*keys, value.cast("double").alias("v")).dropna()
+        .groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("_vs"))
         .selectExpr(*keys, "_vs", f"{_middle('_vs')} AS median")
         .selectExpr(*keys, "CAST(size(_vs) AS BIGINT) AS n", "median",
                     "array_sort(transform(_vs, x -> abs(x - median))) AS _ds")
         .selectExpr(*keys, "n", "median", f"{_middle('_ds')} AS mad")
     )
-
-
-def _counted_stats(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    """Median and MAD of the keys in ``hot`` without gathering their values.
-
-    ``hot`` holds at most total/hot_rows keys (two million for 2e12 rows), and
-    each has one or two middle bins: that bound is what allows broadcasts.
-    """
-    k = _key_list(keys)
-    return rows.sparkSession.sql(f"""
-    WITH large AS (SELECT /*+ BROADCAST({{hot}}) */ * FROM {{rows}} JOIN {{hot}} USING ({k})),
-    {_counted_median('large', 'centre', keys)},
-    spread_rows AS (SELECT /*+ BROADCAST(centre) */ {k}, l.n, abs(v - median) AS v
-      FROM large l JOIN centre USING ({k})),
-    {_counted_median('spread_rows', 'spread', keys)}
-    SELECT {k}, centre.n, centre.median, spread.median AS mad
-    FROM centre JOIN spread USING ({k})
-    """.replace("BROADCAST({hot})", "BROADCAST(hot)"), rows=rows, hot=hot)
-
-
-def robust_stats(df: DataFrame, keys: list[str], value: Column,
-                 hot_rows: int = HOT_ROWS, bounded: bool = False) -> DataFrame:
-    """(keys, n, median, mad) with exact medians.
-
-    Keys of up to ``hot_rows`` values are sorted in one array each. Whether a
-    larger key exists is measured by one counting job when the operator is
-    called; only then the counting plan for those keys is added. ``bounded``
-    says that the caller knows a bound on the values per key and skips the
-    measurement.
-    """
-    rows = df.select(*keys, value.cast("double").alias("v")).where(F.col("v").isNotNull())
-    if bounded:
-        return _gathered_stats(rows, keys)
-    hot = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
-    if hot.isEmpty():
-        return _gathered_stats(rows, keys)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return _gathered_stats(cold, keys).unionByName(_counted_stats(rows, hot, keys))

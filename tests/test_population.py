@@ -16,10 +16,9 @@ def cohort(spark, debris, parent=(1, "PAY"), prefix="1999-025"):
     return spark.createDataFrame(rows, SATCAT)
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 20])
-def test_tight_cloud(spark, hot_rows):
+def test_tight_cloud(spark):
     cat = cohort(spark, [(1000 + i, 82.5 + (i % 5) * .1) for i in range(150)])
-    found = breakup.launch_breakups(cat, hot_rows=hot_rows)
+    found = breakup.launch_breakups(cat)
     row = found.first()
     assert (row["n_fragments"], row["parent_norad_id"], row["confidence"]) == (150, 1, "high")
     assert breakup.breakup_fragments(cat, found).count() == 150
@@ -37,6 +36,12 @@ def test_litter_and_small_or_partial_cohorts(spark):
     assert breakup.launch_breakups(partial).count() == 0
 
 
+def test_rows_without_a_designator_are_no_launch(spark):
+    blank = spark.createDataFrame(
+        [(i, "", f"DEB {i}", "DEB", 74.0, 610.0, 655.0) for i in range(3000, 3040)], SATCAT)
+    assert breakup.launch_breakups(blank).count() == 0
+
+
 def test_delta_needs_three_new_fragments(spark):
     cat = cohort(spark, [(1000 + i, 82.5) for i in range(40)])
     new = lambda *ids: spark.createDataFrame([(i,) for i in ids], ["norad_id"])

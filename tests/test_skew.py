@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from orbitframe.operators.rangejoin import overlap_self_join
-from orbitframe.operators.skew import neighbours, robust_stats, running_sum, slice_of
+from orbitframe.operators.skew import daily_stats, neighbours, robust_stats, running_sum, slice_of
 
 
 def series(spark, seed, n=400):
@@ -20,12 +20,12 @@ def series(spark, seed, n=400):
     return rows, spark.createDataFrame(rows, ["k", "id", "us", "v"])
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 60, 1])
+@pytest.mark.parametrize("cuts", [(4096, 4096), (1, 3), (2, 1)])
 @pytest.mark.parametrize("parts", [1, 5])
-def test_robust_stats(spark, hot_rows, parts):
+def test_robust_stats(spark, cuts, parts):
     rows, df = series(spark, 3)
     got = {r["k"]: (r["n"], r["median"], r["mad"]) for r in robust_stats(
-        df.repartition(parts), ["k"], F.col("v"), hot_rows=hot_rows).collect()}
+        df.repartition(parts), ["k"], F.col("v"), *cuts).collect()}
     assert set(got) == {r[0] for r in rows}
     for k, (n, median, mad) in got.items():
         values = [r[3] for r in rows if r[0] == k]
@@ -36,10 +36,38 @@ def test_robust_stats(spark, hot_rows, parts):
 
 def test_median_of_equal_values(spark):
     df = spark.createDataFrame([(1, 0.0)] * 50 + [(1, 3.0)], ["k", "v"])
-    row = robust_stats(df, ["k"], F.col("v"), hot_rows=5).first()
+    row = robust_stats(df, ["k"], F.col("v")).first()
     assert (row["n"], row["median"], row["mad"]) == (51, 0.0, 0.0)
 
 
+def test_median_of_a_hot_key_in_a_narrow_range(spark):
+    rng = random.Random(11)
+    values = [1000.0 + rng.random() * 1e-3 for _ in range(3001)]
+    df = spark.createDataFrame([(1, v) for v in values] + [(2, 5.0), (2, 9.0), (3, None), (None, 1.0)],
+                               "k int, v double")
+    got = {r["k"]: r for r in robust_stats(df, ["k"], F.col("v")).collect()}
+    centre = statistics.median(values)
+    assert set(got) == {1, 2} and got[1]["n"] == 3001 and got[1]["median"] == centre
+    assert got[1]["mad"] == statistics.median(abs(v - centre) for v in values)
+    assert (got[2]["median"], got[2]["mad"]) == (7.0, 2.0)
+
+
+def test_building_a_median_starts_no_job(spark):
+    df = spark.range(100).selectExpr("id % 3 AS k", "CAST(id AS DOUBLE) AS v")
+    spark.sparkContext.setJobGroup("medians", "plan only")
+    try:
+        robust_stats(df, ["k"], F.col("v"))
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("medians")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_daily_stats_equal_robust_stats(spark):
+    _, df = series(spark, 9)
+    pick = lambda d: sorted((r["k"], r["n"], r["median"], round(r["mad"], 9)) for r in d.collect())
+    assert pick(daily_stats(df, ["k"], F.col("v"))) == pick(robust_stats(df, ["k"], F.col("v")))
+
+
 def test_running_sum_equals_window(spark):
     _, df = series(spark, 5)
     keyed = df.withColumn("s", slice_of(F.col("us"), 3 * 86_400_000_000))
