@@ -8,17 +8,20 @@ number of its first document and where that began, however many blocks it spans.
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from orbitframe.llm.common import batch
+from orbitframe.llm.common import batch, saved
 from orbitframe.llm.tokens import ChunkEncoder
 
 END_ID = 49_407
 WIDTH = 2
 BLOCK_BYTES = 8 << 20
+BLOCKS_PER_TASK = 8
 _ROWS = pa.schema([("kind", pa.string()), ("nth", pa.int64()), ("value", pa.binary())])
 _ENDS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("ends", pa.list_(pa.int64())),
                    ("stop", pa.int64())])
@@ -65,7 +68,11 @@ def file_blocks(spark: SparkSession, folder: str, width: int, block_bytes: int)
 
 
 def scan_ends(blocks: DataFrame, end_id: int, width: int) -> DataFrame:
-    """(file, block, ends, stop): positions of end ids, counted in ids from the file's start."""
+    """(file, block, ends, stop): positions of end ids, counted in ids from the file's start.
+
+    The number of tasks follows the number of blocks: the ranges themselves are a few bytes each,
+    so a partition sized by them would hold any amount of tokens.
+    """
     def run(batches):
         for rows in batches:
             for file, block, start, stop in zip(*(c.to_pylist() for c in rows.columns)):
@@ -75,7 +82,9 @@ def scan_ends(blocks: DataFrame, end_id: int, width: int) -> DataFrame:
                 ends = np.flatnonzero(ids == end_id) + start // width
                 yield batch(_ENDS, file=[file], block=[block], ends=[ends], stop=[stop // width])
 
-    return blocks.repartition("file", "block").mapInArrow(
+    n = blocks.count()
+    tasks = max(ceil(n / BLOCKS_PER_TASK), min(n, blocks.sparkSession.sparkContext.defaultParallelism), 1)
+    return blocks.repartition(tasks, "file", "block").mapInArrow(
         run, "file string, block long, ends array<long>, stop long")
 
 
@@ -84,17 +93,20 @@ def scan_token_files(spark: SparkSession, folder: str, end_id: int = END_ID, wid
     """(file, nth, start, n_tokens, ended): the documents of flat token files, in file order.
 
     Two end ids in a row are an empty document. Ids after the last end are a document with
-    ``ended`` false. Files without ids have no rows.
+    ``ended`` false. Files without ids have no rows. The scans over a file's blocks see two
+    numbers a block; the positions themselves stay where they are.
     """
-    found = scan_ends(file_blocks(spark, folder, width, block_bytes), end_id, width)
+    found = saved(scan_ends(file_blocks(spark, folder, width, block_bytes), end_id, width))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1)
     last = F.element_at("ends", -1)
-    stitched = found.withColumn("last", F.when(F.size("ends") > 0, last)).select(
-        "file", "ends", "stop", F.lead("block").over(Window.partitionBy("file").orderBy("block"))
+    stitched = found.select("file", "block", F.size("ends").alias("n_ends"),
+                            F.when(F.size("ends") > 0, last).alias("last")).select(
+        "file", "block", F.lead("block").over(Window.partitionBy("file").orderBy("block"))
         .isNull().alias("final"),
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("first"),
-        (F.coalesce(F.max("last").over(before), F.lit(-1)) + 1).alias("open"))
+        F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("first"),
+        (F.coalesce(F.max("last").over(before), F.lit(-1)) + 1).alias("open")).join(
+            found, ["file", "block"])
     whole = F.when(F.col("final") & (F.coalesce(F.try_element_at("ends", F.lit(-1)),
                                                 F.col("open") - 1) + 1 < F.col("stop")),
                    F.concat("ends", F.array("stop"))).otherwise(F.col("ends"))
@@ -126,5 +138,6 @@ def token_counts(docs: DataFrame, folder: str, tokenizer_path: str,
         return docs.sparkSession.createDataFrame([], "doc_id long, n_tokens long")
     found = scan_token_files(docs.sparkSession, f"{folder}/kind=tokens", block_bytes=block_bytes)
     name = F.element_at(F.split("file", "/"), -1)
-    return found.withColumn("name", name).join(
+    # a block's positions become many rows, so the planner's size of this side is too small to broadcast by
+    return found.withColumn("name", name).hint("merge").join(
         written_order(docs.sparkSession, folder), ["name", "nth"]).select("doc_id", "n_tokens")
