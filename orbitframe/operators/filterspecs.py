@@ -6,8 +6,6 @@ from orbitframe import constants as K
 from orbitframe.functions import orbits
 from orbitframe.operators.catalog import altitude_key, satcat_regime
 
-_KEYS = ["regime", "object_type", "country", "name_contains", "decayed", "min_inclination",
-         "max_inclination", "sort", "limit"]
 REGIMES = list(orbits.BANDS)
 TYPES = ["PAY", "R/B", "DEB"]
 SORTS = ["anomaly", "altitude_desc", "altitude_asc"]
@@ -21,37 +19,44 @@ def _one_of(value: Column, allowed: list[str]) -> Column:
 def parse_filter_specs(requests: DataFrame) -> DataFrame:
     """(request_id, text) to validated specs.
 
-    The outermost {...} of the text is read as JSON with every field as text.
-    Unknown keys are ignored, values outside the allowed sets become NULL, the
-    limit is clamped. Text without a JSON object becomes a name search.
+    The outermost {...} of the text is read as JSON; of a repeated key the last value counts.
+    Unknown keys are ignored, values outside the allowed sets become NULL, the limit is clamped.
+    The JSON type of a value decides: ``decayed`` takes booleans and texts, bounds take numbers,
+    numeric texts and booleans (1 or 0), the limit takes whole texts and cuts fractions off
+    numbers, empty or zero owners and names are none. Text without a JSON object becomes a name
+    search.
     """
+    spark = requests.sparkSession
+    # the parser's own default refuses an object that repeats a key
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     body = F.regexp_extract("text", r"(?s)\{.*\}", 0)
-    schema = ", ".join(f"`{k}` string" for k in _KEYS)
-    parsed = F.from_json(F.when(body != "", body), schema, {"mode": "PERMISSIVE",
-                         "columnNameOfCorruptRecord": "_bad"})
-    valid = F.expr("try_parse_json(_body)").isNotNull()
-    df = requests.withColumn("_body", body).withColumns({"_ok": F.coalesce(valid, F.lit(False)),
-                                                         "_j": parsed})
-    field = lambda k: F.when(F.col("_ok"), F.col(f"_j.{k}"))
-    number = lambda k: F.expr(f"try_cast(CASE WHEN _ok THEN _j.`{k}` END AS double)")
-    text = lambda k: F.nullif(F.trim(field(k)), F.lit(""))
-    # whole numbers count as limits, a fraction in a JSON number is cut off
-    limit = F.floor(number("limit"))
-    flag = F.lower(F.trim(field("decayed")))
+    df = requests.withColumn("_v", F.try_parse_json(F.when(body != "", body)))
+    raw = lambda k: F.try_variant_get("_v", f"$.{k}", "string")
+    kind = lambda k: F.schema_of_variant(F.try_variant_get("_v", f"$.{k}", "variant"))
+    truth = lambda k: F.when(kind(k) == "BOOLEAN", F.try_variant_get("_v", f"$.{k}", "boolean"))
+    number = lambda k: F.coalesce(truth(k).cast("double"), raw(k).try_cast("double"))
+    isnt_number = lambda k: kind(k).isin("STRING", "BOOLEAN") | kind(k).rlike("^(OBJECT|ARRAY)<")
+    nothing = lambda k: truth(k).eqNullSafe(F.lit(False)) | raw(k).isin("", "[]", "{}") | (
+        ~isnt_number(k) & (number(k) == 0))
+    text = lambda k: F.when(~F.coalesce(nothing(k), F.lit(True)), F.nullif(F.trim(
+        F.when(truth(k), F.lit("True")).otherwise(raw(k))), F.lit("")))
+    whole = F.when(kind("limit") == "STRING", F.when(
+        raw("limit").rlike(r"^\s*[+-]?[0-9]+\s*$"), number("limit"))).otherwise(number("limit"))
+    flag = F.when(kind("decayed") == "STRING", F.lower(F.trim(raw("decayed"))).isin("true", "yes", "1"))
+    parsed = F.col("_v").isNotNull()
     return df.select(
-        "request_id", F.col("_ok").alias("parsed"),
-        _one_of(F.upper(field("regime")), REGIMES).alias("regime"),
-        _one_of(F.regexp_replace(F.upper(field("object_type")), "RB", "R/B"), TYPES)
+        "request_id", parsed.alias("parsed"),
+        _one_of(F.upper(raw("regime")), REGIMES).alias("regime"),
+        _one_of(F.regexp_replace(F.upper(raw("object_type")), "RB", "R/B"), TYPES)
         .alias("object_type"),
         text("country").alias("country"),
-        F.when(F.col("_ok"), text("name_contains")).otherwise(F.col("text"))
-        .alias("name_contains"),
-        F.when(flag.isNotNull(), flag.isin("true", "yes", "1")).alias("decayed"),
+        F.when(parsed, text("name_contains")).otherwise(F.col("text")).alias("name_contains"),
+        F.coalesce(truth("decayed"), flag).alias("decayed"),
         number("min_inclination").alias("min_inclination"),
         number("max_inclination").alias("max_inclination"),
-        _one_of(F.lower(field("sort")), SORTS).alias("sort"),
-        F.greatest(F.lit(1), F.least(F.lit(K.SPEC_MAX_LIMIT), F.coalesce(
-            limit, F.lit(K.SPEC_DEFAULT_LIMIT)))).cast("int").alias("limit"))
+        _one_of(F.lower(raw("sort")), SORTS).alias("sort"),
+        F.greatest(F.lit(1.0), F.least(F.lit(float(K.SPEC_MAX_LIMIT)), F.coalesce(
+            whole, F.lit(float(K.SPEC_DEFAULT_LIMIT))))).cast("int").alias("limit"))
 
 
 def _key(*parts: Column) -> Column:

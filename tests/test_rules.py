@@ -117,6 +117,12 @@ def test_clean_text(spark):
     ('{"decayed": "true", "limit": 0, "sort": "ANOMALY"}',
      dict(decayed=True, limit=1, sort="anomaly")),
     ('{"decayed": true, "max_inclination": 97.5}', dict(decayed=True, max_inclination=97.5)),
+    ('{"decayed": 1, "limit": "3.7", "min_inclination": true, "max_inclination": "88"}',
+     dict(decayed=None, limit=50, min_inclination=1.0, max_inclination=88.0)),
+    ('{"limit": 7.9, "limit": 12.6, "country": 0, "name_contains": false, "decayed": "YES "}',
+     dict(parsed=True, limit=12, country=None, name_contains=None, decayed=True)),
+    ('{"limit": " 9 ", "country": 5, "name_contains": [], "min_inclination": [1], "regime": null}',
+     dict(limit=9, country="5", name_contains=None, min_inclination=None, regime=None)),
     ("cosmos", dict(parsed=False, name_contains="cosmos", limit=50, decayed=None)),
     ("{not json}", dict(parsed=False, name_contains="{not json}"))])
 def test_parse_specs(spark, text, expected):
