@@ -28,12 +28,15 @@ TITLE = {
     "reentry_monitoring": "Monitor the re-entry",
     "routine_custody": "Routine custody",
 }
+# category -> name and description of its public channel
 CHANNEL = {
-    "collision-avoidance": "conjunction data messages between operators and screening providers",
-    "policy": "debris-mitigation guidelines and the registration of space objects",
-    "characterization": "tasking of a sensor network",
-    "monitoring": "standing watch items and re-entry campaigns",
-    "tracking": "the cataloguing authority's tracking service",
+    "collision-avoidance": ("Conjunction messages", "conjunction data messages between operators and "
+                            "screening providers"),
+    "policy": ("Guidelines and registry", "debris-mitigation guidelines and the registration of space "
+               "objects"),
+    "characterization": ("Sensor network", "tasking of a sensor network"),
+    "monitoring": ("Watch service", "standing watch items and re-entry campaigns"),
+    "tracking": ("Catalogue service", "the cataloguing authority's tracking service"),
 }
 
 
@@ -97,11 +100,11 @@ def recommend_actions(dossier: DataFrame) -> DataFrame:
 def response_posture(with_actions: DataFrame) -> DataFrame:
     """Overall level and the public coordination channels that apply."""
     categories = F.array_distinct(F.transform("actions", lambda a: a["category"]))
-    channel = lambda k: first_match([(k == name, F.lit(text)) for name, text in CHANNEL.items()])
+    channel = lambda k, i: first_match([(k == c, F.lit(text[i])) for c, text in CHANNEL.items()])
     rank = F.coalesce(F.array_max(F.transform("actions", lambda a: urgency_rank(a["urgency"]))),
                       F.lit(1))
     level = first_match([(rank == r, F.lit(name)) for name, r in URGENCY_RANK.items()])
     return with_actions.withColumns({
         "posture": level,
         "channels": F.transform(categories, lambda k: F.struct(
-            k.alias("category"), channel(k).alias("channel")))})
+            k.alias("category"), channel(k, 0).alias("name"), channel(k, 1).alias("description")))})

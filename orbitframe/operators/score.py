@@ -68,8 +68,9 @@ def proximity_to_assets(objects: DataFrame, assets: DataFrame, as_of,
     comes within the far limit: assets are spread over radius shells, an object
     looks into its own shell. Shells are salted on the object side and reduced
     by map-side minimum. With assets present but none in reach the factor is 0
-    and the range is NULL (beyond the far limit). Objects whose set is older
-    than ``max_age_days`` at ``as_of`` get NULL.
+    and the range is NULL (beyond the far limit). Assets without a complete,
+    closed orbit are none; if no other is left the factor is NULL. Objects whose
+    set is older than ``max_age_days`` at ``as_of`` get NULL.
     """
     at = F.lit(as_of).cast("timestamp")
     fresh = F.abs(orbits.days_between(at, F.col("epoch"))) <= max_age_days
@@ -84,6 +85,8 @@ def proximity_to_assets(objects: DataFrame, assets: DataFrame, as_of,
     n = orbits.mean_motion_rad_s(F.col("revs_per_day"))
     a = orbits.semi_major_km(n)
     reach = K.PROXIMITY_FAR_KM
+    whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in ELEMENTS])
+    assets = assets.where(whole & (F.col("revs_per_day") > 0) & (F.col("ecc") >= 0) & (F.col("ecc") < 1))
     pool = assets.select(F.col("norad_id").alias("asset_id"), F.col("name").alias("asset_name"),
                          *[F.col(c).alias(f"el_{c}") for c in ELEMENTS],
                          (a * (1 - F.col("ecc")) - reach).alias("_low"),
@@ -125,10 +128,55 @@ def combine_factors(factors: DataFrame) -> DataFrame:
         "n_factors": total([present[f].cast("int") for f in FACTORS])})
 
 
+def _explained(absent: str, *cases: tuple[Column, Column | str], otherwise: Column | str) -> Column:
+    """The first case that holds; ``absent`` where the factor is NULL."""
+    text = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.coalesce(*[F.when(c, text(v)) for c, v in cases], text(otherwise), F.lit(absent))
+
+
+def factor_explanations() -> dict[str, Column]:
+    """Why each factor column has its value, or why it has none."""
+    c, say = F.col, F.format_string
+    when_known = lambda name, text: F.when(c(name).isNotNull(), text)
+    return {
+        "maneuver_activity": _explained(
+            "too few element sets for a noise floor",
+            (c("maneuver_activity") == 0, "no burn stands out from the noise floor"),
+            (c("maneuver_activity") >= 1, F.lit(
+                f"largest burn at least {K.ACTIVITY_SATURATION_MS:.0f} m/s")),
+            otherwise=when_known("maneuver_activity", say(
+                "largest burn %.1f m/s", c("maneuver_activity") * K.ACTIVITY_SATURATION_MS))),
+        "anomalous_rate": _explained(
+            "too few campaigns for a usual pattern",
+            otherwise=when_known("anomalous_rate", say(
+                "%.0f %% of campaigns leave the usual pattern", c("anomalous_rate") * 100))),
+        "regime_sensitivity": _explained(
+            "no orbit to classify",
+            otherwise=when_known("regime_sensitivity", say(
+                "weight of the orbit regime and its special tags, %.2f", c("regime_sensitivity")))),
+        "proximity_to_hva": _explained(
+            "no usable asset, or the object's element set is too old",
+            (c("proximity_to_hva") == 0, F.lit(
+                f"no high-value asset within {K.PROXIMITY_FAR_KM:.0f} km")),
+            (c("proximity_to_hva") >= 1, F.lit(
+                f"a high-value asset within {K.PROXIMITY_NEAR_KM:.0f} km")),
+            otherwise=when_known("proximity_to_hva", say(
+                "nearest high-value asset at about %.0f km", F.lit(K.PROXIMITY_NEAR_KM)
+                + (1 - c("proximity_to_hva")) * (K.PROXIMITY_FAR_KM - K.PROXIMITY_NEAR_KM)))),
+        "attribution": _explained(
+            "not in the catalogue",
+            (c("attribution") == 0, "owner and type are known"),
+            (c("attribution") >= 1, "neither owner nor type is known"),
+            otherwise=when_known("attribution", F.lit("only one of owner and type is known"))),
+    }
+
+
 def factor_list() -> Column:
-    """Factor columns as an array of (name, value, weight)."""
-    return F.array(*[F.struct(F.lit(f).alias("name"), F.col(f).alias("value"),
-                              F.lit(K.FACTOR_WEIGHTS[f]).alias("weight")) for f in FACTORS])
+    """Factor columns as an array of (name, value, weight, explanation)."""
+    why = factor_explanations()
+    return F.array(*[F.struct(
+        F.lit(f).alias("name"), F.col(f).alias("value"), F.lit(K.FACTOR_WEIGHTS[f]).alias("weight"),
+        why[f].alias("explanation")) for f in FACTORS])
 
 
 def threat_scores(ids: DataFrame, floors: DataFrame, events: DataFrame, classified: DataFrame,

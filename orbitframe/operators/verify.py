@@ -119,9 +119,13 @@ def facts_from_disposal(assessed: DataFrame, report: str = "norad_id") -> DataFr
 
 
 def facts_from_cycle(cycle: DataFrame, findings: DataFrame, report: str = "cycle_id") -> DataFrame:
-    """Counts and finding texts of watch cycles."""
+    """Counts and finding texts of watch cycles; a quiet cycle has counts of zero.
+
+    A finding without an object is keyed by the checksum of its text, so two of a kind differ.
+    """
     counts = finding_counts(findings, report)
-    joined = cycle.select(report, "run_at").join(counts, report)
+    joined = cycle.select(report, "run_at").join(counts, report, "left").fillna(
+        0, ["n_findings", "priority", "elevated"])
     head = _long(joined, report, [
         _fact("cycle_run_at", "run time", text=_iso("run_at")),
         _fact("n_findings", "findings", number=F.col("n_findings")),
@@ -129,7 +133,8 @@ def facts_from_cycle(cycle: DataFrame, findings: DataFrame, report: str = "cycle
         _fact("n_elevated", "elevated findings", number=F.col("elevated"))])
     body = _long(findings, report, [_fact(
         F.concat(F.lit("finding_"), F.col("kind"), F.lit("_"),
-                 F.coalesce(F.col("norad_id").cast("string"), F.lit("population"))),
+                 F.coalesce(F.col("norad_id").cast("string"), F.concat(
+                     F.lit("population_"), F.crc32(F.col("summary").cast("binary"))))),
         F.concat(F.lit("finding, "), F.col("significance")), text=F.col("summary"))])
     return head.unionByName(body)
 
@@ -224,24 +229,34 @@ def unbacked_numbers(numbers: DataFrame, pools: DataFrame) -> DataFrame:
 
 
 def verify_sentences(texts: DataFrame, pools: DataFrame) -> DataFrame:
-    """Per sentence: how many numbers it states and how many are unbacked."""
+    """Per sentence: how many numbers it states and how many are unbacked.
+
+    A sentence counts its own numbers; only the unbacked ones are joined to it.
+    """
     sentences = split_sentences(texts)
-    numbers = numbers_in(sentences)
     key = ["report_id", "seq"]
-    stated = numbers.groupBy(*key).agg(F.count("*").alias("n_numbers"))
-    bad = unbacked_numbers(numbers, pools).groupBy(*key).agg(
+    bad = unbacked_numbers(numbers_in(sentences), pools).groupBy(*key).agg(
         F.count("*").alias("n_unbacked"))
-    return sentences.join(stated, key, "left").join(bad, key, "left").select(
-        *key, "sentence", F.coalesce("n_numbers", F.lit(0)).alias("n_numbers"),
+    stated = F.when(F.col("sentence").rlike("[0-9]"), F.size(F.filter(
+        number_strings(F.col("sentence")),
+        lambda n: n.try_cast("double").isNotNull())).cast("long")).otherwise(0)
+    return sentences.join(bad, key, "left").select(
+        *key, "sentence", stated.alias("n_numbers"),
         F.coalesce("n_unbacked", F.lit(0)).alias("n_unbacked"),
         F.col("n_unbacked").isNull().alias("grounded"))
 
 
 def verify_texts(texts: DataFrame, pools: DataFrame) -> DataFrame:
-    """Per report: sentences, ungrounded sentences and the verdict."""
-    return verify_sentences(texts, pools).groupBy("report_id").agg(
-        F.count("*").alias("n_sentences"), F.count_if(~F.col("grounded")).alias("n_ungrounded"),
-    ).withColumn("all_grounded", F.col("n_ungrounded") == 0)
+    """Per report (one text each): sentences, ungrounded sentences and the verdict.
+
+    Sentences are counted where they are cut; no sentence text is shuffled.
+    """
+    sentences = split_sentences(texts)
+    total = sentences.groupBy("report_id").agg(F.count("*").alias("n_sentences"))
+    bad = unbacked_numbers(numbers_in(sentences), pools).groupBy("report_id").agg(
+        F.count_distinct("seq").alias("n_ungrounded"))
+    return total.join(bad, "report_id", "left").fillna(0, ["n_ungrounded"]).withColumn(
+        "all_grounded", F.col("n_ungrounded") == 0)
 
 
 def clean_generated_text(texts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from orbitframe.operators import behaviour, decay, maneuver, score
 from orbitframe.plans.adapters import oracle, view
 from orbitframe.plans.compare import plain, r6
+from orbitframe.plans.orbit_queries import SET, STATE, ric_ctes, state_ctes
 from orbitframe.plans.query import Query
 
 FLOORS = """
@@ -143,7 +144,23 @@ QUERIES = {
             SELECT norad_id, event_id, prev_event_id, {r6('gap_days')} FROM p
             WHERE gap_days > 0 AND gap_days <= 10""")),
     "pair_residuals": Query(
-        lambda s, d: plain(maneuver.pair_residuals(view(s, d, "history")), digits=3)),
+        lambda s, d: plain(maneuver.pair_residuals(view(s, d, "history")), digits=3),
+        oracle(["history"], f"""
+            WITH {state_ctes('history', '0e0', 'own')},
+            held AS (SELECT norad_id, {', '.join(SET)},
+                lead(epoch_utc) OVER (PARTITION BY norad_id ORDER BY epoch_utc) AS t FROM history),
+            kept AS (SELECT * FROM held WHERE t - epoch_utc > 0 AND t - epoch_utc <= 864000000),
+            {state_ctes('kept', '(t - epoch_utc) / 1000e0', 'told')},
+            both_ AS (SELECT p.norad_id, p.t, (p.t - p.epoch_utc) / 86400000e0 AS gap_days,
+                {', '.join(f'o.{c} AS a_{c}, p.{c} AS b_{c}' for c in STATE)}
+              FROM told p JOIN own o ON o.norad_id = p.norad_id AND o.epoch_utc = p.t
+              WHERE sqrt(o.rx * o.rx + o.ry * o.ry + o.rz * o.rz) >= 6378.137
+                AND sqrt(p.rx * p.rx + p.ry * p.ry + p.rz * p.rz) >= 6378.137),
+            {ric_ctes('both_', 'rel')}
+            SELECT norad_id, t AS epoch, {r6('gap_days', digits=3)},
+              {r6('1000 * speed_kms', 'dv_ms', 3)}, {r6('-1000 * vel_r', 'dv_r_ms', 3)},
+              {r6('-1000 * vel_i', 'dv_i_ms', 3)}, {r6('-1000 * vel_c', 'dv_c_ms', 3)},
+              {r6('range_km', 'pos_err_km', 3)} FROM rel""")),
     "noise_floor": Query(
         lambda s, d: plain(maneuver.noise_floor(_residuals(s, d))),
         oracle(["residuals"], f"""WITH {FLOORS}

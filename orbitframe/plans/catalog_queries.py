@@ -68,6 +68,31 @@ specs AS (SELECT request_id, ok AS parsed,
   FROM specs_text)"""
 
 
+ACTIONS = """
+found AS (SELECT norad_id, list_filter([
+      CASE WHEN maneuver_activity >= 0.5 AND proximity_to_hva >= 0.4
+        THEN 'persistent_custody:priority'
+        WHEN proximity_to_hva >= 0.6 THEN 'elevate_cadence:elevated' END,
+      CASE WHEN rpo_label IN ('likely', 'possible') THEN
+        CASE WHEN coalesce(same_launch_lineage, false)
+          THEN 'confirm_deployment:elevated' ELSE 'notify_operator:priority' END END,
+      CASE WHEN attribution >= 0.5 THEN 'characterize_unknown:elevated' END,
+      CASE WHEN anomalous_rate >= 0.3 THEN 'maneuver_watchlist:elevated' END,
+      CASE WHEN compliant = false THEN 'disposal_followup:elevated' END,
+      CASE WHEN days_to_reentry IS NOT NULL THEN 'reentry_monitoring:' ||
+        CASE WHEN days_to_reentry < 30 THEN 'priority' WHEN days_to_reentry < 120
+          THEN 'elevated' ELSE 'routine' END END],
+      lambda x: x IS NOT NULL) AS a FROM dossier_rows),
+  full_ AS (SELECT norad_id, CASE WHEN len(a) = 0 THEN ['routine_custody:routine']
+      ELSE a END AS a FROM found),
+  sorted_ AS (SELECT norad_id, list_concat(
+      list_filter(a, lambda x: x LIKE '%:priority'),
+      list_concat(list_filter(a, lambda x: x LIKE '%:elevated'),
+        list_filter(a, lambda x: x LIKE '%:routine'))) AS a FROM full_)"""
+_CATEGORY = "CASE " + " ".join(
+    f"WHEN x LIKE '{name}:%' THEN '{kind}'" for name, kind in actions.CATEGORY.items()) + " END"
+
+
 def _satcat(s, d):
     return view(s, d, "satcat")
 
@@ -338,7 +363,19 @@ QUERIES = {
               name_contains, CAST(decayed AS STRING) AS decayed, {r6('min_inclination')},
               {r6('max_inclination')}, sort, "limit" FROM specs""")),
     "describe_specs": Query(
-        lambda s, d: filterspecs.describe_specs(_parsed(s, d)).select("request_id", "description")),
+        lambda s, d: filterspecs.describe_specs(_parsed(s, d)).select("request_id", "description"),
+        oracle(["requests"], f"""WITH {SPECS}
+            SELECT request_id, concat_ws(' ',
+                CASE object_type WHEN 'PAY' THEN 'payloads' WHEN 'R/B' THEN 'rocket bodies'
+                  WHEN 'DEB' THEN 'debris' ELSE 'objects' END,
+                'in ' || regime, 'owned by ' || upper(country), 'named like ' || name_contains,
+                CASE WHEN min_inclination IS NOT NULL OR max_inclination IS NOT NULL THEN 'inclination '
+                  || regexp_replace(CAST(coalesce(min_inclination, 0) AS STRING), '\\.0$', '') || ' to '
+                  || regexp_replace(CAST(coalesce(max_inclination, 180) AS STRING), '\\.0$', '') END,
+                CASE WHEN decayed THEN '(decayed)' END)
+              || CASE sort WHEN 'anomaly' THEN ', most anomalous first' WHEN 'altitude_desc'
+                THEN ', highest first' WHEN 'altitude_asc' THEN ', lowest first' ELSE '' END
+              || ', top ' || CAST("limit" AS STRING) AS description FROM specs""")),
     "apply_filter_specs": Query(
         lambda s, d: plain(filterspecs.apply_filter_specs(
             _satcat(s, d), _parsed(s, d), view(s, d, "scores"))),
@@ -372,34 +409,20 @@ QUERIES = {
             "norad_id", "top_action", "top_urgency", F.array_join(F.transform(
                 "actions", lambda a: F.concat(a["action_id"], F.lit(":"), a["urgency"])), ",")
             .alias("action_list")),
-        oracle(["dossier_rows"], """
-            WITH found AS (SELECT norad_id, list_filter([
-                CASE WHEN maneuver_activity >= 0.5 AND proximity_to_hva >= 0.4
-                  THEN 'persistent_custody:priority'
-                  WHEN proximity_to_hva >= 0.6 THEN 'elevate_cadence:elevated' END,
-                CASE WHEN rpo_label IN ('likely', 'possible') THEN
-                  CASE WHEN coalesce(same_launch_lineage, false)
-                    THEN 'confirm_deployment:elevated' ELSE 'notify_operator:priority' END END,
-                CASE WHEN attribution >= 0.5 THEN 'characterize_unknown:elevated' END,
-                CASE WHEN anomalous_rate >= 0.3 THEN 'maneuver_watchlist:elevated' END,
-                CASE WHEN compliant = false THEN 'disposal_followup:elevated' END,
-                CASE WHEN days_to_reentry IS NOT NULL THEN 'reentry_monitoring:' ||
-                  CASE WHEN days_to_reentry < 30 THEN 'priority' WHEN days_to_reentry < 120
-                    THEN 'elevated' ELSE 'routine' END END],
-                lambda x: x IS NOT NULL) AS a FROM dossier_rows),
-            full_ AS (SELECT norad_id, CASE WHEN len(a) = 0 THEN ['routine_custody:routine']
-                ELSE a END AS a FROM found),
-            sorted_ AS (SELECT norad_id, list_concat(
-                list_filter(a, lambda x: x LIKE '%:priority'),
-                list_concat(list_filter(a, lambda x: x LIKE '%:elevated'),
-                  list_filter(a, lambda x: x LIKE '%:routine'))) AS a FROM full_)
+        oracle(["dossier_rows"], f"""
+            WITH {ACTIONS}
             SELECT norad_id, split_part(a[1], ':', 1) AS top_action,
               split_part(a[1], ':', 2) AS top_urgency, array_to_string(a, ',') AS action_list
             FROM sorted_""")),
     "response_posture": Query(
         lambda s, d: actions.response_posture(actions.recommend_actions(
             view(s, d, "dossier_rows"))).select("norad_id", "posture", F.array_join(F.transform(
-                "channels", lambda c: c["category"]), ",").alias("categories"))),
+                "channels", lambda c: c["category"]), ",").alias("categories")),
+        oracle(["dossier_rows"], f"""
+            WITH {ACTIONS}, kinds AS (SELECT norad_id, split_part(a[1], ':', 2) AS posture,
+                list_transform(a, lambda x: {_CATEGORY}) AS k FROM sorted_)
+            SELECT norad_id, posture, array_to_string(list_filter(k, lambda x, i:
+                list_position(k, x) = i), ',') AS categories FROM kinds""")),
     "combine_factors": Query(
         lambda s, d: plain(score.combine_factors(view(s, d, "dossier_rows")).select(
             "norad_id", "score", "n_factors")),

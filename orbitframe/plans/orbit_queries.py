@@ -112,10 +112,80 @@ SCREENED = f"""screened AS (
     {_ANGLE} AS plane_angle_deg
   FROM elements a JOIN elements b ON {_BANDS} WHERE {_ANGLE} <= 30)"""
 
+def ric_ctes(source: str, name: str) -> str:
+    """CTEs with the motion of b around a of ``source`` rows in the rotating frame of a."""
+    return f"""
+{name}_a AS (SELECT *, a_ry * a_vz - a_rz * a_vy AS hx, a_rz * a_vx - a_rx * a_vz AS hy,
+    a_rx * a_vy - a_ry * a_vx AS hz, a_rx * a_rx + a_ry * a_ry + a_rz * a_rz AS r2,
+    b_rx - a_rx AS dx, b_ry - a_ry AS dy, b_rz - a_rz AS dz FROM {source}),
+{name}_b AS (SELECT *, sqrt(hx * hx + hy * hy + hz * hz) AS hn, sqrt(r2) AS rn,
+    (b_vx - a_vx) - (hy * dz - hz * dy) / r2 AS ux, (b_vy - a_vy) - (hz * dx - hx * dz) / r2 AS uy,
+    (b_vz - a_vz) - (hx * dy - hy * dx) / r2 AS uz FROM {name}_a),
+{name}_c AS (SELECT *, (hy * a_rz - hz * a_ry) / (hn * rn) AS ix,
+    (hz * a_rx - hx * a_rz) / (hn * rn) AS iy, (hx * a_ry - hy * a_rx) / (hn * rn) AS iz
+  FROM {name}_b),
+{name} AS (SELECT *, (a_rx * dx + a_ry * dy + a_rz * dz) / rn AS rho_r, ix * dx + iy * dy + iz * dz AS rho_i,
+    (hx * dx + hy * dy + hz * dz) / hn AS rho_c, (a_rx * ux + a_ry * uy + a_rz * uz) / rn AS vel_r,
+    ix * ux + iy * uy + iz * uz AS vel_i, (hx * ux + hy * uy + hz * uz) / hn AS vel_c,
+    sqrt(dx * dx + dy * dy + dz * dz) AS range_km, sqrt(ux * ux + uy * uy + uz * uz) AS speed_kms
+  FROM {name}_c)"""
+
+
+STATE = ["rx", "ry", "rz", "vx", "vy", "vz"]
+SET = ["epoch_utc", "incl_deg", "raan_deg", "ecc", "argp_deg", "mean_anom_deg", "revs_per_day"]
+
+
+def nearest_ctes(grid: str, who: str, name: str) -> str:
+    """CTE ``name``: grid rows with the element set of ``who`` nearest in time, as plain columns."""
+    return f"""
+{name} AS (SELECT g.*, {', '.join(f'h.{c}' for c in SET)} FROM {grid} g
+  JOIN history h ON h.norad_id = g.{who} AND abs(h.epoch_utc - g.t) <= 259200000
+  QUALIFY row_number() OVER (PARTITION BY actor, target, t
+    ORDER BY abs(h.epoch_utc - g.t), h.epoch_utc) = 1)"""
+
+
+def aligned_ctes(step_ms: int) -> str:
+    """CTE ``aligned``: states a_ and b_ of neighbouring pairs on their common grid."""
+    side = lambda p: ", ".join(f"{c} AS {p}_{c}" for c in STATE)
+    return f"""
+span AS (SELECT norad_id, min(epoch_utc) AS t0, max(epoch_utc) AS t1 FROM history GROUP BY 1),
+common AS (SELECT actor, target, greatest(a.t0, b.t0) AS t0, least(a.t1, b.t1) AS t1
+  FROM neighbour_pairs p JOIN span a ON a.norad_id = actor JOIN span b ON b.norad_id = target),
+grid AS (SELECT actor, target, unnest(range(t0, t0 + {step_ms} * greatest(
+    2, (t1 - t0) // {step_ms} + 1), {step_ms})) AS t FROM common WHERE t1 > t0),
+{nearest_ctes('grid', 'actor', 'near_a')}, {state_ctes('near_a', '(t - epoch_utc) / 1000e0', 'at_a')},
+{nearest_ctes('grid', 'target', 'near_b')}, {state_ctes('near_b', '(t - epoch_utc) / 1000e0', 'at_b')},
+aligned AS (SELECT * FROM (SELECT actor, target, t, {side('a')} FROM at_a) x
+  JOIN (SELECT actor, target, t, {side('b')} FROM at_b) y USING (actor, target, t)
+  WHERE a_rx * a_rx + a_ry * a_ry + a_rz * a_rz >= 6378.137e0 * 6378.137e0
+    AND b_rx * b_rx + b_ry * b_ry + b_rz * b_rz >= 6378.137e0 * 6378.137e0)"""
+
+
 _AT = "timestamp'2024-01-12 06:00:00'"
 _AT_MS = 1705039200000
 
 
+# nearest usable asset of every object at its own epoch: CTE ``best``
+NEAREST = f"""{state_ctes('elements', '0e0', 'own')},
+usable AS (SELECT norad_id, epoch_utc AS t, rx AS ox, ry AS oy, rz AS oz FROM own
+  WHERE abs(1705276800000 - epoch_utc) <= 2592000000
+    AND sqrt(rx * rx + ry * ry + rz * rz) >= 6378.137),
+met AS (SELECT o.norad_id AS id, t, ox, oy, oz, a.name AS asset_name, e.* FROM usable o
+  JOIN assets a ON a.norad_id <> o.norad_id JOIN elements e ON e.norad_id = a.norad_id),
+{state_ctes('met', '(t - epoch_utc) / 1000e0', 'hit')},
+gaps AS (SELECT id, norad_id AS asset_id, asset_name,
+    sqrt(pow(rx - ox, 2) + pow(ry - oy, 2) + pow(rz - oz, 2)) AS gap FROM hit
+  WHERE sqrt(rx * rx + ry * ry + rz * rz) >= 6378.137),
+best AS (SELECT * FROM gaps WHERE gap >= 2
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY gap, asset_id) = 1)"""
+RAMP = """(CASE WHEN gap <= 50 THEN 1.0 WHEN gap >= 5000 THEN 0.0
+  WHEN gap IS NOT NULL THEN 1.0 - (gap - 50) / 4950 END)::DOUBLE"""
+SENSITIVITY = """(least(1.0, CASE "primary" WHEN 'GEO' THEN 1.0 WHEN 'GRAVEYARD' THEN 0.9
+    WHEN 'MEO' THEN 0.6 WHEN 'LEO' THEN 0.5 WHEN 'HEO' THEN 0.5 WHEN 'GTO' THEN 0.4 ELSE 0.3 END
+  + CASE WHEN contains(special_tags, 'MOLNIYA') OR contains(special_tags, 'TUNDRA') THEN 0.2
+    WHEN contains(special_tags, 'SSO') THEN 0.15 ELSE 0 END))::DOUBLE"""
+
+
 def _elements(s, d):
     return view(s, d, "elements")
 
@@ -174,11 +244,7 @@ QUERIES = {
         lambda s, d: plain(score.regime_sensitivity(el.classify_regime(_elements(s, d))).select(
             "norad_id", "regime_sensitivity")),
         oracle(["elements"], f"""WITH {LADDER}
-            SELECT norad_id, round(least(1.0, CASE "primary" WHEN 'GEO' THEN 1.0
-              WHEN 'GRAVEYARD' THEN 0.9 WHEN 'MEO' THEN 0.6 WHEN 'LEO' THEN 0.5
-              WHEN 'HEO' THEN 0.5 WHEN 'GTO' THEN 0.4 ELSE 0.3 END
-              + CASE WHEN contains(special_tags, 'MOLNIYA') OR contains(special_tags, 'TUNDRA')
-                THEN 0.2 WHEN contains(special_tags, 'SSO') THEN 0.15 ELSE 0 END)::DOUBLE, 6)
+            SELECT norad_id, round({SENSITIVITY}, 6)
               AS regime_sensitivity FROM classified""")),
     "burn_direction": Query(
         lambda s, d: view(s, d, "residuals").select("event_id", orbits.burn_direction(
@@ -228,7 +294,24 @@ QUERIES = {
     "ground_track": Query(
         lambda s, d: plain(trajectory.ground_track(trajectory.ephemeris_grid(
             _elements(s, d), F.expr(_AT), F.expr(_AT) + F.expr("INTERVAL 30 MINUTE"), 600.0)),
-            digits=4)),
+            digits=4),
+        oracle(["elements"], f"""
+            WITH grid AS (SELECT e.*, t.t FROM elements e
+              CROSS JOIN (SELECT {_AT_MS} + 600000 * i AS t FROM range(4) r(i)) t),
+            {state_ctes('grid', '(t - epoch_utc) / 1000e0', 'st')},
+            turned AS (SELECT *, sqrt(rx * rx + ry * ry) AS q, 1 / 298.257223563e0 AS f,
+                radians((280.46061837e0 + 360.98564736629e0 * (t / 86400000e0 - 10957.5e0)) % 360e0) AS g
+              FROM st WHERE sqrt(rx * rx + ry * ry + rz * rz) >= 6378.137),
+            shaped AS (SELECT *, f * (2 - f) AS e2, 6378.137e0 * (1 - f) AS b,
+                atan2(rz * 6378.137e0, q * 6378.137e0 * (1 - f)) AS th FROM turned),
+            placed AS (SELECT *, atan2(rz + e2 / (1 - e2) * b * pow(sin(th), 3),
+                q - e2 * 6378.137e0 * pow(cos(th), 3)) AS lat,
+                (atan2(ry, rx) - g + pi()) % (2 * pi()) AS turn FROM shaped)
+            SELECT norad_id, t, {r6('degrees(lat)', 'lat_deg', 4)},
+              {r6('degrees(CASE WHEN turn < 0 THEN turn + 2 * pi() ELSE turn END - pi())', 'lon_deg', 4)},
+              {r6('q * cos(lat) + rz * sin(lat) - 6378.137e0 * sqrt(1 - e2 * sin(lat) * sin(lat))',
+                  'alt_km', 4)}
+            FROM placed""")),
     "nearest_epoch_join": Query(
         lambda s, d: plain(trajectory.nearest_epoch_join(
             view(s, d, "coarse_sets").select("norad_id", F.col("epoch").alias("t"))
@@ -246,24 +329,10 @@ QUERIES = {
             "norad_id", "rho_r", "rho_i", "rho_c", "vel_r", "vel_i", "vel_c", "range_km",
             "speed_kms"), digits=5),
         oracle(["relative"], f"""
-            WITH a AS (SELECT *, a_ry * a_vz - a_rz * a_vy AS hx, a_rz * a_vx - a_rx * a_vz AS hy,
-                a_rx * a_vy - a_ry * a_vx AS hz, a_rx * a_rx + a_ry * a_ry + a_rz * a_rz AS r2,
-                b_rx - a_rx AS dx, b_ry - a_ry AS dy, b_rz - a_rz AS dz FROM relative),
-            b AS (SELECT *, sqrt(hx * hx + hy * hy + hz * hz) AS hn, sqrt(r2) AS rn,
-                (b_vx - a_vx) - (hy * dz - hz * dy) / r2 AS ux,
-                (b_vy - a_vy) - (hz * dx - hx * dz) / r2 AS uy,
-                (b_vz - a_vz) - (hx * dy - hy * dx) / r2 AS uz FROM a),
-            c AS (SELECT *, (hy * a_rz - hz * a_ry) / (hn * rn) AS ix,
-                (hz * a_rx - hx * a_rz) / (hn * rn) AS iy,
-                (hx * a_ry - hy * a_rx) / (hn * rn) AS iz FROM b)
-            SELECT norad_id, {r6('(a_rx * dx + a_ry * dy + a_rz * dz) / rn', 'rho_r', 5)},
-              {r6('ix * dx + iy * dy + iz * dz', 'rho_i', 5)},
-              {r6('(hx * dx + hy * dy + hz * dz) / hn', 'rho_c', 5)},
-              {r6('(a_rx * ux + a_ry * uy + a_rz * uz) / rn', 'vel_r', 5)},
-              {r6('ix * ux + iy * uy + iz * uz', 'vel_i', 5)},
-              {r6('(hx * ux + hy * uy + hz * uz) / hn', 'vel_c', 5)},
-              {r6('sqrt(dx * dx + dy * dy + dz * dz)', 'range_km', 5)},
-              {r6('sqrt(ux * ux + uy * uy + uz * uz)', 'speed_kms', 5)} FROM c""")),
+            WITH {ric_ctes('relative', 'rel')}
+            SELECT norad_id, {', '.join(r6(c, digits=5) for c in (
+                'rho_r', 'rho_i', 'rho_c', 'vel_r', 'vel_i', 'vel_c', 'range_km', 'speed_kms'))}
+            FROM rel""")),
     "cw_propagate": Query(
         lambda s, d: plain(trajectory.cw_propagate(_elements(s, d).select(
             "norad_id", F.expr("(norad_id % 13) * 0.1e0").alias("x"),
@@ -347,7 +416,14 @@ QUERIES = {
     "proximity_to_assets": Query(
         lambda s, d: plain(score.proximity_to_assets(
             _elements(s, d), view(s, d, "assets").join(_elements(s, d).drop("name"), "norad_id"),
-            "2024-01-15"), digits=4)),
+            "2024-01-15"), digits=4),
+        oracle(["elements", "assets"], f"""
+            WITH {NEAREST}
+            SELECT e.norad_id, CASE WHEN gap <= 5000 THEN asset_id END AS asset_id,
+              CASE WHEN gap <= 5000 THEN asset_name END AS asset_name,
+              CASE WHEN gap <= 5000 THEN round(gap, 4) + 0.0 END AS nearest_km,
+              round({RAMP}, 4) + 0.0 AS proximity_to_hva
+            FROM elements e LEFT JOIN best b ON b.id = e.norad_id""")),
 }
 
 

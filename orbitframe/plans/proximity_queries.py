@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from orbitframe.operators import catalog, proximity, trajectory
 from orbitframe.plans.adapters import oracle, view
 from orbitframe.plans.compare import plain, r6
+from orbitframe.plans.orbit_queries import aligned_ctes, ric_ctes
 from orbitframe.plans.query import Query
 
 EPISODES = """
@@ -37,7 +38,11 @@ def _lineage_pairs(s, d):
 QUERIES = {
     "aligned_pairs": Query(
         lambda s, d: plain(trajectory.pair_samples(trajectory.aligned_pairs(
-            view(s, d, "neighbour_pairs"), view(s, d, "history"))), digits=3)),
+            view(s, d, "neighbour_pairs"), view(s, d, "history"))), digits=3),
+        oracle(["neighbour_pairs", "history"], f"""
+            WITH {aligned_ctes(21_600_000)}, {ric_ctes('aligned', 'rel')}
+            SELECT actor, target, t, {r6('range_km', digits=3)}, {r6('speed_kms', digits=3)}
+            FROM rel""")),
     "proximity_episodes": Query(
         lambda s, d: plain(proximity.proximity_episodes(
             _samples(s, d), tie=["event_id"], slice_days=5)),

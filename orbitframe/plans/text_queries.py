@@ -126,9 +126,32 @@ QUERIES = {
               FROM named""")),
     "facts_from_scores": Query(lambda s, d: _facts(verify.facts_from_scores(
         score.combine_factors(view(s, d, "dossier_rows")).withColumn(
-            "band", C.orbits.threat_band(F.col("score")))))),
+            "score", F.round("score", 6)).withColumn("band", C.orbits.threat_band(F.col("score"))))),
+        oracle(["dossier_rows"], f"""
+            WITH w AS (SELECT *, list_filter([
+                (maneuver_activity, 0.2e0), (anomalous_rate, 0.3e0), (regime_sensitivity, 0.15e0),
+                (proximity_to_hva, 0.25e0), (attribution, 0.1e0)], lambda x: x[1] IS NOT NULL) AS f
+              FROM dossier_rows),
+            scored AS (SELECT *, round(100 * list_sum(list_transform(f, lambda x: x[1] * x[2]))
+                / list_sum(list_transform(f, lambda x: x[2])), 6) AS score FROM w),
+            banded AS (SELECT *, CASE WHEN score >= 67 THEN 'high' WHEN score >= 34 THEN 'moderate'
+                WHEN score IS NOT NULL THEN 'low' END AS band FROM scored)
+            {_fact_rows(('threat_score', 'round_even(score, 0)', 'CAST(NULL AS STRING)'),
+                        ('threat_level', 'CAST(NULL AS DOUBLE)', 'band'),
+                        ('threat_factors_available', 'CAST(NULL AS DOUBLE)', "len(f) || '/5'"),
+                        *((f'threat_factor_{x}', f'round_even({x}, 2)', 'CAST(NULL AS STRING)')
+                          for x in score.FACTORS), source='banded', report='norad_id')}""")),
     "facts_from_decay": Query(lambda s, d: _facts(verify.facts_from_decay(
-        B.decay.predict_decay(view(s, d, "perigee_series"), tie=["event_id"])))),
+        B.decay.predict_decay(view(s, d, "perigee_series"), tie=["event_id"]))),
+        oracle(["perigee_series"], f"""WITH {B.DECAY_FULL}
+            {_fact_rows(('decay_perigee', 'round(latest_perigee_km, 0)', 'CAST(NULL AS STRING)'),
+                        ('decay_rate', 'round(decay_rate, 2) + 0.0', 'CAST(NULL AS STRING)'),
+                        ('decay_reentry_date', 'CAST(NULL AS DOUBLE)',
+                         "CASE WHEN days_to_reentry > 0 THEN strftime(epoch_ms(latest_epoch + CAST(floor("
+                         "days_to_reentry * 86400e3) AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') END"),
+                        ('decay_days_to_reentry', 'CASE WHEN days_to_reentry > 0 THEN '
+                         'round(days_to_reentry, 0) END', 'CAST(NULL AS STRING)'),
+                        source='predicted', report='norad_id')}""")),
     "fact_pools": Query(
         lambda s, d: plain(_report_pools(s, d)),
         oracle(_REPORT_VIEWS, f"""WITH {pools('report_facts', 'report_names')}

@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from orbitframe.operators import catalog, dossier, elements as el, maneuver, score, verify, watch
-from orbitframe.plans import behaviour_queries as B
+from orbitframe.functions import orbits
+from orbitframe.plans import behaviour_queries as B, orbit_queries as O
+from orbitframe.plans.behaviour_queries import CLASSIFIED
+from orbitframe.plans.catalog_queries import BREAKUPS
 from orbitframe.plans.adapters import oracle, view
 from orbitframe.plans.compare import plain, r6
 from orbitframe.plans.query import Query
@@ -38,6 +41,24 @@ findings AS (
       'BELOW_GEO_DRIFT') THEN 'elevated' ELSE 'routine' END FROM pairs WHERE ps <> cs)"""
 
 
+CLOUDS = f"""{BREAKUPS}, times AS (SELECT max(snapshot_at_utc) AS last,
+    (SELECT max(snapshot_at_utc) FROM snapshots
+     WHERE snapshot_at_utc < (SELECT max(snapshot_at_utc) FROM snapshots)) AS previous FROM snapshots),
+fresh AS (SELECT norad_id FROM snapshots, times WHERE snapshot_at_utc = last
+  EXCEPT SELECT norad_id FROM snapshots, times WHERE snapshot_at_utc = previous),
+hit AS (SELECT substr(intl_desig, 1, 8) AS launch_prefix FROM satcat
+  WHERE object_type = 'DEB' AND norad_id IN (SELECT norad_id FROM fresh)
+  GROUP BY 1 HAVING count(*) >= 3),
+fragmented AS (SELECT parent_norad_id AS norad_id, 'fragmentation' AS kind, 'priority' AS significance,
+    'launch ' || launch_prefix || ': ' || n_fragments || ' fragments, confidence ' || confidence
+      AS summary
+  FROM breakups WHERE launch_prefix IN (SELECT launch_prefix FROM hit))"""
+CYCLE = f"""{FINDINGS}, {CLOUDS},
+cycle_findings AS (SELECT norad_id, kind, significance, CAST(NULL AS STRING) AS summary FROM findings
+    WHERE norad_id IN (SELECT norad_id FROM watch_list)
+  UNION ALL SELECT norad_id, kind, significance, summary FROM fragmented)"""
+
+
 def _states(s, d, half):
     return view(s, d, "states").where(F.col("half") == half).drop("half")
 
@@ -85,7 +106,19 @@ def _threat_scores(s, d):
     flagged = B._flagged(s, d)
     return score.threat_scores(
         regimes, maneuver.noise_floor(residuals), flagged,
-        B.behaviour.classify_campaigns(B._camps(s, d)), regimes, view(s, d, "satcat"))
+        B.behaviour.classify_campaigns(B._camps(s, d)), regimes, view(s, d, "satcat"),
+        score.proximity_to_assets(view(s, d, "elements"), view(s, d, "assets").join(
+            view(s, d, "elements").drop("name"), "norad_id"), "2024-01-15"))
+
+
+def _cycle_facts(tables):
+    """Facts of one cycle; the texts of findings on objects hold rounded numbers and stay out."""
+    facts = verify.facts_from_cycle(tables["cycle"], tables["findings"])
+    population = F.col("key").startswith("finding_fragmentation_")
+    own = F.col("key").startswith("finding_") & ~population
+    return plain(facts.select(
+        "report_id", F.regexp_replace("key", "population_[0-9]+$", "population").alias("key"),
+        "num_value", F.when(~own, F.col("str_value")).alias("str_value")))
 
 
 QUERIES = {
@@ -114,12 +147,28 @@ QUERIES = {
               AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.norad_id = s.norad_id))
             SELECT norad_id, n_maneuvers, last_maneuver_epoch_utc AS last_maneuver_epoch,
               {r6('rpo_min_range_km')} FROM all_""")),
-    "population_findings": Query(lambda s, d: watch.population_findings(
-        view(s, d, "snapshots"), view(s, d, "satcat"))),
-    "watch_cycle": Query(lambda s, d: plain(_cycle(s, d)["findings"].select(
-        "cycle_id", "norad_id", "kind", "significance", "summary"))),
-    "facts_from_cycle": Query(lambda s, d: plain(verify.facts_from_cycle(
-        _cycle(s, d)["cycle"], _cycle(s, d)["findings"]))),
+    "population_findings": Query(
+        lambda s, d: plain(watch.population_findings(view(s, d, "snapshots"), view(s, d, "satcat"))),
+        oracle(["satcat", "snapshots"], f"""WITH {CLOUDS}
+            SELECT norad_id, 0 AS seq, kind, significance, summary FROM fragmented""")),
+    "watch_cycle": Query(
+        lambda s, d: plain(_cycle(s, d)["findings"].select(
+            "cycle_id", "norad_id", "kind", "significance", F.when(
+                F.col("kind") == "fragmentation", F.col("summary")).alias("summary"))),
+        oracle(["states", "watch_list", "satcat", "snapshots"], f"""WITH {CYCLE}
+            SELECT 7 AS cycle_id, norad_id, kind, significance, summary FROM cycle_findings""")),
+    "facts_from_cycle": Query(
+        lambda s, d: _cycle_facts(_cycle(s, d)),
+        oracle(["states", "watch_list", "satcat", "snapshots"], f"""WITH {CYCLE}
+            SELECT '7' AS report_id, 'cycle_run_at' AS key, CAST(NULL AS DOUBLE) AS num_value,
+              '2024-02-01T00:00:00Z' AS str_value
+            UNION ALL SELECT '7', 'n_findings', count(*), NULL FROM cycle_findings
+            UNION ALL SELECT '7', 'n_priority', count(*), NULL FROM cycle_findings
+              WHERE significance = 'priority'
+            UNION ALL SELECT '7', 'n_elevated', count(*), NULL FROM cycle_findings
+              WHERE significance = 'elevated'
+            UNION ALL SELECT '7', 'finding_' || kind || '_' || coalesce(
+                CAST(norad_id AS STRING), 'population'), NULL, summary FROM cycle_findings""")),
     "watchlist_changes": Query(
         lambda s, d: plain(watch.watchlist_changes(
             view(s, d, "watch_list"), view(s, d, "watch_changes"))),
@@ -152,7 +201,31 @@ QUERIES = {
         oracle(["snapshots"], """SELECT snapshot_at_utc // 86400000 AS cycle_id, norad_id
             FROM snapshots WHERE snapshot_at_utc = (SELECT max(snapshot_at_utc)
               FROM snapshots)""")),
-    "threat_scores": Query(lambda s, d: plain(_threat_scores(s, d))),
+    "threat_scores": Query(
+        lambda s, d: plain(_threat_scores(s, d).withColumn(
+            "band", orbits.threat_band(F.round("score", 6)))),
+        oracle(["elements", "residuals", "satcat", "assets"], f"""
+            WITH {O.NEAREST}, {O.LADDER}, {CLASSIFIED.replace('classified', 'judged').replace('scored', 'graded')},
+            act AS (SELECT f.norad_id, least(1e0, coalesce(max(e.dv_ms), 0) / 20e0) AS maneuver_activity
+              FROM floors f LEFT JOIN flagged e USING (norad_id) GROUP BY 1),
+            odd AS (SELECT norad_id, avg((label = 'anomalous')::INT) AS anomalous_rate FROM judged
+              GROUP BY 1),
+            parts AS (SELECT c.norad_id, maneuver_activity, anomalous_rate,
+                {O.SENSITIVITY} AS regime_sensitivity, {O.RAMP} AS proximity_to_hva,
+                CASE WHEN s.norad_id IS NOT NULL THEN 1e0
+                  - (coalesce(s.country NOT IN ('', 'UNK'), false)::INT
+                    + coalesce(s.object_type NOT IN ('', 'UNK'), false)::INT) / 2e0 END AS attribution
+              FROM classified c LEFT JOIN act USING (norad_id) LEFT JOIN odd USING (norad_id)
+              LEFT JOIN best b ON b.id = c.norad_id LEFT JOIN satcat s ON s.norad_id = c.norad_id),
+            w AS (SELECT *, list_filter([
+                (maneuver_activity, 0.2e0), (anomalous_rate, 0.3e0), (regime_sensitivity, 0.15e0),
+                (proximity_to_hva, 0.25e0), (attribution, 0.1e0)], lambda x: x[1] IS NOT NULL) AS f
+              FROM parts),
+            scored AS (SELECT *, round(100 * list_sum(list_transform(f, lambda x: x[1] * x[2]))
+                / list_sum(list_transform(f, lambda x: x[2])), 6) AS score FROM w)
+            SELECT norad_id, {', '.join(r6(f) for f in score.FACTORS)}, score + 0.0 AS score,
+              len(f) AS n_factors, CASE WHEN score >= 67 THEN 'high' WHEN score >= 34 THEN 'moderate'
+                WHEN score IS NOT NULL THEN 'low' END AS band FROM scored""")),
     "dossiers": Query(lambda s, d: plain(dossiers(s, d).select(
         "norad_id", "name", "n_sets", "label", "threat_score", "threat_band", "n_maneuvers",
         "rpo_label", "disposal_status", "top_action", "posture"), digits=3)),
@@ -165,5 +238,20 @@ QUERIES = {
         view(s, d, "edges").select(
             "actor", "target", F.col("start_at").alias("tca"), "min_range_km",
             (F.col("l_linenumber") / 1e5).alias("pc_estimate"),
-            F.lit(0.01).alias("hard_body_radius_km")), view(s, d, "satcat"), _AS_OF)),
+            F.lit(0.01).alias("hard_body_radius_km")), view(s, d, "satcat"), _AS_OF),
+        oracle(["edges", "satcat"], f"""
+            SELECT actor, target, concat_ws(chr(10), 'CCSDS_CDM_VERS = 1.0',
+              'COMMENT Screening product: covariance is modelled from element age and the',
+              'COMMENT radius from radar cross-section. Not an operational message.',
+              'CREATION_DATE = 2024-02-01T00:00:00Z', 'ORIGINATOR = ORBITFRAME',
+              'TCA = ' || strftime(epoch_ms(start_at_utc), '%Y-%m-%dT%H:%M:%S.%fZ'),
+              'MISS_DISTANCE = ' || round(CAST(CAST(
+                min_range_km * 1000 AS STRING) AS DECIMAL(30, 14)), 1)::DECIMAL(20, 1) || ' [m]',
+              'COLLISION_PROBABILITY = ' || printf('%.3e', l_linenumber / 1e5),
+              'HARD_BODY_RADIUS = 10.0 [m]', 'OBJECT = OBJECT1', 'OBJECT_DESIGNATOR = ' || actor,
+              'OBJECT_NAME = ' || coalesce(a.name, CAST(actor AS STRING)), 'OBJECT = OBJECT2',
+              'OBJECT_DESIGNATOR = ' || target,
+              'OBJECT_NAME = ' || coalesce(b.name, CAST(target AS STRING))) AS message
+            FROM edges LEFT JOIN satcat a ON a.norad_id = actor
+            LEFT JOIN satcat b ON b.norad_id = target""")),
 }

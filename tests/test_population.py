@@ -9,31 +9,31 @@ SATCAT = ("norad_id long, intl_desig string, name string, object_type string, "
           "inclination double, perigee_km double, apogee_km double")
 
 
-def cohort(spark, debris, parent=(1, "PAY"), prefix="1999-025"):
-    rows = [(parent[0], prefix + "A", "PARENT", parent[1], 82.5, 500.0, 520.0)]
-    rows += [(i, prefix + "B", f"DEB {i}", "DEB", incl, 480.0 + k % 7, 530.0)
-             for k, (i, incl) in enumerate(debris)]
+def cohort(spark, debris, parent=(1, "PAY"), prefix="2031-044"):
+    """A parent and debris given as (norad_id, inclination)."""
+    rows = [(parent[0], prefix + "A", "MOTHER", parent[1], 64.9, 905.0, 948.0)]
+    rows += [(i, prefix + "X", f"PIECE {i}", "DEB", incl, 890.0, 960.0) for i, incl in debris]
     return spark.createDataFrame(rows, SATCAT)
 
 
-def test_tight_cloud(spark):
-    cat = cohort(spark, [(1000 + i, 82.5 + (i % 5) * .1) for i in range(150)])
+def test_cloud_in_one_plane(spark):
+    cat = cohort(spark, [(71_000 + 3 * i, 64.9 - (i % 2) * .3) for i in range(120)])
     found = breakup.launch_breakups(cat)
     row = found.first()
-    assert (row["n_fragments"], row["parent_norad_id"], row["confidence"]) == (150, 1, "high")
-    assert breakup.breakup_fragments(cat, found).count() == 150
+    assert (row["n_fragments"], row["parent_norad_id"], row["confidence"]) == (120, 1, "high")
+    assert breakup.breakup_fragments(cat, found).count() == 120
 
 
 def test_scattered_planes_are_low_confidence(spark):
-    row = breakup.launch_breakups(cohort(spark, [(1000 + i, 20.0 + 8 * i) for i in range(10)]))
-    assert row.first()["confidence"] == "low"
+    fan = [(71_000 + i, incl) for i, incl in enumerate([3., 19., 28., 41., 55., 63., 77., 86., 99., 112., 140.])]
+    assert breakup.launch_breakups(cohort(spark, fan)).first()["confidence"] == "low"
 
 
-def test_litter_and_small_or_partial_cohorts(spark):
-    litter = cohort(spark, [(20000 + 4000 * i, 51.6) for i in range(10)])
-    assert breakup.launch_breakups(litter).count() == 0
-    partial = cohort(spark, [(1000 + i, 51.6 if i else None) for i in range(10)])
-    assert breakup.launch_breakups(partial).count() == 0
+def test_items_lost_over_years_and_unmeasured_ones(spark):
+    years = cohort(spark, [(9_000 * (k + 1) ** 2, 30.0) for k in range(12)])
+    assert breakup.launch_breakups(years).count() == 0
+    unmeasured = cohort(spark, [(71_000 + i, 30.0 if i % 2 else None) for i in range(18)])
+    assert breakup.launch_breakups(unmeasured).count() == 0  # nine of the eighteen have a plane
 
 
 def test_rows_without_a_designator_are_no_launch(spark):
@@ -43,21 +43,21 @@ def test_rows_without_a_designator_are_no_launch(spark):
 
 
 def test_delta_needs_three_new_fragments(spark):
-    cat = cohort(spark, [(1000 + i, 82.5) for i in range(40)])
+    cat = cohort(spark, [(71_000 + i, 64.9) for i in range(33)])
     new = lambda *ids: spark.createDataFrame([(i,) for i in ids], ["norad_id"])
-    assert breakup.breakups_from_delta(new(1, 1000, 1001), cat).count() == 0
-    assert breakup.breakups_from_delta(new(1000, 1001, 1002), cat).first()["n_fragments"] == 40
+    assert breakup.breakups_from_delta(new(1, 71_004, 71_030), cat).count() == 0
+    assert breakup.breakups_from_delta(new(71_004, 71_030, 71_031), cat).first()["n_fragments"] == 33
 
 
 def test_labelled_launches(spark):
-    cat = cohort(spark, [(1000 + i, 82.5) for i in range(40)]).union(
-        cohort(spark, [], parent=(7, "PAY"), prefix="2019-079"))
-    labels = spark.createDataFrame([("a", "positive", 1), ("b", "control", 7),
-                                    ("c", "positive", 99)], ["key", "expected", "norad_id"])
+    cat = cohort(spark, [(71_000 + i, 64.9) for i in range(33)]).union(
+        cohort(spark, [], parent=(7, "PAY"), prefix="2032-150"))
+    labels = spark.createDataFrame([("broken", "positive", 1), ("whole", "control", 7),
+                                    ("unknown", "positive", 404)], ["key", "expected", "norad_id"])
     got = {r["key"]: (r["found"], r["passed"], r["launch_prefix"])
            for r in breakup.evaluate_labelled_events(labels, cat).collect()}
-    assert got == {"a": (True, True, "1999-025"), "b": (False, True, "2019-079"),
-                   "c": (False, False, None)}
+    assert got == {"broken": (True, True, "2031-044"), "whole": (False, True, "2032-150"),
+                   "unknown": (False, False, None)}
 
 
 def test_snapshot_delta(spark, day):
@@ -75,20 +75,20 @@ def predict(spark, day, values, step=5):
 
 
 def test_decay_outcomes(spark, day):
-    linear = predict(spark, day, [500 - 2 * i for i in range(12)])[0]
-    assert linear["model"] == "linear" and linear["decay_rate"] == pytest.approx(0.4)
-    assert linear["days_to_reentry"] == pytest.approx((478 - 100) / 0.4)
-    fast = predict(spark, day, [400 - .5 * i - .08 * i * i for i in range(16)])[0]
+    linear = predict(spark, day, [610 - 3 * i for i in range(13)])[0]
+    assert linear["model"] == "linear" and linear["decay_rate"] == pytest.approx(0.6)
+    assert linear["days_to_reentry"] == pytest.approx((574 - 100) / 0.6)
+    fast = predict(spark, day, [350 - 15 * (1.12 ** i - 1) for i in range(18)])[0]
     assert fast["model"] == "exponential-atmosphere" and fast["accelerating"]
     assert fast["days_to_reentry"] < fast["linear_days"]
     assert 20 <= fast["scale_height_km"] <= 90
-    high = predict(spark, day, [35567 - .1 * i for i in range(12)])[0]
+    high = predict(spark, day, [2100 - 4 * i for i in range(9)])[0]
     assert high["outcome"] == "too_high" and high["reentry_at"] is None
-    flat = predict(spark, day, [800] * 12)[0]
+    flat = predict(spark, day, [655.5] * 7)[0]
     assert flat["outcome"] == "stable" and flat["fit_r2"] == 0
-    low = predict(spark, day, [130 - 4 * i for i in range(9)])[0]
+    low = predict(spark, day, [99 + 2 * (7 - i) for i in range(8)])[0]
     assert low["outcome"] == "imminent" and low["days_to_reentry"] == 0
-    assert predict(spark, day, [500, 490, 480]) == []
+    assert predict(spark, day, [300, 250, 200, 150, 110]) == []
 
 
 # ---------------------------------------------------------------- proximity
@@ -119,7 +119,7 @@ def test_runs_span_holes_unless_asked(spark, day):
 
 
 def test_lineage_is_tri_state(spark):
-    cat = spark.createDataFrame([(1, "2019-079A"), (2, "2019-079D"), (3, "2001-001A"), (4, "")],
+    cat = spark.createDataFrame([(1, "2033-008A"), (2, "2033-008QB"), (3, "2033-009A"), (4, "")],
                                 ["norad_id", "intl_desig"])
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, 9)], ["actor", "target"])
     got = {r["target"]: r["same_launch_lineage"]
@@ -164,7 +164,7 @@ def test_known_targets(spark, day):
 
 # ---------------------------------------------------------------- anomaly
 def population(spark, n=60):
-    rows = [(i, 500.0 + i % 7, 490.0 + i % 5, 51.6 + (i % 4) * .1, 94.5 + (i % 3) * .1) for i in range(n)]
+    rows = [(i, 500.0 + i % 7, 490.0 + i % 5, 71.0 + (i % 4) * .1, 94.5 + (i % 3) * .1) for i in range(n)]
     rows.append((999, 520.0, 495.0, 140.0, 94.6))
     return spark.createDataFrame(
         rows, ["norad_id", "apogee_km", "perigee_km", "inclination", "period_min"])
@@ -181,7 +181,7 @@ def test_outlier_ranks_first_for_any_partitioning(spark):
         results.append([(r["norad_id"], round(r["score"], 9)) for r in top])
     assert results[0] == results[1]
     newcomers = spark.createDataFrame([(5000, 505.0, 495.0, 139.0, 94.5),
-                                       (5001, 503.0, 492.0, 51.7, 94.6)], df.columns)
+                                       (5001, 503.0, 492.0, 71.1, 94.6)], df.columns)
     odd, usual = [r["score"] for r in model.scores(newcomers).orderBy("norad_id").collect()]
     assert odd > usual + 0.2
 
