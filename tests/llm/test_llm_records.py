@@ -11,7 +11,7 @@ from oracle import connect, differences
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orbitframe.llm import chat, queries, topk, warc
+from orbitframe.llm import chat, near_copies, queries, topk, warc
 from orbitframe.llm.common import scratch
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -178,3 +178,26 @@ def test_pipeline_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF_DIR).count() == 0
+
+
+def test_pipeline_drops_edited_copies(spark):
+    rng = random.Random(8)
+    rows, left = [], set()
+    for i in range(0, 120, 3):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        near, far = list(words), list(words)
+        near[len(near) // 2] = "edited"  # at most 5 of at least 56 shingles
+        far[::10] = ["edited"] * len(far[::10])  # about half of them
+        rows += [(i, " ".join(words)), (i + 1, " ".join(near)), (i + 2, " ".join(far))]
+        left |= {i, i + 2}
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF_DIR)
+    assert {r["doc_id"] for r in out.collect()} == left
+
+
+def test_near_copies_of_one_hot_group(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[:i] + ["x"] + words[i + 1:])) for i in range(100)]
+    rows += [(200 + i, f"{i} " * 40) for i in range(50)] + [(300, None), (301, " ")]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: 0 for i in range(100)}, **{200 + i: 200 + i for i in range(50)}, 300: 300, 301: 300}
