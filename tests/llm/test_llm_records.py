@@ -201,3 +201,12 @@ def test_near_copies_of_one_hot_group(spark):
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(
         spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {**{i: 0 for i in range(100)}, **{200 + i: 200 + i for i in range(50)}, 300: 300, 301: 300}
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    rows = [(None, "a copied text"), (None, "a text of its own"), (1, "a copied text"), (2, "a copied text"),
+            (2, "another text of number two"), (None, "without an id"), (None, "without an id")]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF_DIR)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [
+        (0, "a text of its own"), (0, "without an id"), (0, "without an id"),
+        (1, "a copied text"), (2, "another text of number two")]
