@@ -33,7 +33,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to archives and read back."""
+    """Every page written to archives and read back; an archive with a gap is an error."""
     folder = scratch(spark)
     pages = table(spark, sf_dir, "pages")
     if pages.isEmpty():
@@ -42,10 +42,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_warc(pages, folder)
     number = lambda name: F.regexp_extract(
         F.col("headers")[name], "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
-    records = saved(warc.read_warc(spark, folder).where("kind = 'record'").select(
-        number("warc-record-id").alias("page_id"), F.col("headers")["warc-type"].alias("record_type"),
+    records = saved(warc.read_warc(spark, folder, warc.OWN_RECORD).select(
+        "kind", "file", "offset", "reason", number("warc-record-id").alias("page_id"), F.col("headers")["warc-type"].alias("record_type"),
         number("warc-refers-to").alias("refers_to"), "payload_digest",
         F.length("payload").cast("long").alias("payload_bytes")))
+    lost = records.where("kind = 'gap'").select("file", "offset", "reason").first()
+    if lost:
+        raise RuntimeError(f"{lost.file} cannot be read back from byte {lost.offset} on: {lost.reason}")
     first = records.where("record_type = 'response'").groupBy(
         F.col("page_id").alias("refers_to"), "payload_digest").agg(
             F.max("payload_bytes").alias("payload_bytes"))

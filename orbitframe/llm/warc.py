@@ -24,7 +24,9 @@ from orbitframe.llm.common import batch
 DATE = "1970-01-01T00:00:00Z"
 RECORDS_PER_FILE = 50_000
 MAX_RECORD = 256 << 20
-MAX_HEADER = 1 << 16
+#: over what any Spark value can hold: nothing that write_warc wrote is refused
+OWN_RECORD = 1 << 32
+HEADER_STEP = 1 << 16
 _READ = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SEPARATOR = gzip.compress(b"", mtime=0).decode("latin-1")
@@ -140,12 +142,15 @@ class _Window:
 
 def _parse(get, start: int, limit: int) -> tuple[dict, bytes, bytes | None, str | None, int]:
     """Headers, block, payload, its digest and the end of the record that begins at ``start``."""
-    head = get(start, start + MAX_HEADER)
-    end = head.find(b"\r\n\r\n")
+    head = get(start, start + HEADER_STEP)
     if not _VERSION.match(head):
         raise _Unsound("no version line")
-    if end < 0:
-        raise _Unsound("headers do not end")
+    step = HEADER_STEP
+    while (end := head.find(b"\r\n\r\n")) < 0:
+        if len(head) < step or step >= limit:
+            raise _Unsound("headers do not end")
+        step *= 2
+        head = get(start, start + step)
     headers = {}
     for line in head[:end].decode("utf-8", "replace").split("\r\n")[1:]:
         if line[:1] in " \t" and headers:
@@ -183,17 +188,18 @@ def _parse(get, start: int, limit: int) -> tuple[dict, bytes, bytes | None, str
 def _member(window: _Window, start: int, limit: int) -> tuple[bytes, int]:
     """What the gzip member at ``start`` holds and where it ends."""
     inflate, parts, held, at = zlib.decompressobj(31), [], 0, start
+    most = limit + max(2 * limit, HEADER_STEP)  # content and headers
     while not inflate.eof:
         data = inflate.unconsumed_tail or window.get(at, at + (_READ >> 4))
         if not data:
             raise _Unsound("the member does not end")
         at += 0 if inflate.unconsumed_tail else len(data)
         try:
-            parts.append(inflate.decompress(data, limit + MAX_HEADER))
+            parts.append(inflate.decompress(data, most))
         except zlib.error as e:
             raise _Unsound("the member does not inflate") from e
         held += len(parts[-1])
-        if held > limit + MAX_HEADER:
+        if held > most:
             raise _Unsound("the member is over the limit")
     return b"".join(parts), at - len(inflate.unused_data)
 
@@ -202,7 +208,8 @@ def salvage(stream, limit: int = MAX_RECORD) -> Iterator[tuple]:
     """("record", offset, length, None, headers, payload, digest) and ("gap", offset, length, reason).
 
     Every byte of the stream belongs to a record, an empty member or a gap. Memory holds one
-    record at a time; one longer than ``limit`` counts as damaged.
+    record at a time; one with content over ``limit`` counts as damaged. Headers may be of any
+    length up to that.
     """
     window, at, gap, reason = _Window(stream), 0, None, None
     while window.get(at, at + 1):

@@ -81,6 +81,24 @@ def test_archives_round_trip(spark):
             assert r["payload_digest"] == warc.sha1_base32(bytes(r["payload"]))
 
 
+@pytest.mark.parametrize("compressed", [True, False])
+def test_salvage_of_long_headers(compressed):
+    long = warc._record(1, "data:" + "x" * 1_000_000, b"a", warc.sha1_base32(b"a"), None, warc.DATE)
+    parts = [records(1, compressed)[0], gzip.compress(long) if compressed else long]
+    assert read(b"".join(parts)) == ([warc.page_uri(0), warc.page_uri(1)], [])
+    cut = long[:500_000]  # the headers do not end
+    assert read(parts[0] + cut) == ([warc.page_uri(0)], [(len(parts[0]), len(cut))])
+
+
+def test_pages_with_long_urls_keep_their_rows(spark):
+    rows = [(5, "data:" + " " * 50_000, "same"), (3, "http://b", "same"), (4, "x" * 300_000, None)]
+    folder = scratch(spark)
+    spark.createDataFrame(rows, PAGES).write.parquet(f"{folder}/pages.parquet")
+    got = {r["page_id"]: (r["record_type"], r["payload_bytes"], r["refers_to"])
+           for r in queries.op4_warc(spark, folder).collect()}
+    assert got == {5: ("response", 4, None), 3: ("revisit", 4, 5), 4: ("response", 0, None)}
+
+
 # -- chats --------------------------------------------------------------------------------------
 
 EVENTS = "conv_id long, message long, seq long, kind string, role string, text string"
