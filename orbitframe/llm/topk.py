@@ -1,6 +1,7 @@
 """Exact top-k inner products by term-at-a-time accumulation over a grid of blocks.
 
-Candidates and queries are dealt into blocks by a hash of their row; every (query block,
+Queries are dealt into blocks by a hash of their row, candidates also by their place, so that
+equal rows and rows of one id spread; every (query block,
 candidate block) is one cell, so no task holds more than one block of each. In a cell each
 dimension has a posting list (the candidates where it is not zero and their weights); a query
 scatters its weighted lists into a dense score array, and a partition selection keeps its best k.
@@ -106,7 +107,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5,
     """
     spark = queries.sparkSession
     queries = saved(queries.distinct().withColumn("query_row", F.xxhash64("vec_id", "weights")))
-    candidates = saved(candidates)
+    # saved with the place: a repeated task deals each row to the same cell
+    candidates = saved(candidates.withColumn("place", F.monotonically_increasing_id()))
     columns = max(ceil(candidates.count() / block), spark.sparkContext.defaultParallelism)
     rows = ceil(queries.count() / block) or 1
     cell = lambda row, column: (row * columns + column).cast("long").alias("cell")
@@ -114,7 +116,7 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5,
     asked = queries.withColumn("row", by(1, rows)).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column")).select(
             cell(F.col("row"), F.col("column")), "query_row", "vec_id", "weights")
-    held = candidates.withColumn("column", F.pmod(F.xxhash64("vec_id"), F.lit(columns))).select(
+    held = candidates.withColumn("column", F.pmod(F.xxhash64("vec_id", "place"), F.lit(columns))).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row")).select(
             cell(F.col("row"), F.col("column")), "vec_id", "weights")
     hits = asked.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(

@@ -162,6 +162,26 @@ def test_top_k_equals_brute_force(spark):
     assert topk.exact_top_k(few, vectors.limit(0)).count() == 0
 
 
+def test_top_k_deals_rows_of_one_id(spark, monkeypatch):
+    plain = topk._cell
+
+    def bounded(k):
+        found = plain(k)
+
+        def run(key, queries, candidates):
+            if candidates.num_rows > 400:
+                raise MemoryError(candidates.num_rows)
+            return found(key, queries, candidates)
+
+        return run
+
+    monkeypatch.setattr(topk, "_cell", bounded)
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) as vec_id", "array(double(id % 5), 1d) as embedding")
+    vectors = topk.integer_vectors(rows)
+    got = topk.exact_top_k(vectors.where("vec_id = 8"), vectors, k=3, block=200).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 4), (2, 7), (3, 7)]
+
+
 # -- queries and pipeline -----------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
