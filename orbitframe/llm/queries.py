@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from orbitframe.llm import (
-    chat, decontaminate, license_scan, packing, simhash, suffix_dedup, token_counts, topk, toxicity, warc)
+    chat, collocations, decontaminate, importance, license_scan, packing, simhash, suffix_dedup, token_counts, topk, toxicity, warc)
 from orbitframe.llm.common import saved, scratch, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -120,6 +120,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of each language with the highest scores."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document for the benchmark, and the tenth that is drawn."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+                               ).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
@@ -131,6 +142,8 @@ QUERIES = {
     "op8_best_fit": op8_best_fit,
     "op9_top_k": op9_top_k,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
+    "op12_importance": op12_importance,
 }
 SQL: dict[str, str] = {
     "op2_license_scan": license_scan.scan_sql(),
@@ -172,4 +185,69 @@ SQL: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
             FROM s) WHERE rank <= 5""",
+    "op11_collocations": r"""
+        WITH pieces AS (SELECT doc, lang, unnest(p) AS piece, generate_subscripts(p, 1) AS part FROM (
+            SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents)),
+        words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'),
+                                           lambda w: w <> '') AS w FROM pieces),
+        counts AS (SELECT lang, m, phrase, count(*) AS f FROM (
+            SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2),
+                       lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+            FROM words, (SELECT unnest([1, 2, 3, 4]) AS m)) GROUP BY ALL),
+        totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE m = 1 GROUP BY lang),
+        known AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE f >= 30),
+        cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS one,
+                        array_to_string(w[k + 1:], ' ') AS two
+                 FROM known, (SELECT unnest([1, 2, 3]) AS k) WHERE k < m),
+        scored AS (SELECT c.*, x.f AS l, y.f AS r,
+                          CAST(2000000 * c.a::HUGEINT // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+                   FROM cuts c JOIN known x ON x.lang = c.lang AND x.phrase = one
+                               JOIN known y ON y.lang = c.lang AND y.phrase = two),
+        best AS (SELECT * FROM scored
+                 QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(f) AS longest
+                   FROM known, (SELECT unnest([2, 3]) AS s), (SELECT unnest([1, 2, 3]) AS i)
+                   WHERE s < m AND i + s - 1 <= m GROUP BY ALL)
+        SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase)
+                   AS rank, b.phrase, a, l, r, n, score
+        FROM best b JOIN totals t ON t.lang = b.lang
+             LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+        WHERE longest IS NULL OR 100 * longest::HUGEINT < 80 * a::HUGEINT
+        QUALIFY rank <= 2000""",
+    "op12_importance": r"""
+        WITH steps AS (SELECT list(c ORDER BY i) AS t FROM (
+            SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k:
+                       CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+            FROM range(256) AS r(i))),
+        texts AS (SELECT row_number() OVER () AS row, doc_id, true AS own, text FROM documents
+                  UNION ALL SELECT NULL, NULL, false, text FROM benchmark),
+        words AS (SELECT row, doc_id, own, unnest(regexp_extract_all(translate(
+            text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+        known AS (SELECT w, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+                      list_transform(range(octet_length(encode(w))), lambda i:
+                          CAST('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+                      lambda c, b: xor(t[CAST(1 + (xor(c, b) & 255) AS BIGINT)], c >> 8))) % 10000 AS bucket
+                  FROM (SELECT DISTINCT w FROM words), steps),
+        hashed AS (SELECT row, own, bucket FROM words JOIN known USING (w)),
+        counts AS (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t
+                   FROM hashed GROUP BY bucket),
+        gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE
+                      * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE / ((s + 1)::DOUBLE
+                      * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM counts),
+        weights AS (SELECT row, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight
+                    FROM hashed JOIN gains USING (bucket) WHERE own GROUP BY row),
+        scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                          coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(
+                              '2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                              / 4294967296::DOUBLE))) AS BIGINT) AS score
+                   FROM texts LEFT JOIN weights USING (row) WHERE own),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20
+                             ORDER BY score DESC, doc_id NULLS LAST) AS place,
+                          count(*) OVER (PARTITION BY n_features >= 20) AS total FROM scored)
+        SELECT doc_id, n_features, weight, score,
+               CASE WHEN n_features >= 20 AND place <= 10 * total // 100 THEN place END AS rank
+        FROM placed""",
 }
