@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from orbitframe.llm import (
-    chat, collocations, decontaminate, importance, license_scan, packing, simhash, suffix_dedup, token_counts, topk, toxicity, warc)
+    chat, collocations, decontaminate, html_text, importance, license_scan,
+    packing, simhash, suffix_dedup, token_counts, topk, toxicity, warc)
 from orbitframe.llm.common import saved, scratch, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -131,6 +132,11 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
                                ).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
@@ -144,6 +150,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_collocations": op11_collocations,
     "op12_importance": op12_importance,
+    "op13_html_text": op13_html_text,
 }
 SQL: dict[str, str] = {
     "op2_license_scan": license_scan.scan_sql(),
