@@ -63,6 +63,8 @@ FEATURES = ("words", "link_density", "previous_words", "previous_link_density",
             "next_link_density", "beside", "main", "heading", "container_words",
             "container_share", "container_link_density")
 DEPTH = 8
+#: to the tree, more words than this are as many
+MANY = 40
 #: the pages of the table are also used with longer articles, and without what precedes or follows them
 LONGER = (1, 4, 20)
 #: (page, place, words, words in links, 1 if it belongs to the article)
@@ -131,6 +133,9 @@ LABELLED = (
     (24, "body div#2 p", 2, 2, 1), (24, "body div#2 p", 3, 0, 1), (24, "body div#2 p", 3, 3, 1),
     (24, "body div#2 p", 12, 0, 1), (24, "body div#2 p", 7, 7, 1), (24, "body div#2 p", 60, 1, 1),
     (24, "body div#2 p", 1, 1, 1), (24, "body div#2 p", 25, 0, 1), (24, "body div#3", 9, 9, 0),
+    (25, "body nav li", 2, 2, 0), (25, "body article h1", 5, 0, 1), (25, "body article p", 40, 16, 1),
+    (25, "body article p", 12, 12, 1), (25, "body article p", 6, 0, 1), (25, "body article li", 9, 9, 1),
+    (25, "body article li", 5, 5, 1), (25, "body article p", 30, 9, 1), (25, "body footer", 9, 3, 0),
     (16, "body article p", 120, 0, 1), (17, "body div#1", 80, 2, 1), (18, "body p", 1, 0, 0),
     (19, "body article h1", 2, 0, 1), (19, "body article p", 30, 0, 1), (19, "body article p", 1, 0, 1),
     (13, "body div#1", 6, 6, 0), (13, "body div#2 p", 2, 0, 0), (13, "body div#3 a", 3, 3, 0),
@@ -291,9 +296,11 @@ def features_of(blocks: list[Block]) -> list[tuple]:
     for i, b in enumerate(blocks):
         before, after = i > 0, i + 1 < len(blocks)
         own, links = plain.get(homes[i], 0), linked.get(homes[i], 0)
-        rows.append((b.words, density[i], blocks[i - 1].words if before else 0,
-                     density[i - 1] if before else 0.0, blocks[i + 1].words if after else 0,
-                     density[i + 1] if after else 0.0, int(b.beside), int(b.main), int(b.heading), own,
+        rows.append((min(b.words, MANY), density[i],
+                     min(blocks[i - 1].words, MANY) if before else 0,
+                     density[i - 1] if before else 0.0,
+                     min(blocks[i + 1].words, MANY) if after else 0,
+                     density[i + 1] if after else 0.0, int(b.beside), int(b.main), int(b.heading), min(own, MANY),
                      own / fullest if fullest else 0.0, links / (own + links) if own + links else 0.0))
     return rows
 
