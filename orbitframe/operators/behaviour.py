@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orbitframe import constants as K
 from orbitframe.functions import orbits
-from orbitframe.operators.skew import daily_stats
+from orbitframe.operators.skew import array_stats
 
 
 def campaigns(events: DataFrame, gap_days: float = K.CAMPAIGN_GAP_DAYS,
@@ -40,17 +40,26 @@ def with_tempo(camps: DataFrame) -> DataFrame:
         F.col("start_epoch"), F.lag("start_epoch").over(_in_order())))
 
 
+_BASELINE = ["n_campaigns", "typical_dv_ms", "dv_mad_ms", "typical_tempo_days", "tempo_mad_days"]
+
+
+def _histories(camps: DataFrame, min_campaigns: int) -> DataFrame:
+    """One row for each object with enough campaigns: its baseline and, in ``_cs``, its campaigns."""
+    rest = [c for c in camps.columns if c not in ("norad_id", "start_epoch")]
+    one = camps.groupBy("norad_id").agg(F.array_sort(F.collect_list(
+        F.struct("start_epoch", *rest))).alias("_cs")).where(F.size("_cs") >= min_campaigns)
+    tempo = lambda c, i: F.when(i > 0, orbits.days_between(
+        c["start_epoch"], F.get(F.col("_cs"), i - 1)["start_epoch"]))
+    timed = one.withColumn("_cs", F.transform("_cs", lambda c, i: c.withField(
+        "tempo_days", tempo(c, i))))
+    burns = array_stats(timed, F.col("_cs.peak_dv_ms"), "n_campaigns", "typical_dv_ms", "dv_mad_ms")
+    both = array_stats(burns, F.col("_cs.tempo_days"), "_n", "typical_tempo_days", "tempo_mad_days")
+    return both.where((F.col("n_campaigns") >= min_campaigns) & (F.col("_n") > 0)).drop("_n")
+
+
 def campaign_baseline(camps: DataFrame, min_campaigns: int = K.MIN_CAMPAIGNS) -> DataFrame:
     """Typical burn size and tempo of each object with enough campaigns."""
-    burn = daily_stats(camps, ["norad_id"], F.col("peak_dv_ms"))
-    tempo = daily_stats(with_tempo(camps), ["norad_id"], F.col("tempo_days"))
-    return (
-        burn.where(F.col("n") >= min_campaigns)
-        .select("norad_id", F.col("n").alias("n_campaigns"),
-                F.col("median").alias("typical_dv_ms"), F.col("mad").alias("dv_mad_ms"))
-        .join(tempo.select("norad_id", F.col("median").alias("typical_tempo_days"),
-                           F.col("mad").alias("tempo_mad_days")), "norad_id")
-    )
+    return _histories(camps, min_campaigns).select("norad_id", *_BASELINE)
 
 
 def _sigma(mad: str, typical: str) -> Column:
@@ -60,7 +69,7 @@ def _sigma(mad: str, typical: str) -> Column:
 
 def classify_campaigns(camps: DataFrame, min_campaigns: int = K.MIN_CAMPAIGNS) -> DataFrame:
     """Each campaign against the object's own baseline: routine or anomalous."""
-    timed = with_tempo(camps).join(campaign_baseline(camps, min_campaigns), "norad_id")
+    timed = _histories(camps, min_campaigns).select("norad_id", *_BASELINE, F.inline("_cs"))
     scored = timed.withColumns({
         "dv_z": (F.col("peak_dv_ms") - F.col("typical_dv_ms"))
         / _sigma("dv_mad_ms", "typical_dv_ms"),
@@ -118,12 +127,10 @@ def changepoints(camps: DataFrame, t_threshold: float = K.T_THRESHOLD) -> DataFr
     A tempo value belongs to the campaign that ends the gap, so its split
     points at that campaign. On equal strength burn size wins.
     """
-    timed = with_tempo(camps)
-    splits = [
-        best_split(timed, ["norad_id"], "start_epoch", column).withColumns(
-            {"metric": F.lit(name), "_rank": F.lit(rank)})
-        for column, name, rank in (("peak_dv_ms", "burn size", 1), ("tempo_days", "tempo", 0))]
-    both = splits[0].unionByName(splits[1])
+    series = with_tempo(camps).select("norad_id", "start_epoch", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("metric"), F.lit(rank).alias("_rank"), F.col(column).alias("value"))
+        for column, name, rank in (("peak_dv_ms", "burn size", 1), ("tempo_days", "tempo", 0))])))
+    both = best_split(series, ["norad_id", "metric", "_rank"], "start_epoch", "value")
     body = F.struct("metric", "split_at", "before_mean", "after_mean", "t_stat")
     best = both.groupBy("norad_id").agg(
         F.max_by(body, F.struct("t_stat", "_rank")).alias("_b")).select("norad_id", "_b.*")

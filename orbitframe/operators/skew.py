@@ -63,57 +63,81 @@ def running_sum(df: DataFrame, keys: list[str], slice_col: str, order: list,
     )
 
 
-def _bin(value: Column, per_octave: int) -> Column:
-    """Non-decreasing integer bins, ``per_octave`` for each doubling; infinities and NaN have their own."""
-    steps = F.floor(F.least(F.log2(F.lit(1.0) + F.abs(value) * 1048576.0), F.lit(2048.0)) * per_octave)
-    return F.when(F.isnan(value), F.lit(4096 * per_octave)).otherwise(
-        F.signum(value) * steps).cast("long")
-
-
-def _median(values: DataFrame, keys: list[str], per_octave: int, slices: int) -> DataFrame:
-    """(keys, n, median) of ``values`` (keys, v, c), where v stands for c equal values.
-
-    Counts of bins tell which one or two bins of a key hold its middle ranks. Only values of these
-    are ranked, each bin cut into slices between its own least and greatest value.
+#: half widths, in shares of a key's rows, of the bracket around its middle
+_WIDTHS = (0.0001, 0.001, 0.01, 0.1)
+
+
+def _brackets(rows: DataFrame, keys: list[str], accuracy: int) -> DataFrame:
+    """(keys, n, lo, hi): between lo and hi lie the middle ranks of ``x`` and few others."""
+    error = 3.0 / accuracy
+    widths = [w for w in _WIDTHS if w >= 2 * error]
+    sides = F.percentile_approx("x", [0.5 - w for w in widths] + [0.5 + w for w in widths], accuracy)
+    sketched = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+        *([sides.alias("_q")] if widths else []))
+    # the narrowest bracket that holds two ranks more on either side than the sketch may be off
+    lo, hi = F.col("lo"), F.col("hi")
+    for i, w in reversed(list(enumerate(widths))):
+        wide = F.col("n") * (w - error) >= 2
+        lo = F.when(wide, F.col("_q")[i]).otherwise(lo)
+        hi = F.when(wide, F.col("_q")[i + len(widths)]).otherwise(hi)
+    return sketched.select(*keys, "n", lo.alias("lo"), hi.alias("hi"))
+
+
+def _median(rows: DataFrame, keys: list[str], accuracy: int) -> DataFrame:
+    """(keys, n, median) of ``rows`` (keys, x).
+
+    Equal values on the bracket's ends are counted; what lies between them is listed, which is a
+    share of a key's rows that the bracket's width bounds, repeated values included.
     """
-    binned = values.withColumn("_bin", _bin(F.col("v"), per_octave))
-    whole = Window.partitionBy(*keys)
-    upto = F.sum("_c").over(whole.orderBy("_bin"))
-    low, high = F.expr("(n - 1) div 2"), F.expr("n div 2")
-    middle = binned.groupBy(*keys, "_bin").agg(
-        F.sum("c").alias("_c"), F.min("v").alias("_low"), F.max("v").alias("_high")).select(
-            "*", F.sum("_c").over(whole).alias("n"), (upto - F.col("_c")).alias("_before")).where(
-                (F.col("_before") <= high) & (F.col("_before") + F.col("_c") > low)).drop("_c")
-    width = F.col("_high") - F.col("_low")
-    part = F.when(F.col("_high") > F.col("_low"), F.floor(
-        (F.col("v") - F.col("_low")) / width * slices).cast("int")).otherwise(F.lit(0))
-    ranked = running_sum(
-        binned.join(middle, [*keys, "_bin"]).withColumn("_part", part),
-        [*keys, "_bin"], "_part", ["v"], F.col("c"), "_upto")
-    last = F.col("_before") + F.col("_upto")
-    at = lambda rank: F.max(F.when((last - F.col("c") <= rank) & (last > rank), F.col("v")))
-    return ranked.groupBy(*keys, "n").agg(((at(low) + at(high)) / 2).alias("median"))
-
-
-def robust_stats(df: DataFrame, keys: list[str], value: Column, per_octave: int = 4096,
-                 slices: int = 4096) -> DataFrame:
+    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+    found = rows.join(_brackets(rows, keys, accuracy), keys).groupBy(*keys, "n", "lo", "hi").agg(
+        F.count_if(x < lo).alias("_below"), F.count_if(x == lo).alias("_low"),
+        F.count_if(x == hi).alias("_high"),
+        F.array_sort(F.collect_list(F.when((x > lo) & (x < hi), x))).alias("_between"))
+    lost = F.raise_error(F.lit("a quantile sketch was off by more than its error"))
+    between = F.col("_below") + F.col("_low")
+    above = between + F.size("_between")
+
+    def at(rank: Column) -> Column:
+        return F.when(rank < F.col("_below"), lost.cast("double")).when(rank < between, lo).when(
+            rank < above, F.get("_between", (rank - between).cast("int"))).when(
+                rank < above + F.col("_high"), hi).otherwise(lost.cast("double"))
+
+    middle = (at(F.expr("(n - 1) div 2")) + at(F.expr("n div 2"))) / 2
+    return found.select(*keys, "n", middle.alias("median"))
+
+
+def robust_stats(df: DataFrame, keys: list[str], value: Column, accuracy: int = 100_000,
+                 spread_accuracy: int = 100_000) -> DataFrame:
     """(keys, n, median, mad), exact at any number of values per key, in one lazy plan.
 
-    The input is read once and shuffled as counted distinct values. No task holds more of a key
-    than its bins (bounded by the range of a double) or one slice of a middle bin. Null values
-    and rows with a null key are left out.
+    A mergeable quantile sketch gives every key a narrow bracket around its middle ranks; a second
+    pass counts what lies below and lists only what lies inside; the same twice more for the
+    deviations. So the keys and the value are read four times, but only sketches, counts and the
+    insides of brackets are shuffled, as long as one row a key is small enough to be sent to all
+    tasks; else rows meet their bracket by key, and adaptive execution splits a hot key. Land an
+    input that is expensive to derive. Null values, NaN and rows with a null key are left out.
     """
-    rows = df.select(*keys, value.cast("double").alias("v")).dropna()
-    values = rows.groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    centre = _median(values, keys, per_octave, slices)
-    off = values.join(centre.drop("n"), keys).select(
-        *keys, F.abs(F.col("v") - F.col("median")).alias("v"), "c")
-    spread = _median(off, keys, per_octave, slices).select(*keys, F.col("median").alias("mad"))
+    rows = df.select(*keys, value.cast("double").alias("x")).dropna()
+    centre = _median(rows, keys, accuracy)
+    off = rows.join(centre.drop("n"), keys).select(*keys, F.when(
+        F.col("x") == F.col("median"), 0.0).otherwise(F.abs(F.col("x") - F.col("median"))).alias("x"))
+    spread = _median(off, keys, spread_accuracy).select(*keys, F.col("median").alias("mad"))
     return centre.join(spread, keys)
 
 
 def _middle(array: str) -> str:
-    return f"({array}[(size({array}) - 1) div 2] + {array}[size({array}) div 2]) / 2"
+    return f"(get({array}, (size({array}) - 1) div 2) + get({array}, size({array}) div 2)) / 2"
+
+
+def array_stats(df: DataFrame, values: Column, n: str, median: str, mad: str) -> DataFrame:
+    """Add number, median and median absolute deviation of an array; null and NaN are left out."""
+    sized = df.withColumn("_vs", F.array_sort(F.filter(
+        F.transform(values, lambda x: x.cast("double")), lambda x: x.isNotNull() & ~F.isnan(x))))
+    centred = sized.selectExpr("*", "CAST(size(_vs) AS BIGINT) AS " + n, f"{_middle('_vs')} AS {median}")
+    return centred.selectExpr("*", f"array_sort(transform(_vs, x -> abs(x - {median}))) AS _ds").selectExpr(
+        "*", f"{_middle('_ds')} AS {mad}").drop("_vs", "_ds")
 
 
 def daily_stats(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -121,11 +145,6 @@ def daily_stats(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
 
     That bounds a key by the days of its history, so its values are one sorted array.
     """
-    return (
-        df.select(*keys, value.cast("double").alias("v")).dropna()
-        .groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("_vs"))
-        .selectExpr(*keys, "_vs", f"{_middle('_vs')} AS median")
-        .selectExpr(*keys, "CAST(size(_vs) AS BIGINT) AS n", "median",
-                    "array_sort(transform(_vs, x -> abs(x - median))) AS _ds")
-        .selectExpr(*keys, "n", "median", f"{_middle('_ds')} AS mad")
-    )
+    lists = df.select(*keys, value.cast("double").alias("v")).dropna().groupBy(*keys).agg(
+        F.collect_list("v").alias("_all"))
+    return array_stats(lists, F.col("_all"), "n", "median", "mad").drop("_all")

@@ -110,3 +110,41 @@ def test_overlap_join_equals_brute_force(spark, budget):
     want = {(a[0], b[0]) for a in rows for b in rows
             if a[0] < b[0] and a[1] <= b[2] and b[1] <= a[2]}
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+@pytest.mark.parametrize("threshold, most", [("10m", 3), ("-1", 9)])
+def test_medians_need_few_exchanges(spark, threshold, most):
+    """Where brackets are sent to all tasks only sketches and counts are exchanged."""
+    df = spark.range(1000).selectExpr("id % 3 AS k", "CAST(id * id % 97 AS DOUBLE) AS v")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        plan = robust_stats(df, ["k"], F.col("v"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # counted as planned, before equal exchanges are shared
+    print(plan.count("Exchange hashpartitioning"), plan.count("Window"))
+    assert plan.count("Exchange hashpartitioning") <= 2 * most and "Window" not in plan
+
+
+def test_an_emptied_bracket_is_an_error(spark, monkeypatch):
+    """A bracket that missed the middle would not go unseen."""
+    from orbitframe.operators import skew
+
+    df = spark.createDataFrame([(1, float(i)) for i in range(50)], ["k", "v"])
+    real = skew._brackets
+    monkeypatch.setattr(skew, "_brackets", lambda *a: real(*a).withColumns(
+        {"lo": F.lit(40.0), "hi": F.lit(41.0)}))
+    with pytest.raises(Exception, match="quantile sketch"):
+        robust_stats(df, ["k"], F.col("v")).collect()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 19, 20, 21, 199, 2002, 30_001])
+def test_medians_at_many_sizes(spark, n):
+    rng = random.Random(n)
+    values = [rng.choice([0.0, -0.0, 5.0, rng.gauss(0, 1)]) for _ in range(n)]
+    df = spark.createDataFrame([(1, v) for v in values], ["k", "v"]).repartition(3)
+    centre = statistics.median(values)
+    row = robust_stats(df, ["k"], F.col("v"), 20_000, 20_000).first()
+    assert (row["n"], row["median"]) == (n, centre)
+    assert row["mad"] == statistics.median(abs(v - centre) for v in values)
