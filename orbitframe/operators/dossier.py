@@ -88,7 +88,7 @@ def dossier_json(dossier: DataFrame) -> DataFrame:
                  c("ecc").alias("eccentricity"), "period_min").alias("elements"),
         F.struct(c("score").alias("score"), c("n_factors").alias("factors_available"),
                  F.lit(len(score.FACTORS)).alias("factors_total"),
-                 score.factor_list().alias("factors")).alias("threat"),
+                 score.factor_list(nearest=True).alias("factors")).alias("threat"),
         "n_maneuvers",
         _present("rpo_label", F.struct(
             c("rpo_label").alias("label"), c("rpo_min_range_km").alias("min_range_km"),

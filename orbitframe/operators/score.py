@@ -9,6 +9,7 @@ from orbitframe.functions import orbits, vectors as V
 from orbitframe.operators.trajectory import ELEMENTS, above_ground, with_states
 
 FACTORS = list(K.FACTOR_WEIGHTS)
+ASSET = {"asset_id": "long", "asset_name": "string", "nearest_km": "double"}
 
 
 def anomalous_rate(classified: DataFrame) -> DataFrame:
@@ -56,65 +57,96 @@ def proximity_ramp(range_km: Column) -> Column:
         1.0 - (range_km - near) / (far - near))
 
 
+#: how far out, in km of radius, each round of the search for the nearest asset looks
+RINGS_KM = (1_000, 5_000, 25_000, None)
+_FARTHEST_KM = 500_000
+
+
+def _shell(radius: Column, width: int | None) -> Column:
+    """Number of the radius shell; all beyond the farthest radius share the last one."""
+    inside = F.least(F.greatest(radius, F.lit(0.0)), F.lit(float(_FARTHEST_KM)))
+    return (F.floor(inside / width) if width else F.lit(0)).cast("long")
+
+
+def _ring(found: DataFrame, pool: DataFrame, load: DataFrame, met: int, reach: int | None,
+          rows_per_task: int) -> DataFrame:
+    """``found`` with the best asset among those up to ``reach`` farther in or out.
+
+    Objects whose best asset is nearer than what the rounds before have ``met`` sit this one out.
+    """
+    near = F.col("_best._gap")
+    open_ = near.isNull() | (near > met)
+    # a shell of its own, and no asset in it, for every object that is done
+    shell = F.when(open_, _shell(F.col("_radius"), reach)).otherwise(-1 - F.pmod(
+        F.xxhash64("norad_id"), F.lit(1 << 20)))
+    # at most one row a shell: a fixed number
+    salts = F.broadcast(load.groupBy(_shell(F.col("_at"), reach).alias("shell")).agg(
+        F.ceil(F.sum("_n") / F.lit(rows_per_task)).cast("int").alias("salts")))
+    left = found.withColumn("shell", shell).join(salts, "shell", "left").withColumn(
+        "salt", F.pmod(F.xxhash64("norad_id"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    far = reach or _FARTHEST_KM
+    right = pool.withColumn("shell", F.explode(F.sequence(
+        _shell(F.col("_low") - far, reach), _shell(F.col("_high") + far, reach)))).join(
+            salts, "shell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop(
+                "salts")
+    # two bodies are at least as far apart as their distances from the Earth's centre differ
+    apart = F.greatest(F.col("_low") - F.col("_radius"), F.col("_radius") - F.col("_high"), F.lit(0.0))
+    on = ((left["shell"] == right["shell"]) & (left["salt"] == right["salt"])
+          & (F.col("norad_id") != F.col("asset_id")) & (near.isNull() | (apart <= near)))
+    on = on & (apart >= met) if met else on
+    on = on & (apart <= far) if reach else on
+    pairs = left.join(right, on, "left").drop("shell", "salt")
+    pairs = with_states(pairs, "t", "el_", "h_")
+    gap = F.expr(V.norm(V.minus(V.cols("r"), V.cols("h_r"))))
+    usable = (F.col("_gap") >= K.SAME_STRUCTURE_KM) & above_ground("h_")
+    own = [c for c in found.columns if c not in ("norad_id", "_best")]
+    best = F.min(F.when(usable, F.struct("_gap", "asset_id", "asset_name")))
+    return pairs.withColumn("_gap", gap).groupBy("norad_id").agg(
+        F.first(F.struct(*own)).alias("_own"),
+        F.least(F.first("_best"), best).alias("_best")).select("norad_id", "_own.*", "_best")
+
+
 def proximity_to_assets(objects: DataFrame, assets: DataFrame, as_of,
                         max_age_days: float = K.PROXIMITY_MAX_AGE_DAYS,
-                        shell_km: float = 1000.0,
-                        salts: int = 16) -> DataFrame:
-    """Nearest high-value asset of each object at the object's own epoch.
-
-    ``objects`` and ``assets`` hold one element set per object (assets also
-    ``name``). Two bodies are at least as far apart as their distances from the
-    Earth's centre differ, so an object meets only assets whose radius band
-    comes within the far limit: assets are spread over radius shells, an object
-    looks into its own shell. Shells are salted on the object side and reduced
-    by map-side minimum. With assets present but none in reach the factor is 0
-    and the range is NULL (beyond the far limit). Assets without a complete,
-    closed orbit are none; if no other is left the factor is NULL. Objects whose
-    set is older than ``max_age_days`` at ``as_of`` get NULL.
+                        rows_per_task: int = 20_000) -> DataFrame:
+    """Nearest high-value asset of each object at the object's own epoch, at any distance.
+
+    ``objects`` and ``assets`` hold one element set per object (assets also ``name``). The search
+    goes outward in rounds: assets are spread over radius shells, an object looks into its own
+    shell, and it is done when the next round's assets differ more in radius than its best one is
+    away. Positions are only computed for assets that may be nearer than that. A shell is cut into
+    salts by its own number of objects. Beyond the far limit the factor is 0. Assets without a
+    complete, closed orbit are none; without a usable one all is NULL, as it is for objects whose
+    set is older than ``max_age_days`` at ``as_of``.
     """
     at = F.lit(as_of).cast("timestamp")
     fresh = F.abs(orbits.days_between(at, F.col("epoch"))) <= max_age_days
     base = with_states(objects.select("norad_id", *ELEMENTS), "epoch").withColumn(
-        "_radius", F.expr(V.norm(V.cols("r"))))
-    base = base.withColumn("_ok", fresh & F.coalesce(
-        F.col("_radius") >= K.R_EARTH_KM, F.lit(False)))
-    own = base.where("_ok").select(
-        "norad_id", F.col("epoch").alias("t"), "rx", "ry", "rz",
-        F.floor(F.col("_radius") / shell_km).cast("long").alias("shell"),
-        F.pmod(F.xxhash64("norad_id"), F.lit(salts)).cast("int").alias("salt"))
+        "_radius", F.expr(V.norm(V.cols("r")))).where(fresh & (F.col("_radius") >= K.R_EARTH_KM))
+    nothing = F.lit(None).cast("struct<_gap:double,asset_id:long,asset_name:string>")
+    found = base.select("norad_id", F.col("epoch").alias("t"), "rx", "ry", "rz", "_radius",
+                        nothing.alias("_best"))
     n = orbits.mean_motion_rad_s(F.col("revs_per_day"))
     a = orbits.semi_major_km(n)
-    reach = K.PROXIMITY_FAR_KM
     whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in ELEMENTS])
     assets = assets.where(whole & (F.col("revs_per_day") > 0) & (F.col("ecc") >= 0) & (F.col("ecc") < 1))
+    # a kilometre for rounding
     pool = assets.select(F.col("norad_id").alias("asset_id"), F.col("name").alias("asset_name"),
                          *[F.col(c).alias(f"el_{c}") for c in ELEMENTS],
-                         (a * (1 - F.col("ecc")) - reach).alias("_low"),
-                         (a * (1 + F.col("ecc")) + reach).alias("_high"))
-    pool = pool.withColumn("shell", F.explode(F.sequence(
-        F.floor(F.col("_low") / shell_km).cast("long"),
-        F.floor(F.col("_high") / shell_km).cast("long"))))
-    pool = pool.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = own.join(pool, ["shell", "salt"]).where(F.col("norad_id") != F.col("asset_id"))
-    met = with_states(met, "t", "el_", "h_")
-    gap = F.expr(V.norm(V.minus(V.cols("r"), V.cols("h_r"))))
-    usable = (F.col("_gap") >= K.SAME_STRUCTURE_KM) & above_ground("h_")
-    reduced = met.withColumn("_gap", gap).withColumn(
-        "_usable", F.coalesce(usable, F.lit(False))).groupBy("norad_id").agg(
-        F.min(F.when(F.col("_usable"), F.struct("_gap", "asset_id", "asset_name"))).alias("_m"),
-        F.count_if(~F.col("_usable")).alias("_refused"))
-    others = assets.agg(F.count("*")).scalar()
-    is_asset = assets.select("norad_id").distinct().withColumn("_self", F.lit(1))
-    out = base.select("norad_id", "_ok").join(reduced, "norad_id", "left").join(
-        is_asset, "norad_id", "left")
-    left_over = others - F.coalesce("_self", F.lit(0)) - F.coalesce("_refused", F.lit(0)) > 0
-    known = F.col("_m._gap") <= reach
-    return out.select(
-        "norad_id", F.when(known, F.col("_m.asset_id")).alias("asset_id"),
-        F.when(known, F.col("_m.asset_name")).alias("asset_name"),
-        F.when(known, F.col("_m._gap")).alias("nearest_km"),
-        F.when(F.col("_ok") & left_over, F.when(known, proximity_ramp(F.col("_m._gap")))
-               .otherwise(0.0)).alias("proximity_to_hva"))
+                         (a * (1 - F.col("ecc")) - 1).alias("_low"),
+                         (a * (1 + F.col("ecc")) + 1).alias("_high"))
+    width = RINGS_KM[0]
+    load = found.groupBy((_shell(F.col("_radius"), width) * width).alias("_at")).agg(
+        F.count("*").alias("_n"))
+    met = 0
+    for reach in RINGS_KM:
+        found = _ring(found, pool, load, met, reach, rows_per_task)
+        met = reach
+    known = found.select("norad_id", F.col("_best.asset_id"), F.col("_best.asset_name"),
+                         F.col("_best._gap").alias("nearest_km"))
+    ramp = F.when(F.col("nearest_km").isNotNull(), proximity_ramp(F.col("nearest_km")))
+    return objects.select("norad_id").join(known, "norad_id", "left").withColumn(
+        "proximity_to_hva", ramp)
 
 
 def combine_factors(factors: DataFrame) -> DataFrame:
@@ -134,9 +166,15 @@ def _explained(absent: str, *cases: tuple[Column, Column | str], otherwise: Colu
     return F.coalesce(*[F.when(c, text(v)) for c, v in cases], text(otherwise), F.lit(absent))
 
 
-def factor_explanations() -> dict[str, Column]:
-    """Why each factor column has its value, or why it has none."""
+def factor_explanations(nearest: bool = False) -> dict[str, Column]:
+    """Why each factor column has its value, or why it has none.
+
+    ``nearest``: the rows also have ``asset_id``, ``asset_name`` and ``nearest_km``.
+    """
     c, say = F.col, F.format_string
+    named = [(c("proximity_to_hva").isNotNull() & c("nearest_km").isNotNull(), say(
+        "about %.0f km from %s, the nearest high-value asset", c("nearest_km"),
+        F.coalesce("asset_name", c("asset_id").cast("string"))))] if nearest else []
     when_known = lambda name, text: F.when(c(name).isNotNull(), text)
     return {
         "maneuver_activity": _explained(
@@ -156,6 +194,7 @@ def factor_explanations() -> dict[str, Column]:
                 "weight of the orbit regime and its special tags, %.2f", c("regime_sensitivity")))),
         "proximity_to_hva": _explained(
             "no usable asset, or the object's element set is too old",
+            *named,
             (c("proximity_to_hva") == 0, F.lit(
                 f"no high-value asset within {K.PROXIMITY_FAR_KM:.0f} km")),
             (c("proximity_to_hva") >= 1, F.lit(
@@ -171,9 +210,9 @@ def factor_explanations() -> dict[str, Column]:
     }
 
 
-def factor_list() -> Column:
+def factor_list(nearest: bool = False) -> Column:
     """Factor columns as an array of (name, value, weight, explanation)."""
-    why = factor_explanations()
+    why = factor_explanations(nearest)
     return F.array(*[F.struct(
         F.lit(f).alias("name"), F.col(f).alias("value"), F.lit(K.FACTOR_WEIGHTS[f]).alias("weight"),
         why[f].alias("explanation")) for f in FACTORS])
@@ -182,8 +221,11 @@ def factor_list() -> Column:
 def threat_scores(ids: DataFrame, floors: DataFrame, events: DataFrame, classified: DataFrame,
                   regimes: DataFrame, satcat: DataFrame,
                   proximity: DataFrame | None = None) -> DataFrame:
-    """All factors and the composite score for every object in ``ids``."""
-    pick = lambda df, name: df.select("norad_id", name)
+    """All factors and the composite score for every object in ``ids``.
+
+    ``asset_id``, ``asset_name`` and ``nearest_km`` of ``proximity`` come along for the explanation.
+    """
+    pick = lambda df, name: df.select("norad_id", name, *(ASSET if name == "proximity_to_hva" else ()))
     df = ids.select("norad_id").distinct()
     sources = {
         "maneuver_activity": maneuver_activity(floors, events),
@@ -193,7 +235,8 @@ def threat_scores(ids: DataFrame, floors: DataFrame, events: DataFrame, classifi
         "attribution": attribution(satcat)}
     for name, table in sources.items():
         if table is None:
-            df = df.withColumn(name, F.lit(None).cast("double"))
+            df = df.withColumns({name: F.lit(None).cast("double"), **{
+                c: F.lit(None).cast(kind) for c, kind in ASSET.items()}})
         else:
             df = df.join(pick(table, name), "norad_id", "left")
     scored = combine_factors(df)

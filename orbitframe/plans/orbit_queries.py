@@ -419,9 +419,7 @@ QUERIES = {
             "2024-01-15"), digits=4),
         oracle(["elements", "assets"], f"""
             WITH {NEAREST}
-            SELECT e.norad_id, CASE WHEN gap <= 5000 THEN asset_id END AS asset_id,
-              CASE WHEN gap <= 5000 THEN asset_name END AS asset_name,
-              CASE WHEN gap <= 5000 THEN round(gap, 4) + 0.0 END AS nearest_km,
+            SELECT e.norad_id, asset_id, asset_name, round(gap, 4) + 0.0 AS nearest_km,
               round({RAMP}, 4) + 0.0 AS proximity_to_hva
             FROM elements e LEFT JOIN best b ON b.id = e.norad_id""")),
 }

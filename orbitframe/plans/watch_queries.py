@@ -202,7 +202,7 @@ QUERIES = {
             FROM snapshots WHERE snapshot_at_utc = (SELECT max(snapshot_at_utc)
               FROM snapshots)""")),
     "threat_scores": Query(
-        lambda s, d: plain(_threat_scores(s, d).withColumn(
+        lambda s, d: plain(_threat_scores(s, d).drop("nearest_km").withColumn(
             "band", orbits.threat_band(F.round("score", 6)))),
         oracle(["elements", "residuals", "satcat", "assets"], f"""
             WITH {O.NEAREST}, {O.LADDER}, {CLASSIFIED.replace('classified', 'judged').replace('scored', 'graded')},
@@ -212,6 +212,7 @@ QUERIES = {
               GROUP BY 1),
             parts AS (SELECT c.norad_id, maneuver_activity, anomalous_rate,
                 {O.SENSITIVITY} AS regime_sensitivity, {O.RAMP} AS proximity_to_hva,
+                asset_id, asset_name,
                 CASE WHEN s.norad_id IS NOT NULL THEN 1e0
                   - (coalesce(s.country NOT IN ('', 'UNK'), false)::INT
                     + coalesce(s.object_type NOT IN ('', 'UNK'), false)::INT) / 2e0 END AS attribution
@@ -224,6 +225,7 @@ QUERIES = {
             scored AS (SELECT *, round(100 * list_sum(list_transform(f, lambda x: x[1] * x[2]))
                 / list_sum(list_transform(f, lambda x: x[2])), 6) AS score FROM w)
             SELECT norad_id, {', '.join(r6(f) for f in score.FACTORS)}, score + 0.0 AS score,
+              asset_id, asset_name,
               len(f) AS n_factors, CASE WHEN score >= 67 THEN 'high' WHEN score >= 34 THEN 'moderate'
                 WHEN score IS NOT NULL THEN 'low' END AS band FROM scored""")),
     "dossiers": Query(lambda s, d: plain(dossiers(s, d).select(

@@ -108,7 +108,7 @@ def test_nearest_asset_equals_brute_force(spark, day):
     assets = objects.where("norad_id < 25").withColumn("name", F.concat(
         F.lit("A"), F.col("norad_id").cast("string")))
     got = {r["norad_id"]: r for r in score.proximity_to_assets(
-        objects, assets, day(2), salts=3).collect()}
+        objects, assets, day(2), rows_per_task=7).collect()}
     from orbitframe.operators.trajectory import with_states
     for o in rows:
         own = with_states(spark.createDataFrame([o], ELEMENTS), "epoch").first()
@@ -119,12 +119,34 @@ def test_nearest_asset_equals_brute_force(spark, day):
                  a["norad_id"]) for a in them if a["norad_id"] != o[0]]
         near, who = min(g for g in gaps if g[0] >= 2)
         row = got[o[0]]
-        if near <= 5000:
-            assert row["nearest_km"] == pytest.approx(near) and row["asset_id"] == who
-            assert row["proximity_to_hva"] == pytest.approx(
-                min(1, max(0, 1 - (near - 50) / 4950)))
-        else:
-            assert row["nearest_km"] is None and row["proximity_to_hva"] == 0
+        assert row["nearest_km"] == pytest.approx(near)
+        assert (row["asset_id"], row["asset_name"]) == (who, f"A{who}")
+        assert row["proximity_to_hva"] == pytest.approx(min(1, max(0, 1 - (near - 50) / 4950)))
+
+
+def test_nearest_asset_far_out(spark, day):
+    """Assets in high orbit only: the search ends in the last round."""
+    rows = [(1, day(0), 10.0, 0.0, 0.0, 0.0, 0.0, 15.0), (2, day(0), 1.0, 0.0, 0.0, 0.0, 90.0, 1.0027),
+            (3, day(0), 1.0, 0.0, 0.0, 0.0, 180.0, 1.0027), (4, day(0), 1.0, 0.0, 0.9, 0.0, 180.0, 0.01)]
+    objects = spark.createDataFrame(rows, ELEMENTS)
+    assets = objects.where("norad_id > 1").withColumn("name", F.lit("far"))
+    got = {r["norad_id"]: r for r in score.proximity_to_assets(objects, assets, day(1)).collect()}
+    assert got[1]["asset_id"] == 2 and 40_000 < got[1]["nearest_km"] < 43_000
+    assert got[1]["proximity_to_hva"] == 0 and got[2]["asset_id"] == 3
+    assert got[4]["nearest_km"] > 500_000
+    why = {f["name"]: f["explanation"] for f in score.threat_scores(
+        objects, *spark_tables(spark), score.proximity_to_assets(objects, assets, day(1))).select(
+            score.factor_list(nearest=True).alias("f")).first()["f"]}
+    assert "from far, the nearest" in why["proximity_to_hva"]
+
+
+def spark_tables(spark):
+    """Empty inputs of the score besides the nearest assets."""
+    none = lambda columns: spark.createDataFrame([], columns)
+    return (none("norad_id long"), none("norad_id long, dv_ms double"),
+            none("norad_id long, label string"),
+            none("norad_id long, primary string, special_tags array<string>"),
+            none("norad_id long, country string, object_type string"))
 
 
 def test_stale_sets_and_missing_assets_give_null(spark, day):
