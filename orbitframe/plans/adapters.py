@@ -84,6 +84,10 @@ VIEWS = {
           CASE WHEN norad_id % 13 = 0 THEN NULL ELSE apogee_km END AS apogee_km,
           CASE WHEN norad_id % 13 = 0 THEN NULL ELSE perigee_km END AS perigee_km
         FROM @elements e JOIN @part p ON p.p_partkey = e.norad_id""",
+    "listed_objects": """
+        SELECT norad_id, intl_desig, name, country, decay_date, object_type FROM @satcat
+        UNION ALL SELECT 1000000 + s_suppkey, NULL, s_name, NULL,
+          CASE WHEN s_suppkey % 3 = 0 THEN make_date(2021, 2, 3) END, 'UNK' FROM @supplier""",
     "perigee_series": """
         SELECT norad_id, epoch_utc, event_id, 0.001e0 * value + CASE norad_id % 6
             WHEN 0 THEN 500e0 - 2e0 * d WHEN 1 THEN 400e0 - 0.5e0 * d - 0.08e0 * d * d

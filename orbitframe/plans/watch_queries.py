@@ -1,8 +1,8 @@
-"""State differences, watch cycles, scores and dossiers."""
+"""State differences, watch cycles and scores."""
 
 from pyspark.sql import functions as F
 
-from orbitframe.operators import catalog, dossier, elements as el, maneuver, score, verify, watch
+from orbitframe.operators import catalog, elements as el, maneuver, score, verify, watch
 from orbitframe.functions import orbits
 from orbitframe.plans import behaviour_queries as B, orbit_queries as O
 from orbitframe.plans.behaviour_queries import CLASSIFIED
@@ -87,19 +87,6 @@ def _cycle_rows(s, d):
         (F.unix_millis("snapshot_at") / 86400000).cast("long").alias("cycle_id"), "norad_id")
 
 
-def _events(s, d):
-    """Labelled proximity events between neighbouring objects."""
-    return view(s, d, "neighbour_pairs").select(
-        F.format_string("%012d", "actor").alias("key"), F.lit("rpo").alias("event_type"),
-        F.array("actor").alias("actor_norad"), F.array("target").alias("target_norad"))
-
-
-def dossiers(s, d):
-    sets = view(s, d, "history").persist()
-    residuals = maneuver.pair_residuals(sets).persist()
-    return dossier.dossiers(sets, view(s, d, "satcat"), _events(s, d), "2024-01-26", residuals)
-
-
 def _threat_scores(s, d):
     residuals = view(s, d, "residuals")
     regimes = el.classify_regime(view(s, d, "elements"))
@@ -228,14 +215,6 @@ QUERIES = {
               asset_id, asset_name,
               len(f) AS n_factors, CASE WHEN score >= 67 THEN 'high' WHEN score >= 34 THEN 'moderate'
                 WHEN score IS NOT NULL THEN 'low' END AS band FROM scored""")),
-    "dossiers": Query(lambda s, d: plain(dossiers(s, d).select(
-        "norad_id", "name", "n_sets", "label", "threat_score", "threat_band", "n_maneuvers",
-        "rpo_label", "disposal_status", "top_action", "posture"), digits=3)),
-    "dossier_json": Query(lambda s, d: dossier.dossier_json(dossiers(s, d))),
-    "object_states": Query(lambda s, d: plain(watch.object_states(dossiers(s, d)), digits=3)),
-    "threat_board": Query(lambda s, d: plain(dossier.threat_board(
-        dossiers(s, d), catalog.featured_objects(
-            view(s, d, "history"), catalog.event_object_ids(_events(s, d)))), digits=3)),
     "conjunction_messages": Query(lambda s, d: conjunction_messages(
         view(s, d, "edges").select(
             "actor", "target", F.col("start_at").alias("tca"), "min_range_km",

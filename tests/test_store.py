@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from orbitframe.sources.landing import landed
 from orbitframe import schemas
 from orbitframe.operators import behaviour, catalog, watch
 from orbitframe.sources import element_text, sinks, store
@@ -136,8 +137,8 @@ def test_conjunction_message(spark, tmp_path, day):
 
 
 def test_dossier_documents(spark, tmp_path):
-    from orbitframe.plans.watch_queries import dossiers
-    sheet = dossiers(spark, "/root/testdata/sf0.001").persist()
+    from orbitframe.plans.dossier_queries import dossiers
+    sheet = landed(dossiers(spark, "/root/testdata/sf0.001"))
     sinks.write_dossier_json(sheet, str(tmp_path / "docs"))
     docs = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "docs")).collect()]
     rows = {r["norad_id"]: r for r in sheet.collect()}
@@ -145,10 +146,12 @@ def test_dossier_documents(spark, tmp_path):
     for doc in docs:
         row = rows[doc["norad_id"]]
         assert doc["threat"]["score"] == pytest.approx(row["threat_score"])
-        assert ("disposal" in doc) == (row["disposal_status"] is not None)
-        assert ("rpo" in doc) == (row["rpo_label"] is not None)
+        assert (doc["disposal"] is not None) == (row["disposal_status"] is not None)
+        assert (doc["rpo"] is not None) == (row["rpo_label"] is not None)
         assert doc["mitigations"][0]["urgency"] == row["top_urgency"]
-    assert any("rpo" in d for d in docs)
+    assert any(d["rpo"] for d in docs)
+    shift = next(d["changepoint"] for d in docs if d["changepoint"])
+    assert set(shift) == {"metric", "direction", "before", "after", "unit", "epoch", "t_stat"}
 
 
 def state_rows(spark, rows):
