@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from orbitframe.sources.landing import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared folder that ``spark.checkpoint.dir`` names.
-
-    Only where that is unset, as in local tests, a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='orbitframe-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/orbitframe-{uuid.uuid4().hex}"
+    """A new folder under the folder that all executors share."""
+    return f"{shared_folder(spark)}/orbitframe-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, folder: str | None = None, partition_by: Iterable[str] = ()) -> DataFrame:
