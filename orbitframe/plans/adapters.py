@@ -211,6 +211,13 @@ VIEWS = {
           CASE WHEN norad_id % 10 < 3 THEN CAST((norad_id * 7) % 200 AS DOUBLE) END
             AS days_to_reentry, 0.5e0 AS decay_rate
         FROM @elements""",
+    "encounters": """
+        SELECT norad_id AS actor, norad_id + 1 AS target, 1704067200000 + norad_id * 1000 AS tca_utc,
+          a_rx, a_ry, a_rz, a_vx, a_vy, a_vz, a_rx + k AS b_rx, a_ry - 0.6e0 * k AS b_ry,
+          a_rz + 0.3e0 * k AS b_rz, a_vx + 0.1e0 AS b_vx, a_vy - 0.3e0 AS b_vy, a_vz + 2e0 AS b_vz,
+          sqrt(1.45e0 * k * k) AS min_range_km, (norad_id % 7) * 0.5e0 AS age_a_days,
+          (norad_id % 4) * 0.75e0 AS age_b_days
+        FROM (SELECT *, (norad_id % 23) * (norad_id % 23) * 0.02e0 AS k FROM @relative) q""",
     "scores": """
         SELECT norad_id, (norad_id % 97) / 97e0 AS score FROM @shapes WHERE norad_id % 3 <> 0""",
     "history": """

@@ -389,12 +389,6 @@ QUERIES = {
             SELECT (SELECT count(*) FROM elements) AS n_objects,
               (SELECT count(*) * (count(*) - 1) // 2 FROM elements) AS n_pairs,
               (SELECT count(*) FROM screened) AS n_candidates""")),
-    "closest_approach": Query(
-        lambda s, d: plain(conjunction.closest_approach(
-            view(s, d, "neighbour_pairs"), view(s, d, "history")), digits=3)),
-    "collision_probability": Query(
-        lambda s, d: plain(conjunction.collision_probability(
-            view(s, d, "neighbour_pairs"), view(s, d, "history"), view(s, d, "satcat")), digits=6)),
     "anomaly_features": Query(
         lambda s, d: plain(anomaly.anomaly_features(view(s, d, "satcat").where(
             "decay_date IS NULL"))),

@@ -10,7 +10,6 @@ from orbitframe.plans.catalog_queries import BREAKUPS
 from orbitframe.plans.adapters import oracle, view
 from orbitframe.plans.compare import plain, r6
 from orbitframe.plans.query import Query
-from orbitframe.sources.sinks import conjunction_messages
 
 _AS_OF = "2024-02-01"
 _AS_OF_MS = 1706745600000
@@ -215,24 +214,4 @@ QUERIES = {
               asset_id, asset_name,
               len(f) AS n_factors, CASE WHEN score >= 67 THEN 'high' WHEN score >= 34 THEN 'moderate'
                 WHEN score IS NOT NULL THEN 'low' END AS band FROM scored""")),
-    "conjunction_messages": Query(lambda s, d: conjunction_messages(
-        view(s, d, "edges").select(
-            "actor", "target", F.col("start_at").alias("tca"), "min_range_km",
-            (F.col("l_linenumber") / 1e5).alias("pc_estimate"),
-            F.lit(0.01).alias("hard_body_radius_km")), view(s, d, "satcat"), _AS_OF),
-        oracle(["edges", "satcat"], f"""
-            SELECT actor, target, concat_ws(chr(10), 'CCSDS_CDM_VERS = 1.0',
-              'COMMENT Screening product: covariance is modelled from element age and the',
-              'COMMENT radius from radar cross-section. Not an operational message.',
-              'CREATION_DATE = 2024-02-01T00:00:00Z', 'ORIGINATOR = ORBITFRAME',
-              'TCA = ' || strftime(epoch_ms(start_at_utc), '%Y-%m-%dT%H:%M:%S.%fZ'),
-              'MISS_DISTANCE = ' || round(CAST(CAST(
-                min_range_km * 1000 AS STRING) AS DECIMAL(30, 14)), 1)::DECIMAL(20, 1) || ' [m]',
-              'COLLISION_PROBABILITY = ' || printf('%.3e', l_linenumber / 1e5),
-              'HARD_BODY_RADIUS = 10.0 [m]', 'OBJECT = OBJECT1', 'OBJECT_DESIGNATOR = ' || actor,
-              'OBJECT_NAME = ' || coalesce(a.name, CAST(actor AS STRING)), 'OBJECT = OBJECT2',
-              'OBJECT_DESIGNATOR = ' || target,
-              'OBJECT_NAME = ' || coalesce(b.name, CAST(target AS STRING))) AS message
-            FROM edges LEFT JOIN satcat a ON a.norad_id = actor
-            LEFT JOIN satcat b ON b.norad_id = target""")),
 }

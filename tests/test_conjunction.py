@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import timedelta
 
 import numpy as np
 import pytest
@@ -89,7 +90,47 @@ def test_probability_against_closed_form(spark, day):
     inside = grid[(grid**2).sum(1) < radius**2] - mean
     density = np.exp(-.5 * np.einsum("ij,jk,ik->i", inside, inverse, inside))
     want = density.sum() * (axis[1] - axis[0])**3 / math.sqrt((2 * math.pi)**3 * det)
-    assert row["pc_estimate"] == pytest.approx(want, rel=0.1)
+    assert row["pc_estimate"] == pytest.approx(want, rel=0.02)
+    assert row["pc_sampled"] == pytest.approx(want, rel=0.05)
+
+
+def test_probability_over_many_decades(spark):
+    """Quadrature against importance sampling, from near certainty to the smallest doubles."""
+    rows = []
+    for k in range(40):
+        off = 0.02 * k * k
+        rows.append((k, 1000 + k, off * 1.2, 7000.0, 1.0, 2.0, 0.1, 7.5, 0.2, 7000.0 + off,
+                     1.0 - 0.6 * off, 2.0 + 0.3 * off, 0.2, 7.3, 1.9, 0.5 * (k % 3), 1.0 * (k % 2)))
+    columns = ("actor long, target long, min_range_km double, a_rx double, a_ry double, a_rz double, "
+               "a_vx double, a_vy double, a_vz double, b_rx double, b_ry double, b_rz double, "
+               "b_vx double, b_vy double, b_vz double, age_a_days double, age_b_days double")
+    met = spark.createDataFrame(rows, columns).withColumn("tca", F.lit("2024-01-01").cast("timestamp"))
+    cat = spark.createDataFrame([(k, 10.0 ** (k % 6)) for k in range(40)], "norad_id long, rcs_m2 double")
+    got = cj.pair_probability(met, cat, n_samples=20_000).collect()
+    decades = set()
+    for r in got:
+        if r["pc_sampled"] > 1e-290:
+            assert math.log10(r["pc_estimate"]) == pytest.approx(math.log10(r["pc_sampled"]), abs=0.02)
+            decades.add(round(math.log10(r["pc_estimate"])))
+    assert len(decades) > 10 and min(decades) < -100
+    assert any(r["pc_estimate"] == 0 for r in got)
+    one = met.where("actor = 0").withColumn("age_a_days", F.lit(None).cast("double"))
+    assert cj.pair_probability(one, cat).first()["pc_estimate"] is None
+
+
+def test_the_centre_of_a_regrid_moves(spark, day):
+    """Points count within the span of the best one so far, as far as a chain of them leads."""
+    pairs = spark.createDataFrame([(1, 2)], ["actor", "target"])
+    history = encounter(spark, day)
+    far = cj.closest_approach(pairs, history).first()
+    start = spark.createDataFrame([(1, 2, far["tca"] - timedelta(seconds=1500), 9e9)],
+                                  "actor long, target long, tca timestamp, min_range_km double")
+    for who, norad_id in (("a", 1), ("b", 2)):
+        held = history.where((F.col("norad_id") == norad_id)).orderBy("epoch").limit(1)
+        start = start.join(held.select(F.struct(*[c for c in held.columns if c != "norad_id"]).alias(who)))
+    still = cj._refine(start, 600.0, 600.0).first()
+    # three steps of 600 s, each within the span of the one before
+    assert abs((still["tca"] - far["tca"]).total_seconds()) <= 300
 
 
 def ric(r, v):

@@ -7,8 +7,6 @@ from orbitframe.plans.registry import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES = registry()
-HEAVY = {"dossiers", "dossier_json", "object_states", "threat_board", "closest_approach",
-         "collision_probability"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +19,7 @@ def test_equals_sql(spark, con, name):
     assert differences(QUERIES[name].run(spark, SF_DIR), con, QUERIES[name].sql) is None
 
 
-@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if not q.sql and n not in HEAVY])
+@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if not q.sql])
 def test_runs(spark, name):
     assert QUERIES[name].run(spark, SF_DIR).columns
     QUERIES[name].run(spark, SF_DIR).collect()
