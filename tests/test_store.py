@@ -236,6 +236,46 @@ def test_stream_campaigns_equal_batch(spark, tmp_path, day):
     assert got <= batch and len(got) == 9 and len(batch) == 12
 
 
+def test_late_events_reopen_campaigns_or_are_handed_over(spark, tmp_path, day):
+    """Events 3 and 400 days late: the changes fold to what the batch operator makes of all events."""
+    folder, out, mark = str(tmp_path / "e"), str(tmp_path / "o"), str(tmp_path / "c")
+    schema = "norad_id long, epoch timestamp, dv_ms double"
+    landed_rows = []
+
+    def land(rows):
+        landed_rows.extend(rows)
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(folder)
+        query = jobs.stream_campaigns(spark.readStream.schema(schema).parquet(folder)).writeStream.format(
+            "parquet").option("path", out).option("checkpointLocation", mark).trigger(
+                availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.parquet(out)
+
+    key = lambda r: tuple(r[c] for c in ("norad_id", "start_epoch", "end_epoch", "peak_dv_ms",
+                                         "peak_epoch", "n_pulses"))
+    rows = lambda k, *pairs: [(k, day(t), float(v)) for t, v in pairs]
+    land(rows(1, (500, 1), (500.5, 4), (503, 2), (510, 1)) + rows(2, (500, 3), (520, 1)))
+    # three days late: it joins two told campaigns, one start goes, and a new campaign appears
+    changes = land(rows(1, (501.5, 9), (502.2, 9), (507, 1), (530, 1)))
+    kinds = [(r["kind"], r["revision"]) for r in changes.where("norad_id = 1").orderBy("start_epoch").collect()]
+    assert kinds.count(("withdrawn", 1)) == 1 and ("campaign", 2) in kinds or ("campaign", 3) in kinds
+    merged = {key(r) for r in jobs.current_campaigns(changes).where("norad_id = 1").collect()}
+    all_events = spark.createDataFrame(landed_rows, schema)
+    batch = {key(r) for r in behaviour.campaigns(all_events).where("norad_id = 1").collect()}
+    assert batch - merged == {key(r) for r in behaviour.campaigns(all_events).where(
+        "norad_id = 1 AND start_epoch >= '2025-06-01'").collect()} and merged <= batch
+    assert any(c[5] == 5 and c[3] == 9.0 and c[4] == day(501.5).replace(tzinfo=None) for c in merged)
+    # 400 days late: counted, handed over, and derived by the batch operator
+    changes = land(rows(1, (100, 7), (100.2, 8), (140, 1)) + rows(2, (540, 1)))
+    late = {r["norad_id"]: (r["n_late"], r["oldest"]) for r in jobs.late_counts(changes).collect()}
+    assert late == {1: (3, day(100).replace(tzinfo=None))}
+    all_events = spark.createDataFrame(landed_rows, schema)
+    final = {key(r) for r in jobs.settled(jobs.current_campaigns(changes), changes, all_events).collect()}
+    batch = {key(r) for r in behaviour.campaigns(all_events).collect()}
+    assert batch - final == {c for c in batch if c[0] == 2 and c[1] == day(540).replace(tzinfo=None)}
+    assert final <= batch and len([c for c in final if c[0] == 1]) == 6
+
+
 def test_stream_findings_and_replay(spark, tmp_path, day):
     folder, out, mark = str(tmp_path / "s"), str(tmp_path / "o"), str(tmp_path / "c")
     land = lambda rows, at: state_rows(spark, rows).withColumn(
