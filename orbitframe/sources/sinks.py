@@ -1,6 +1,6 @@
 """Text and JSON sinks."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from orbitframe.operators.dossier import dossier_json
 
@@ -37,3 +37,48 @@ def conjunction_messages(pairs: DataFrame, satcat: DataFrame, created_at,
 
 def write_conjunction_messages(messages: DataFrame, path: str) -> None:
     messages.select("message").write.mode("overwrite").option("lineSep", "\n\n").text(path)
+
+
+def element_lines(sets: DataFrame) -> DataFrame:
+    """Add ``line1`` and ``line2``, the two-line form of mean elements, with their checksums.
+
+    The format has room for numbers of five digits; drag terms and designators are left blank.
+    """
+    say, c = F.format_string, F.col
+    start = F.date_trunc("year", c("epoch"))
+    day = 1 + (F.unix_micros("epoch") - F.unix_micros(start)) / 86400e6
+    number = say("%05d", F.pmod(c("norad_id"), F.lit(100_000)))
+    first = F.concat(F.lit("1 "), number, F.lit("U          "), F.date_format("epoch", "yy"),
+                     say("%012.8f", day), F.lit("  .00000000  00000-0  00000-0 0  000"))
+    angle = lambda name: say("%8.4f", F.pmod(c(name), F.lit(360.0)))
+    ecc = F.substring(say("%.7f", c("ecc")), 3, 7)
+    second = F.concat_ws(" ", F.lit("2"), number, say("%8.4f", c("incl_deg")), angle("raan_deg"), ecc,
+                         angle("argp_deg"), angle("mean_anom_deg"),
+                         F.concat(say("%11.8f", c("revs_per_day")), F.lit("00000")))
+    return sets.withColumns({"line1": _with_checksum(first), "line2": _with_checksum(second)})
+
+
+def _with_checksum(line: Column) -> Column:
+    """The line with the last digit of the sum of its digits; a minus counts as one."""
+    digits = F.aggregate(F.split(line, ""), F.lit(0), lambda total, ch: total + F.when(
+        ch == "-", 1).otherwise(F.coalesce(ch.try_cast("int"), F.lit(0))))
+    return F.concat(line, (digits % 10).cast("string"))
+
+
+def write_element_text(sets: DataFrame, path: str) -> None:
+    """Element text of sets with ``line1`` and ``line2``, after a name line where there is a name."""
+    name = [F.col("name")] if "name" in sets.columns else []
+    sets.select(F.concat_ws("\n", *name, "line1", "line2").alias("value")).write.text(path)
+
+
+_CSV_COLUMNS = {
+    "name": "OBJECT_NAME", "intl_desig": "OBJECT_ID", "norad_id": "NORAD_CAT_ID",
+    "object_type": "OBJECT_TYPE", "country": "OWNER", "launch_date": "LAUNCH_DATE",
+    "decay_date": "DECAY_DATE", "period_min": "PERIOD", "inclination": "INCLINATION",
+    "apogee_km": "APOGEE", "perigee_km": "PERIGEE", "rcs_m2": "RCS"}
+
+
+def write_satcat_csv(satcat: DataFrame, path: str) -> None:
+    """Catalogue rows as CSV files with the header that :func:`read_satcat_csv` expects."""
+    satcat.select([F.col(c).alias(header) for c, header in _CSV_COLUMNS.items()]).write.csv(
+        path, header=True)
