@@ -50,8 +50,7 @@ def main() -> None:
         "classify_regime": lambda: el.classify_regime(land("elements")),
         "screening_summary": lambda: conjunction.screening_summary(land("elements")),
         "screen_conjunctions": lambda: conjunction.screen_conjunctions(land("elements")),
-        "anomaly_ranking": lambda: anomaly.fit_anomaly_model(land("satcat")).top_anomalies(
-            land("satcat")),
+        "anomaly_ranking": lambda: anomaly.fit_anomaly_model(land("satcat")).top_anomalies(),
         "pair_residuals": lambda: maneuver.pair_residuals(land("history")),
         "perigee_decay": lambda: decay.predict_decay(el.mean_elements(land("history")).select(
             "norad_id", "epoch", "perigee_km")),

@@ -1,12 +1,14 @@
 """Statistical anomaly ranking of orbits with an isolation forest."""
 
+import hashlib
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orbitframe import constants as K
+from orbitframe.sources.landing import landed
 
 FEATURES = ["apogee (log)", "perigee (log)", "inclination", "eccentricity", "period"]
 _X = [f"x{i}" for i in range(len(FEATURES))]
@@ -64,26 +66,46 @@ def _expected_path(n: np.ndarray | int):
     return np.where(n > 2, value, np.where(n == 2, 1.0, 0.0))
 
 
+_DRAW_DIGITS = 13
+_DRAWS = 16 ** _DRAW_DIGITS
+
+
+def _drawn(*parts) -> int:
+    """A number below ``_DRAWS`` that depends on nothing but its parts."""
+    text = ":".join(map(str, parts))
+    return int(hashlib.md5(text.encode()).hexdigest()[:_DRAW_DIGITS], 16)
+
+
+def drawn(*parts: Column) -> Column:
+    """The same as a column."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, _DRAW_DIGITS), 16, 10).cast("long")
+
+
 def _grow_tree(sample: pd.DataFrame) -> pd.DataFrame:
-    """Isolation tree over one bounded sample."""
+    """Isolation tree over one bounded sample, grown level by level.
+
+    Feature and threshold of a node are drawn by hash from the tree and the node's number in the
+    full binary tree (the root is 1, its children 2 and 3).
+    """
     tree = int(sample["tree"].iloc[0])
     data = sample.sort_values("norad_id")[_X].to_numpy(dtype=float)
-    rng = np.random.default_rng(tree)
     limit = math.ceil(math.log2(max(len(data), 2)))
-    nodes, queue = [], [(np.arange(len(data)), 0)]
+    nodes, queue = [], [(np.arange(len(data)), 0, 1)]
     while len(nodes) < len(queue):
         node = len(nodes)
-        index, depth = queue[node]
+        index, depth, place = queue[node]
         low, high = data[index].min(axis=0), data[index].max(axis=0)
         splittable = np.flatnonzero(high > low)
         if depth >= limit or len(index) <= 1 or len(splittable) == 0:
             nodes.append((tree, node, -1, 0.0, -1, -1, depth, len(index)))
             continue
-        feature = int(rng.choice(splittable))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        feature = int(splittable[_drawn(tree, place, "f") % len(splittable)])
+        share = _drawn(tree, place, "t") / _DRAWS
+        threshold = float(low[feature] + (high[feature] - low[feature]) * share)
         goes_left = data[index, feature] <= threshold
         nodes.append((tree, node, feature, threshold, len(queue), len(queue) + 1, depth, len(index)))
-        queue += [(index[goes_left], depth + 1), (index[~goes_left], depth + 1)]
+        queue += [(index[goes_left], depth + 1, 2 * place), (index[~goes_left], depth + 1, 2 * place + 1)]
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in _NODES.split(", ")])
 
 
@@ -91,12 +113,13 @@ class AnomalyModel:
     """A fitted forest with the population statistics it was fitted on.
 
     Fitting is eager, as for any Spark estimator. What reaches the driver is
-    bounded by trees x (2 x sample) nodes plus a dozen numbers.
+    bounded by trees x (2 x sample) nodes plus a dozen numbers. The raw scores of the population
+    are landed while fitting, so it is scored once.
     """
 
     def __init__(self, stats: DataFrame, nodes: pd.DataFrame, sample_size: int):
         self.stats, self.nodes, self.sample_size = stats, nodes, sample_size
-        self.low = self.high = None
+        self.low = self.high = self.population = None
 
     def raw_scores(self, features: DataFrame) -> DataFrame:
         """Standardised features plus the raw score (higher = easier to isolate)."""
@@ -104,16 +127,17 @@ class AnomalyModel:
         columns = F.struct(*_X)
         return scaled.withColumn("raw", _forest_score(self.nodes, self.sample_size)(columns))
 
-    def scores(self, satcat: DataFrame) -> DataFrame:
-        """Scores of members or newcomers in 0..1, with the outlier flag."""
+    def scores(self, satcat: DataFrame | None = None) -> DataFrame:
+        """Scores in 0..1, with the outlier flag, of the population or of other objects."""
+        raw = self.population if satcat is None else self.raw_scores(feature_rows(satcat))
         span = self.high - self.low
         scaled = F.lit(0.0) if span <= 0 else (F.col("raw") - self.low) / span
         bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))
-        return _top_feature(self.raw_scores(feature_rows(satcat))).select(
+        return _top_feature(raw).select(
             "norad_id", bounded.alias("score"), (F.col("raw") > 0.5).alias("is_outlier"),
             "top_feature", "top_feature_z")
 
-    def top_anomalies(self, satcat: DataFrame, n: int = 40) -> DataFrame:
+    def top_anomalies(self, satcat: DataFrame | None = None, n: int = 40) -> DataFrame:
         return self.scores(satcat).orderBy(F.desc("score"), "norad_id").limit(n)
 
 
@@ -145,23 +169,22 @@ def _forest_score(nodes: pd.DataFrame, sample_size: int):
 
 
 def _tree_samples(scaled: DataFrame, n_rows: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """A fixed-size sample per tree, chosen by hash so that it does not depend
-    on partitioning.
+    """A fixed-size sample per tree, chosen by hash so that it does not depend on partitioning.
 
-    One hash deals all rows into hands of about twice the sample, one hand per
-    tree; when there are fewer hands than trees the rows are dealt again with
-    another seed. Each tree then takes the smallest hashes of its hand, cut
-    inside map tasks before the shuffle.
+    One hash deals all rows into hands of about twice the sample, one hand per tree; when there are
+    fewer hands than trees the rows are dealt again with another seed, so how often they are dealt
+    follows from the number of rows. Each tree then takes the smallest hashes of its hand, cut
+    inside map tasks before the shuffle. ``sample`` rows a tree (256) are the published parameter
+    of the method, at any size of the population.
     """
     hands = max(1, n_rows // (2 * sample))
     deals = -(-trees // hands)
     dealt = scaled.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    dealt = dealt.withColumn("_h", F.xxhash64("norad_id", "_deal", F.lit(seed)))
-    dealt = dealt.withColumn("tree", (
-        F.col("_deal") * hands + F.pmod("_h", F.lit(hands))).cast("int"))
+    dealt = dealt.withColumn("tree", (F.col("_deal") * hands + drawn(
+        F.col("norad_id"), F.col("_deal"), F.lit(seed)) % hands).cast("int")).where(F.col("tree") < trees)
     w = Window.partitionBy("tree").orderBy("_u", "norad_id")
     return (
-        dealt.where(F.col("tree") < trees).withColumn("_u", F.xxhash64("_h"))
+        dealt.withColumn("_u", drawn(F.col("norad_id"), F.col("_deal"), F.lit(seed), F.lit("u")))
         .withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= sample)
         .select("norad_id", *_X, "tree")
     )
@@ -181,6 +204,7 @@ def fit_anomaly_model(satcat: DataFrame, trees: int = K.FOREST_TREES,
     nodes = _tree_samples(scaled, summary["n"], trees, sample, seed).groupBy(
         "tree").applyInPandas(_grow_tree, _NODES).toPandas()
     model = AnomalyModel(stats, nodes, min(sample, summary["n"]))
-    bounds = model.raw_scores(features).agg(F.min("raw"), F.max("raw")).first()
+    model.population = landed(model.raw_scores(features))
+    bounds = model.population.agg(F.min("raw"), F.max("raw")).first()
     model.low, model.high = bounds[0], bounds[1]
     return model

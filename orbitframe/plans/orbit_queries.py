@@ -1,7 +1,10 @@
 """Orbit ladders, trajectories and screening over whole tables."""
 
+import math
+
 from pyspark.sql import functions as F
 
+from orbitframe import constants as K
 from orbitframe.functions import orbits
 from orbitframe.operators import anomaly, conjunction, elements as el, score, trajectory
 from orbitframe.plans.adapters import oracle, view
@@ -185,6 +188,58 @@ SENSITIVITY = """(least(1.0, CASE "primary" WHEN 'GEO' THEN 1.0 WHEN 'GRAVEYARD'
   + CASE WHEN contains(special_tags, 'MOLNIYA') OR contains(special_tags, 'TUNDRA') THEN 0.2
     WHEN contains(special_tags, 'SSO') THEN 0.15 ELSE 0 END))::DOUBLE"""
 
+_PATH = """CASE WHEN {0} > 2 THEN 2 * (ln({0} - 1) + 0.5772156649015329) - 2e0 * ({0} - 1) / {0}
+  WHEN {0} = 2 THEN 1e0 ELSE 0e0 END"""
+_TREES, _SAMPLE = K.FOREST_TREES, K.FOREST_SAMPLE
+_LEVELS = math.ceil(math.log2(_SAMPLE))
+
+
+def _draw(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, {anomaly._DRAW_DIGITS}) AS BIGINT)"
+
+
+def _level(n: int) -> str:
+    """CTEs of one level of all trees: its nodes, where its rows go, where its paths go."""
+    return f"""
+t{n} AS (SELECT tree, node, len(r) AS size, {n} < least({_LEVELS}, any_limit) AND len(f) > 0 AS split, f,
+    lo, hi FROM (SELECT *, list_filter([1, 2, 3, 4, 5], lambda i: hi[i] > lo[i]) AS f FROM (
+      SELECT tree, node, list(norad_id) AS r, any_value(lim) AS any_limit,
+        [{', '.join(f'min(xs[{i}])' for i in range(1, 6))}] AS lo,
+        [{', '.join(f'max(xs[{i}])' for i in range(1, 6))}] AS hi FROM s{n} GROUP BY tree, node) q) q),
+n{n} AS (SELECT tree, node, size, CASE WHEN split THEN f[CAST({_draw("tree || ':' || node || ':f'")}
+      % len(f) + 1 AS BIGINT)] END AS feature, lo, hi,
+    {_draw("tree || ':' || node || ':t'")} / {anomaly._DRAWS}e0 AS share FROM t{n}),
+d{n} AS (SELECT tree, node, size, feature, lo[feature] + (hi[feature] - lo[feature]) * share AS cut FROM n{n}),
+s{n + 1} AS (SELECT s.* REPLACE (2 * s.node + (xs[feature] > cut)::INT AS node)
+  FROM s{n} s JOIN d{n} USING (tree, node) WHERE feature IS NOT NULL),
+w{n} AS (SELECT p.*, size, feature, cut FROM p{n} p JOIN d{n} USING (tree, node)),
+p{n + 1} AS (SELECT norad_id, tree, 2 * node + (xs[feature] > cut)::INT AS node, xs FROM w{n}
+  WHERE feature IS NOT NULL)"""
+
+
+_FOREST = f"""
+f AS (SELECT norad_id, log10(apogee_km + 1) AS x0, log10(perigee_km + 1) AS x1, inclination AS x2,
+    (apogee_km - perigee_km) / (apogee_km + perigee_km + 2 * 6378.137) AS x3,
+    coalesce(period_min, 0) AS x4
+  FROM satcat WHERE decay_date IS NULL AND apogee_km > 0 AND perigee_km > 0 AND inclination IS NOT NULL),
+z AS (SELECT norad_id, [{', '.join(
+    f'(x{i} - avg(x{i}) OVER ()) / coalesce(nullif(stddev_pop(x{i}) OVER (), 0), 1)' for i in range(5))}] AS xs
+  FROM f),
+hands AS (SELECT greatest(1, count(*) // {2 * _SAMPLE}) AS h, count(*) AS n FROM z),
+dealt AS (SELECT z.*, h * deal + {_draw("norad_id || ':' || deal || ':42'")} % h AS tree,
+    {_draw("norad_id || ':' || deal || ':42:u'")} AS u
+  FROM z, hands, (SELECT unnest(range({_TREES})) AS deal) WHERE deal < ceil({_TREES}e0 / h)),
+chosen AS (SELECT norad_id, xs, tree FROM dealt WHERE tree < {_TREES}
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY u, norad_id) <= {_SAMPLE}),
+s0 AS (SELECT *, 1 AS node, ceil(log2(greatest(count(*) OVER (PARTITION BY tree), 2))) AS lim FROM chosen),
+p0 AS (SELECT norad_id, tree, 1 AS node, xs FROM z, (SELECT DISTINCT tree FROM chosen) q),
+{', '.join(map(_level, range(_LEVELS + 1)))},
+ends AS ({' UNION ALL '.join(
+    f'SELECT norad_id, {n} + {_PATH.format("size")} AS path FROM w{n} WHERE feature IS NULL'
+    for n in range(_LEVELS + 1))}),
+raw AS (SELECT norad_id, pow(2, -sum(path) / ((SELECT count(DISTINCT tree) FROM chosen)
+    * (SELECT {_PATH.format(f"least(n, {_SAMPLE})")} FROM hands))) AS raw FROM ends GROUP BY 1)"""
+
 
 def _elements(s, d):
     return view(s, d, "elements")
@@ -406,7 +461,17 @@ QUERIES = {
             SELECT norad_id, {', '.join(r6(f'x{i}') for i in range(5))},
               ['apogee (log)', 'perigee (log)', 'inclination', 'eccentricity', 'period'][pos]
                 AS top_feature, {r6('[x0, x1, x2, x3, x4][pos]', 'top_feature_z')} FROM t""")),
-    "anomaly_scores": Query(lambda s, d: plain(_anomaly_scores(s, d))),
+    "anomaly_scores": Query(
+        lambda s, d: plain(anomaly.fit_anomaly_model(
+            view(s, d, "satcat").where("decay_date IS NULL")).scores()),
+        oracle(["satcat"], f"""WITH {_FOREST}
+            SELECT norad_id, {r6('CASE WHEN high > low THEN (raw - low) / (high - low) ELSE 0 END', 'score')},
+              CAST(raw > 0.5 AS STRING) AS is_outlier,
+              ['apogee (log)', 'perigee (log)', 'inclination', 'eccentricity', 'period'][pos]
+                AS top_feature, {r6('xs[pos]', 'top_feature_z')}
+            FROM (SELECT r.*, z.xs, list_position(list_transform(xs, lambda v: abs(v)),
+                list_max(list_transform(xs, lambda v: abs(v)))) AS pos,
+                min(raw) OVER () AS low, max(raw) OVER () AS high FROM raw r JOIN z USING (norad_id)) q""")),
     "proximity_to_assets": Query(
         lambda s, d: plain(score.proximity_to_assets(
             _elements(s, d), view(s, d, "assets").join(_elements(s, d).drop("name"), "norad_id"),
@@ -417,8 +482,3 @@ QUERIES = {
               round({RAMP}, 4) + 0.0 AS proximity_to_hva
             FROM elements e LEFT JOIN best b ON b.id = e.norad_id""")),
 }
-
-
-def _anomaly_scores(s, d):
-    active = view(s, d, "satcat").where("decay_date IS NULL")
-    return anomaly.fit_anomaly_model(active).scores(active)
