@@ -23,7 +23,8 @@ from orbitframe.llm.common import batch
 
 HEAD, AFTER_ROLE, END = "### ", ": ", "</turn>\n"
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*)</turn>\n", re.DOTALL)
+# possessive: no way back is kept, so a text takes no memory beside itself
+_TURN = re.compile(r"### ([^\\:]*+(?:\\.[^\\:]*+)*+): ([^\\<]*+(?:\\.[^\\<]*+)*+)</turn>\n", re.DOTALL)
 _MESSAGES = pa.schema([("conv_id", pa.int64()), ("message", pa.int64()), ("role", pa.string()),
                        ("text", pa.string())])
 _RENDERED = pa.schema([("conv_id", pa.int64()), ("message", pa.int64()),
