@@ -248,3 +248,67 @@ def test_near_duplicates_are_judged_by_row(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [
         (0, "a text of its own"), (0, "without an id"), (0, "without an id"),
         (1, "a copied text"), (2, "another text of number two")]
+
+
+@pytest.mark.parametrize("n", [9, 27, 100, 400])
+def test_near_copies_recall_at_the_bound(spark, n):
+    """Pairs whose five-word shingles have a similarity of 0.8 or just above it."""
+    rng = random.Random(n)
+    word = lambda: f"w{rng.randrange(10 ** 9)}"
+    rows, pairs = [], 300
+    for i in range(pairs):
+        words = [word() for _ in range(n + 4)]
+        k = int(n * 0.2 / 1.8)
+        other = words[k:] + [word() for _ in range(k)]
+        a, b = (near_copies.shingle_set(" ".join(w).encode()) for w in (words, other))
+        assert near_copies.similarity(a, b) >= 0.8
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(pairs)) >= 0.97 * pairs
+    assert all(got[2 * i] == 2 * i for i in range(pairs))
+
+
+def test_near_copies_equal_brute_force(spark):
+    """A family of copies of a text with more and more edits, and unrelated texts."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(400)}"
+    base = [word() for _ in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            copy[rng.randrange(len(copy))] = word()
+        rows.append((i, " ".join(copy)))
+    rows += [(100 + i, " ".join(word() for _ in range(rng.randrange(0, 60)))) for i in range(60)]
+    rows += [(7, rows[70][1]), (None, rows[3][1]), (None, None), (300, "")]
+    sets = [near_copies.shingle_set((t or "").encode()) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if near_copies.similarity(sets[i], sets[j]) >= 0.8:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    want = {}
+    for (doc, _), g in zip(rows, group):
+        if doc is not None:
+            want[g] = min(want.get(g, doc), doc)
+    expected = sorted((str(doc), str(want.get(g))) for (doc, _), g in zip(rows, group))
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got.collect()) == expected
+
+
+def test_chat_reads_back_a_long_text(spark):
+    text = "a<b\\c# " * 1_500_000
+    messages = spark.createDataFrame([(1, 1, "user", text)], "conv_id long, message long, role string, text string")
+    row = chat.read_back(chat.render(messages)).first()
+    assert row["turns_sha256"] == hashlib.sha256(f"user\n{text}\n".encode()).hexdigest()
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (None, None), (3, "")],
+                                 "doc_id long, text string").select(
+        "*", *(F.lit(1).alias(c) for c in ("_id", "_node", "node", "component_id", "gone", "shard", "root")))
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3"] and kept.columns == docs.columns
+    assert corpus_pipeline.drop_repeats(spark, docs, "").columns == docs.columns
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").collect() == []
