@@ -26,9 +26,6 @@ def parse_filter_specs(requests: DataFrame) -> DataFrame:
     numbers, empty or zero owners and names are none. Text without a JSON object becomes a name
     search.
     """
-    spark = requests.sparkSession
-    # the parser's own default refuses an object that repeats a key
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     body = F.regexp_extract("text", r"(?s)\{.*\}", 0)
     df = requests.withColumn("_v", F.try_parse_json(F.when(body != "", body)))
     raw = lambda k: F.try_variant_get("_v", f"$.{k}", "string")

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from orbitframe.operators import catalog, proximity, trajectory
+from orbitframe.functions import orbits
+from orbitframe.operators import catalog, proximity, trajectory, verify
 from orbitframe.plans.adapters import oracle, view
 from orbitframe.plans.compare import plain, r6
 from orbitframe.plans.orbit_queries import aligned_ctes, ric_ctes
@@ -31,11 +32,53 @@ def _edges(s, d):
     return view(s, d, "edges")
 
 
-def _lineage_pairs(s, d):
-    return _edges(s, d).select(F.col("actor"), F.col("target"))
+SUMMARY = f"""{EPISODES}, totals AS (SELECT actor, target, count(*) AS n_episodes,
+    sum(duration_days) AS total_close_days FROM episodes GROUP BY ALL),
+pairs AS (SELECT actor, target, count(*) AS n_samples, min(range_km) AS min_range_km,
+    min(t_utc) AS coverage_start, max(t_utc) AS coverage_end
+  FROM pair_samples GROUP BY ALL HAVING count(*) >= 20),
+summary AS (SELECT p.actor, p.target, min_range_km, coverage_start, coverage_end,
+    coalesce(n_episodes, 0) AS n_episodes, coalesce(total_close_days, 0) AS total_close_days,
+    CASE WHEN total_close_days >= 1 THEN 'likely' WHEN n_episodes > 0 THEN 'possible'
+      ELSE 'none' END AS label,
+    substr(a.intl_desig, 1, 8) = substr(b.intl_desig, 1, 8) AS same_launch_lineage
+  FROM pairs p LEFT JOIN totals USING (actor, target)
+  LEFT JOIN satcat a ON a.norad_id = p.actor LEFT JOIN satcat b ON b.norad_id = p.target)"""
+
+
+def _iso(column: str) -> str:
+    return f"strftime(epoch_ms({column}), '%Y-%m-%dT%H:%M:%SZ')"
+
+
+def _decimal(value: str, digits: int) -> str:
+    """Text with fixed decimals, ties rounded up from the shortest form of the number."""
+    return f"round(CAST(CAST({value} AS STRING) AS DECIMAL(30, 14)), {digits})::DECIMAL(20, {digits})"
 
 
 QUERIES = {
+    "format_range": Query(
+        lambda s, d: _samples(s, d).select("event_id", orbits.format_range(
+            F.when(F.col("event_id") % 50 > 0, F.col("range_km") / (1 + F.col("event_id") % 9 * 40))
+        ).alias("text")),
+        oracle(["pair_samples"], f"""
+            WITH r AS (SELECT event_id, CASE WHEN event_id % 50 > 0
+                THEN range_km / (1 + event_id % 9 * 40) END AS km FROM pair_samples)
+            SELECT event_id, CASE WHEN km < 1 THEN {_decimal('km * 1000', 0)} || ' m'
+              WHEN km IS NOT NULL THEN {_decimal('km', 1)} || ' km' ELSE 'n/a' END AS text FROM r""")),
+    "facts_from_proximity": Query(
+        lambda s, d: plain(verify.facts_from_proximity(proximity.rpo_summary(
+            _samples(s, d), view(s, d, "satcat"), tie=["event_id"], likely_days=1.0)).select(
+                "report_id", "key", "num_value", "str_value")),
+        oracle(["pair_samples", "satcat"], f"""WITH {SUMMARY}
+            SELECT CAST(actor AS STRING) AS report_id, f[1] AS key, f[2]::DOUBLE AS num_value,
+              f[3] AS str_value FROM (SELECT actor, unnest([
+                ('rpo_label', NULL, label), ('rpo_min_range', round_even(min_range_km, 3) + 0.0, NULL),
+                ('rpo_episodes', n_episodes, NULL),
+                ('rpo_total_close_days', round_even(total_close_days, 1) + 0.0, NULL),
+                ('rpo_coverage_start', NULL, {_iso('coverage_start')}),
+                ('rpo_coverage_end', NULL, {_iso('coverage_end')}),
+                ('rpo_same_launch', NULL, CASE WHEN same_launch_lineage THEN 'true' END)]) AS f
+              FROM summary) q WHERE f[2] IS NOT NULL OR f[3] IS NOT NULL""")),
     "aligned_pairs": Query(
         lambda s, d: plain(trajectory.pair_samples(trajectory.aligned_pairs(
             view(s, d, "neighbour_pairs"), view(s, d, "history"))), digits=3),
@@ -75,13 +118,12 @@ QUERIES = {
                 / 86400000e0, 6) + 0.0 AS days, {r6('range_km')} FROM pair_samples""")),
     "same_launch_lineage": Query(
         lambda s, d: plain(proximity.same_launch_lineage(
-            _lineage_pairs(s, d), view(s, d, "satcat")).groupBy("same_launch_lineage").agg(
-            F.count("*").alias("n_pairs"))),
+            _edges(s, d).select("actor", "target", "l_orderkey", "l_linenumber"), view(s, d, "satcat"))),
         oracle(["edges", "satcat"], """
-            SELECT CAST(substr(a.intl_desig, 1, 8) = substr(b.intl_desig, 1, 8) AS STRING)
-                AS same_launch_lineage, count(*) AS n_pairs
+            SELECT actor, target, l_orderkey, l_linenumber,
+              CAST(substr(a.intl_desig, 1, 8) = substr(b.intl_desig, 1, 8) AS STRING) AS same_launch_lineage
             FROM edges e LEFT JOIN satcat a ON a.norad_id = e.actor
-            LEFT JOIN satcat b ON b.norad_id = e.target GROUP BY 1""")),
+            LEFT JOIN satcat b ON b.norad_id = e.target""")),
     "known_targets": Query(
         lambda s, d: proximity.known_targets(
             _edges(s, d).select(

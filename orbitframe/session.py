@@ -9,6 +9,8 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a hot key of a join is split also where an aggregate by the same key follows
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # request filters: the last of repeated keys counts; the parser's default refuses such objects
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # session windows are merged inside each map task before the shuffle, so a
     # hot object ships sessions rather than rows
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",

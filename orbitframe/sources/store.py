@@ -98,11 +98,14 @@ def write_element_sets(df: DataFrame, path: str, mode: str = "append", buckets:
         "epoch_month", "norad_id", "epoch").write.mode(mode).partitionBy("epoch_month").parquet(path)
 
 
-def ingest_groups(spark: SparkSession, incoming: DataFrame, path: str) -> DataFrame:
+def ingest_groups(spark: SparkSession, incoming: DataFrame, path: str, snapshots: str | None = None,
+                  at=None) -> DataFrame:
     """Append new sets of landed groups to the table at ``path``.
 
     Returns per-group counts. The new rows are written once and the counts
-    come from two aggregates; nothing passes through the driver.
+    come from two aggregates; nothing passes through the driver. With ``snapshots`` the objects of
+    all groups together are recorded there as the snapshot of the instant ``at``; a repeated
+    ingestion at that instant replaces it, one without sets records nothing.
     """
     keys = [f.name for f in schemas.ELEMENT_SETS.fields]
     existing = stored_element_sets(spark, path, epoch_months(incoming))
@@ -111,9 +114,22 @@ def ingest_groups(spark: SparkSession, incoming: DataFrame, path: str) -> DataFr
     counts.count()
     write_element_sets(fresh.select(*keys), path)
     fresh.unpersist()
+    if snapshots is not None:
+        write_snapshot(incoming, snapshots, at)
     return counts
 
 
+def write_snapshot(ids: DataFrame, path: str, at) -> None:
+    """The distinct objects of ``ids`` as the snapshot of the instant ``at``, in its own partition."""
+    rows = ids.select("norad_id", F.lit(at).cast("timestamp").alias("snapshot_at")).distinct()
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "snapshot_at").parquet(path)
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.SNAPSHOTS).parquet(path)
+
+
 def save_cycle(tables: dict[str, DataFrame], root: str) -> None:
     """Persist a watch cycle in a folder of its own per table.
 

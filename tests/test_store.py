@@ -80,7 +80,7 @@ def test_satcat_csv(spark, tmp_path):
     assert rows[7]["period_min"] is None and str(rows[7]["decay_date"]) == "1961-01-01"
 
 
-def test_ingest_groups_is_idempotent(spark, tmp_path):
+def test_ingest_groups_is_idempotent(spark, tmp_path, day):
     inbox, table = tmp_path / "inbox", str(tmp_path / "table")
     write(inbox, "a.txt", *two_lines(1), *two_lines(2))
     write(inbox, "b.txt", *two_lines(2), *two_lines(3), *two_lines(3))
@@ -88,7 +88,13 @@ def test_ingest_groups_is_idempotent(spark, tmp_path):
     counts = {r["file"][-5:]: (r["fetched"], r["new"])
               for r in store.ingest_groups(spark, incoming, table).collect()}
     assert counts == {"a.txt": (2, 2), "b.txt": (3, 1)}
-    again = store.ingest_groups(spark, incoming, table).collect()
+    shots = str(tmp_path / "snapshots")
+    for _ in range(2):
+        again = store.ingest_groups(spark, incoming, table, shots, day(0)).collect()
+    store.ingest_groups(spark, incoming.where("norad_id < 3"), table, shots, day(1))
+    assert sorted((r["snapshot_at"], r["norad_id"]) for r in store.read_snapshots(spark, shots).collect()) == [
+        (day(0).replace(tzinfo=None), k) for k in (1, 2, 3)] + [
+            (day(1).replace(tzinfo=None), k) for k in (1, 2)]
     assert {(r["fetched"], r["new"]) for r in again} == {(2, 0), (3, 0)}
     saved = store.read_table(spark, table, schemas.ELEMENT_SETS)
     assert sorted(r["norad_id"] for r in saved.collect()) == [1, 2, 3]
