@@ -5,6 +5,9 @@ from pyspark.sql import DataFrame, functions as F
 from orbitframe import constants as K
 from orbitframe.operators.catalog import launch_prefix
 from orbitframe.operators.skew import robust_stats
+from orbitframe.sources.landing import landed
+
+_BODY = ["norad_id", "name", "intl_desig", "object_type", "inclination", "perigee_km", "apogee_km"]
 
 
 def debris_rows(satcat: DataFrame) -> DataFrame:
@@ -32,12 +35,14 @@ def launch_breakups(satcat: DataFrame, prefixes: DataFrame | None = None,
     """Launches whose debris looks like one event, one row per launch.
 
     The fragments themselves are rows of :func:`breakup_fragments`, not a list,
-    so a launch of any size stays spread out.
+    so a launch of any size stays spread out. With ``prefixes`` the catalogue rows of these launches
+    are landed, as every step reads them.
     """
     if prefixes is not None:
         wanted = prefixes.select("launch_prefix").distinct()
-        satcat = satcat.withColumn("launch_prefix", launch_prefix(F.col("intl_desig"))).join(
-            wanted, "launch_prefix", "left_semi").drop("launch_prefix")
+        satcat = landed(satcat.select(*_BODY).withColumn(
+            "launch_prefix", launch_prefix(F.col("intl_desig"))).join(
+                wanted, "launch_prefix", "left_semi").drop("launch_prefix"))
     debris = debris_rows(satcat)
     cloud = debris.groupBy("launch_prefix").agg(
         F.count("*").alias("n_fragments"), F.avg("inclination").alias("mean_inclination_deg"),

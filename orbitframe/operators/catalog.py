@@ -193,13 +193,16 @@ def snapshot_times(snapshots: DataFrame) -> DataFrame:
 
 
 def snapshot_delta(snapshots: DataFrame) -> DataFrame:
-    """Objects of the latest snapshot that the one before did not have."""
-    last = snapshots.agg(F.max("snapshot_at")).scalar()
-    previous = snapshots.where(F.col("snapshot_at") < last).agg(F.max("snapshot_at")).scalar()
-    current = snapshots.where(F.col("snapshot_at") == last).select("norad_id").distinct()
-    earlier = snapshots.where(F.col("snapshot_at") == previous).select("norad_id")
-    # with a single snapshot there is nothing to compare
-    return current.where(previous.isNotNull()).join(earlier, "norad_id", "left_anti")
+    """Objects of the latest snapshot that the one before did not have.
+
+    With a single snapshot there is nothing to compare.
+    """
+    latest = snapshots.select("snapshot_at").distinct().agg(F.slice(F.sort_array(
+        F.collect_list("snapshot_at"), asc=False), 1, 2).alias("_t")).where(F.size("_t") == 2)
+    two = latest.select(F.posexplode("_t").alias("_nth", "snapshot_at"))
+    seen = snapshots.join(F.broadcast(two), "snapshot_at").groupBy("norad_id").agg(
+        F.max("_nth").alias("_oldest"))
+    return seen.where("_oldest = 0").select("norad_id")
 
 
 def union_ids(*tables: DataFrame) -> DataFrame:

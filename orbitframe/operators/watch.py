@@ -6,6 +6,7 @@ from orbitframe import constants as K
 from orbitframe.functions.orbits import days_between, first_match, format_range
 from orbitframe.operators.breakup import breakups_from_delta
 from orbitframe.operators.catalog import snapshot_delta, urgency_rank
+from orbitframe.sources.landing import landed
 
 STATE = ["threat_score", "threat_band", "last_maneuver_epoch", "n_maneuvers", "rpo_label",
          "rpo_min_range_km", "decay_reentry", "disposal_status"]
@@ -85,8 +86,11 @@ def diff_states(previous: DataFrame, current: DataFrame, as_of: Column) -> DataF
 
 
 def population_findings(snapshots: DataFrame, satcat: DataFrame, **skew) -> DataFrame:
-    """New debris clouds since the previous snapshot, as priority findings."""
-    clouds = breakups_from_delta(snapshot_delta(snapshots), satcat, **skew)
+    """New debris clouds since the previous snapshot, as priority findings.
+
+    The new objects are landed: several steps read them.
+    """
+    clouds = breakups_from_delta(landed(snapshot_delta(snapshots)), satcat, **skew)
     return clouds.select(
         F.col("parent_norad_id").alias("norad_id"), F.lit(0).alias("seq"),
         F.lit("fragmentation").alias("kind"), F.lit("priority").alias("significance"),
@@ -109,14 +113,14 @@ def merge_states(previous: DataFrame, current: DataFrame) -> DataFrame:
 def watch_cycle(previous: DataFrame, current: DataFrame, watch_list: DataFrame,
                 snapshots: DataFrame, satcat: DataFrame, cycle_id: int, run_at,
                 refreshed: bool = False) -> dict[str, DataFrame]:
-    """One cycle: the tables to persist, as lazy DataFrames.
+    """One cycle: the tables to persist. The findings are landed, the others are lazy.
 
     ``states`` holds the latest state of every object ever watched (see :func:`orbitframe.sources.store.save_cycle`).
     """
     as_of = F.lit(run_at).cast("timestamp")
     watched = current.join(watch_list.select("norad_id"), "norad_id", "left_semi")
-    findings = diff_states(previous, watched, as_of).unionByName(
-        population_findings(snapshots, satcat)).withColumn("cycle_id", F.lit(cycle_id).cast("long"))
+    findings = landed(diff_states(previous, watched, as_of).unionByName(
+        population_findings(snapshots, satcat)).withColumn("cycle_id", F.lit(cycle_id).cast("long")))
     cycle = findings.agg(F.count("*").alias("n_findings")).select(
         F.lit(cycle_id).cast("long").alias("cycle_id"), as_of.alias("run_at"),
         F.lit(refreshed).alias("refreshed"), "n_findings")

@@ -189,3 +189,24 @@ def test_outlier_ranks_first_for_any_partitioning(spark):
 def test_small_population_is_refused(spark):
     with pytest.raises(ValueError):
         anomaly.fit_anomaly_model(population(spark, 10))
+
+
+def test_a_watch_cycle_reads_each_table_twice_at_most(spark, tmp_path):
+    """What several steps read is landed, so the plans stay small."""
+    from orbitframe import schemas
+    from orbitframe.operators import watch
+
+    tables = {"before": schemas.OBJECT_STATE, "now": schemas.OBJECT_STATE, "list": schemas.WATCH_LIST,
+              "snapshots": schemas.SNAPSHOTS, "satcat": schemas.SATCAT}
+    read = {}
+    for name, schema in tables.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / name))
+        read[name] = spark.read.parquet(str(tmp_path / name))
+    cycle = watch.watch_cycle(read["before"], read["now"], read["list"], read["snapshots"],
+                              read["satcat"], 1, "2024-01-01")
+    for part in ("findings", "cycle", "states"):
+        plan = cycle[part]._jdf.queryExecution().executedPlan().toString()
+        assert all(plan.count(f"{tmp_path}/{name}]") <= 2 for name in tables)
+        assert plan.count("FileScan") <= (5 if part == "states" else 1)
+    delta = catalog.snapshot_delta(read["snapshots"])._jdf.queryExecution().executedPlan().toString()
+    assert delta.count("FileScan") == 2
