@@ -43,6 +43,20 @@ def test_dense_shell_with_small_tasks(spark):
     assert (summary["n_objects"], summary["n_candidates"]) == (600, 600 * 599 // 2)
 
 
+@pytest.mark.parametrize("angle", [0.25, 2.0, 5.0])
+def test_the_grid_of_normals_loses_no_pair(spark, angle):
+    rng = random.Random(int(angle * 4))
+    rows = [(k, 500 + rng.random() * 40, 560, rng.choice([0, 1, 53, 90, 179, rng.uniform(0, 180)]) + rng.random(),
+             rng.choice([0, 10, rng.uniform(0, 360)]) + rng.random() * 4) for k in range(500)]
+    near = sorted((r["norad_a"], r["norad_b"]) for r in cj.screened_pairs(
+        bands(spark, rows), max_angle_deg=angle, pairs_per_task=5_000).collect())
+    wide = cj.screened_pairs(bands(spark, rows), max_angle_deg=30).where(F.col("plane_angle_deg") <= angle)
+    assert near == sorted((r["norad_a"], r["norad_b"]) for r in wide.collect()) and len(near) > 20
+    best = [tuple(r) for r in cj.screen_conjunctions(bands(spark, rows), 300).collect()]
+    assert best == [tuple(r) for r in cj.screened_pairs(bands(spark, rows)).orderBy(
+        "plane_angle_deg", "norad_a", "norad_b").limit(300).collect()]
+
+
 def encounter(spark, day):
     """Two circular orbits of one radius that meet at the node half a day in;
     each has a set half a day before and half a day after."""
