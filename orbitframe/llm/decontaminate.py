@@ -1,10 +1,17 @@
 """Benchmark items inside training documents: rare n-gram seeds, then local alignment.
 
-The words of the items are counted over the whole corpus. From each word of an item on, the
-shortest n-gram that chance alone would seldom form (by the frequencies of its words, so copies of
-the item do not count against it) is a seed. Documents that hold a seed meet the item; a
-Smith-Waterman alignment of the item with the words around the seeds gives the score, 1 for an
-exact copy. Items come in blocks of bounded size, which are all that is broadcast.
+The words of the items are counted over the whole corpus. Seeds are n-grams that chance alone would
+seldom form (by the frequencies of their words, so copies of the item do not count against it). At
+each place these are the three words' sequences in four words that keep the first, whether or not
+one between is skipped, on the item's side or the document's: a copy that scores half has two of
+three words left, so some four in a row hold three of them, whatever was replaced, put in or left
+out. Where the three next words are too common, the shortest longer n-gram that is not takes their
+place. Documents that hold a seed meet the item; a Smith-Waterman alignment of the item with the
+words around the seeds gives the score, 1 for an exact copy. Items come in blocks of bounded size,
+which are all that is broadcast, as sorted arrays.
+
+Null and empty texts and empty tables hold nothing; very long texts are searched whole, in
+overlapping parts; extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,6 +30,8 @@ MIN_SCORE = 0.5
 MIN_WORDS = 5
 CHANCE = 20.0
 GRAMS = range(3, 9)
+#: places of the three words of a seed in a window of four
+SKIPS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _PART = 1 << 18
@@ -60,12 +69,16 @@ class _Items:
         return np.array([get(w, 0) for w in words_of(text)], np.int64)
 
 
-def _keys(numbers: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each n-gram."""
-    out = np.zeros(max(len(numbers) - n + 1, 0), np.uint64)
+def _shapes(n: int) -> tuple[tuple[int, ...], ...]:
+    return SKIPS if n == GRAMS[0] else (tuple(range(n)),)
+
+
+def _keys(numbers: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """A hash of the words at the places ``shape`` from each place on."""
+    out = np.zeros(max(len(numbers) - shape[-1], 0), np.uint64)
     values = numbers.astype(np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(n):
+        for i in shape:
             out = (out + values[i:i + len(out)] + np.uint64(1)) * _FACTOR
             out ^= out >> np.uint64(29)
     return out
@@ -78,35 +91,48 @@ class Seeds:
         share = np.zeros(len(items.numbers) + 1)
         for word, n in counts.items():
             share[word] = n / max(total, 1)
-        self.places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+
+        def put(n, item, keys, starts):
+            found[n].append((keys, np.full(len(keys), item), starts))
+
         for item, numbers in enumerate(items.words):
-            chosen = []
-            for start in range(len(numbers)):
-                for n in GRAMS:
-                    if start + n <= len(numbers) and total * share[numbers[start:start + n]].prod() <= CHANCE:
-                        chosen.append((start, n))
-                        break
-            if not chosen:  # nothing rare in it: its longest n-grams
+            rare_somewhere = False
+            settled = np.zeros(len(numbers), bool)
+            for n in GRAMS:
+                for shape in _shapes(n):
+                    size = max(len(numbers) - shape[-1], 0)
+                    chance = total * np.prod([share[numbers[i:i + size]] for i in shape], axis=0)
+                    plain = shape[-1] == n - 1
+                    rare = (chance <= CHANCE) & ~(settled[:size] & plain)
+                    starts = np.flatnonzero(rare)
+                    put(n, item, _keys(numbers, shape)[starts], starts)
+                    rare_somewhere |= len(starts) > 0
+                    if plain:
+                        settled[starts] = True
+            if not rare_somewhere:  # nothing rare in it: its longest n-grams
                 n = min(len(numbers), GRAMS[-1])
-                chosen = [(start, n) for start in range(len(numbers) - n + 1)]
-            for start, n in chosen:
-                key = int(_keys(numbers[start:start + n], n)[0])
-                self.places[n][key].append((item, start))
-        self.places = {n: dict(found) for n, found in self.places.items()}
-        self.marks = {}
-        for n, found in self.places.items():
-            marked = np.zeros(1 << 20, bool)
-            marked[np.array(list(found), np.uint64) >> np.uint64(44)] = True
-            self.marks[n] = marked
+                keys = _keys(numbers, tuple(range(n)))
+                put(n, item, keys, np.arange(len(keys)))
+        self.places, self.marks = {}, {}
+        for n, parts in found.items():
+            keys, item, start = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(keys, kind="stable")
+            if len(order):
+                self.places[n] = keys[order], item[order], start[order]
+                self.marks[n] = np.zeros(1 << 20, bool)
+                self.marks[n][keys >> np.uint64(44)] = True
 
     def find(self, numbers: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, place in the item, place in ``numbers``) of all seeds."""
         out = []
-        for n, found in self.places.items():
-            keys = _keys(numbers, n)
-            for at in np.flatnonzero(self.marks[n][keys >> np.uint64(44)]):
-                for item, start in found.get(int(keys[at]), ()):
-                    out.append((item, start, int(at)))
+        for n, (known, item, start) in self.places.items():
+            for shape in _shapes(n):
+                keys = _keys(numbers, shape)
+                at = np.flatnonzero(self.marks[n][keys >> np.uint64(44)])
+                low, high = (np.searchsorted(known, keys[at], side) for side in ("left", "right"))
+                for a, b, place in zip(low.tolist(), high.tolist(), at.tolist()):
+                    out += [(int(item[i]), int(start[i]), place) for i in range(a, b)]
         return out
 
 
