@@ -1,6 +1,9 @@
-"""Licence scan: lines and whole texts against licence templates by Dice over word bigrams.
+"""Licence scan: whole texts, lines and passages against templates by Dice over word bigrams.
 
-Most units are left out by a few words of which every match must hold one. Two texts with a and b different bigrams can reach a coefficient t only if
+Passages are runs of as many words as a template has, a quarter of that apart, wherever one holds a
+word of which every match must hold one: so a licence that is wrapped over lines, precedes code or
+stands inside a longer line is met by a passage that differs from it by an eighth at most. Most units
+are left out by the same words. Two texts with a and b different bigrams can reach a coefficient t only if
 2 * min(a, b) >= t * (a + b); units of a size that no template allows are left out before their
 bigrams are spread, and single templates by their own bounds in the join. Templates are a fixed
 list, so the table of their bigrams is bounded and broadcast. DataFrame functions only.
@@ -8,6 +11,8 @@ list, so the table of their bigrams is bounded and broadcast. DataFrame function
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 MIN_DICE = 0.8
@@ -112,14 +117,39 @@ def _possible(a: Column, b: Column, min_dice: float) -> Column:
     return 2 * F.least(a, b) >= min_dice * (a + b)
 
 
+def _passages(words: Column, keywords: list[str], sizes: list[int]) -> Column:
+    """(first word, number of words) of the passages of ``sizes`` words that hold a keyword.
+
+    Passages begin at multiples of a quarter of their size. What reaches past the end of the text is
+    the end of the text.
+    """
+    n = F.size(words)
+    hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(keywords), i)), lambda i: i.isNotNull())
+
+    def of(size: int) -> Column:
+        step = _step(size)
+        first = lambda p: F.greatest(F.ceil((p - size + 1) / step), F.lit(0)).cast("int")
+        starts = F.array_distinct(F.flatten(F.transform(hits, lambda p: F.sequence(
+            first(p), F.greatest(F.floor(p / step).cast("int"), first(p))))))
+        return F.transform(F.filter(starts, lambda s: (s * step < n) & (n > size)), lambda s: F.struct(
+            (s * step).alias("first"), F.lit(size).alias("size")))
+
+    return F.concat(*map(of, sizes))
+
+
+def _step(size: int) -> int:
+    return max(1, size // 4)
+
+
 def license_scan(docs: DataFrame, min_dice: float = MIN_DICE,
                  found: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, license_id, dice, n_units): licences of a document and the best coefficient.
 
-    Units are the whole text and, if it has several, each line; ``n_units`` counts those that
-    reach ``min_dice`` for some template of the licence. Ties between templates do not matter. Rows
-    with the same id and text are one document. Units with fewer than two words, null and empty
-    texts have no licence. Other columns are ignored.
+    Units are the whole text, each line if it has several, and passages of as many words as some
+    template has; ``n_units`` counts the whole text and the lines that reach ``min_dice`` for some
+    template of the licence, so it is 0 where only a passage does. Ties between templates do not
+    matter. Rows with the same id and text are one document. Units with fewer than two words, null
+    and empty texts have no licence. Other columns are ignored.
     """
     spark = docs.sparkSession
     known = spark.createDataFrame(
@@ -131,18 +161,27 @@ def license_scan(docs: DataFrame, min_dice: float = MIN_DICE,
                          F.explode("bigrams").alias("bigram"))
     words = [r[0].split(" ") for r in spark.createDataFrame(
         [(t,) for _, t in found or templates()], "text string").select(normalised(F.col("text"))).collect()]
+    words = [w for w in words if len(w) > 1]
+    keywords = _keywords(words, min_dice)
+    possible = lambda line: F.lower(line).rlike("(?<![a-z0-9])(?:" + "|".join(keywords) + ")(?![a-z0-9])")
     text = F.col("text").cast("string")
-    lines = F.split(text, "\n")
-    units = docs.select(
-        F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.when(
-            F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.array(text))).alias("unit", "line"))
-    possible = F.lower("line").rlike("(?<![a-z0-9])(?:" + "|".join(
-        _keywords([w for w in words if len(w) > 1], min_dice)) + ")(?![a-z0-9])")
+    held = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"),
+                       text.alias("text")).where(possible("text"))
+    lines = F.split("text", "\n")
+    whole = held.select("doc_id", "text_hash", F.posexplode(F.when(
+        F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(F.array("text"))).alias("unit", "line"))
     # explode() keeps what it makes: a filter on it does not compute it again
-    spread = units.where(possible).select(
-        "doc_id", "text_hash", "unit", F.explode(F.array(normalised(F.col("line")))).alias("line")).where(
-            F.contains("line", F.lit(" "))).select(
-                "doc_id", "text_hash", "unit", F.explode(F.array(_bigrams(F.col("line")))).alias("bigrams"))
+    whole = whole.where(possible("line")).select(
+        "doc_id", "text_hash", "unit", F.explode(F.array(normalised(F.col("line")))).alias("line"))
+    spoken = held.select("doc_id", "text_hash", F.explode(F.array(F.split(
+        normalised(F.col("text")), " "))).alias("words"))
+    parts = spoken.select("doc_id", "text_hash", "words", F.explode(_passages(
+        F.col("words"), keywords, sorted({len(w) for w in words}))).alias("at")).select(
+            "doc_id", "text_hash", (-1 - F.col("at.first").cast("long") * 100_000 - F.col("at.size")).alias("unit"),
+            F.array_join(F.slice("words", F.col("at.first") + 1, F.col("at.size")), " ").alias("line"))
+    spread = whole.withColumn("unit", F.col("unit").cast("long")).unionByName(parts).where(
+        F.contains("line", F.lit(" "))).select(
+            "doc_id", "text_hash", "unit", F.explode(F.array(_bigrams(F.col("line")))).alias("bigrams"))
     a = F.size("bigrams")
     allowed = F.lit(False)
     for low, high in _ranges(sizes, min_dice):
@@ -155,7 +194,7 @@ def license_scan(docs: DataFrame, min_dice: float = MIN_DICE,
             "dice", 2 * F.col("common") / (F.col("a") + F.col("b"))).where(F.col("dice") >= min_dice)
     by_unit = scored.groupBy("doc_id", "text_hash", "unit", "license_id").agg(F.max("dice").alias("dice"))
     return by_unit.groupBy("doc_id", "text_hash", "license_id").agg(
-        F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_units")).drop("text_hash")
+        F.max("dice").alias("dice"), F.count_if(F.col("unit") >= 0).alias("n_units")).drop("text_hash")
 
 
 def _ranges(sizes: list[int], min_dice: float) -> list[tuple[int, int]]:
@@ -177,6 +216,10 @@ def scan_sql(min_dice: float = MIN_DICE) -> str:
     rows = ", ".join(f"({k}, {quote(i)}, {quote(t)})" for k, (i, t) in enumerate(templates()))
     normal = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
     pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    words = [re.sub("[^a-z0-9]+", " ", t.lower()).strip().split(" ") for _, t in templates()]
+    words = [w for w in words if len(w) > 1]
+    keys = ", ".join(map(quote, _keywords(words, min_dice)))
+    sizes = ", ".join(f"({n}, {_step(n)})" for n in sorted({len(w) for w in words}))
     return f"""
         WITH tw AS (SELECT k, license_id, string_split({normal("text")}, ' ') AS w
                     FROM (VALUES {rows}) v(k, license_id, text)),
@@ -187,7 +230,17 @@ def scan_sql(min_dice: float = MIN_DICE) -> str:
               UNION ALL SELECT doc_id, text, unnest(range(1, len(lines) + 1)) AS unit,
                                unnest(lines) AS line FROM l WHERE len(lines) > 1),
         n AS (SELECT doc_id, text, unit, string_split({normal("line")}, ' ') AS w FROM u),
-        b AS (SELECT doc_id, text, unit, {pairs} AS g FROM n WHERE len(w) > 1),
+        spoken AS (SELECT doc_id, text, string_split({normal("text")}, ' ') AS ws FROM d),
+        keyed AS (SELECT *, list_filter(range(0, len(ws)), lambda i: list_contains([{keys}], ws[i + 1])) AS hits
+                  FROM spoken),
+        starts AS (SELECT DISTINCT doc_id, text, ws, size, step, unnest(range(
+                       CAST(greatest(ceil((p - size + 1) / step::DOUBLE), 0) AS BIGINT), p // step + 1)) AS s
+                   FROM (SELECT doc_id, text, ws, unnest(hits) AS p FROM keyed) q,
+                        (VALUES {sizes}) v(size, step) WHERE len(ws) > size),
+        passages AS (SELECT doc_id, text, -1 - s * step * 100000 - size AS unit,
+                            ws[s * step + 1:s * step + size] AS w FROM starts WHERE s * step < len(ws)),
+        b AS (SELECT doc_id, text, unit, {pairs} AS g
+              FROM (SELECT * FROM n UNION ALL SELECT * FROM passages) q WHERE len(w) > 1),
         c AS (SELECT doc_id, text, unit, len(g) AS a, unnest(g) AS w FROM b),
         tb AS (SELECT k, license_id, len(g) AS b, unnest(g) AS w FROM t),
         s AS (SELECT doc_id, text, unit, k, license_id,
@@ -195,5 +248,5 @@ def scan_sql(min_dice: float = MIN_DICE) -> str:
               FROM c JOIN tb USING (w) GROUP BY doc_id, text, unit, k, license_id),
         best AS (SELECT doc_id, text, unit, license_id, max(dice) AS dice FROM s
                  WHERE dice >= {min_dice} GROUP BY doc_id, text, unit, license_id)
-        SELECT doc_id, license_id, max(dice) AS dice, count(*) AS n_units
+        SELECT doc_id, license_id, max(dice) AS dice, count(*) FILTER (unit >= 0) AS n_units
         FROM best GROUP BY doc_id, text, license_id"""
