@@ -27,7 +27,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return toxicity.toxicity_scores(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score",
         (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))

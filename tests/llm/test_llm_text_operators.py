@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -226,9 +227,12 @@ def test_smith_waterman_equals_the_plain_recurrence():
 
 # -- licences -----------------------------------------------------------------------------------
 
+def plain(text):
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+
+
 def dice(a, b):
-    import re
-    grams = lambda t: {p for w in [re.sub("[^a-z0-9]+", " ", t.lower()).split()] for p in zip(w, w[1:])}
+    grams = lambda t: {p for w in [plain(t).split()] for p in zip(w, w[1:])}
     a, b = grams(a), grams(b)
     return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0
 
@@ -247,14 +251,19 @@ def test_license_scan_equals_brute_force(spark):
     want = {}
     for doc_id, text in set(rows):
         lines = (text or "").split("\n")
-        for unit in ([text or ""] + lines if len(lines) > 1 else [text or ""]):
+        units = [(u, 1) for u in ([text or ""] + lines if len(lines) > 1 else [text or ""])]
+        words = plain(text or "").split()
+        for m in {len(plain(t).split()) for _, t in license_scan.templates()} if len(set(words)) > 1 else ():
+            units += [(" ".join(words[i:i + m]), 0) for i in range(0, len(words), max(1, m // 4))
+                      if len(words) > m]
+        for unit, counts in units:
             best = {}
             for name, template in license_scan.templates():
                 best[name] = max(best.get(name, 0), dice(unit, template))
             for name, value in best.items():
                 if value >= 0.8:
                     high, n = want.get((doc_id, name), (0, 0))
-                    want[doc_id, name] = max(high, value), n + 1
+                    want[doc_id, name] = max(high, value), n + counts
     got = license_scan.license_scan(docs_of(spark, rows)).collect()
     assert {(r["doc_id"], r["license_id"]): (r["dice"], r["n_units"]) for r in got} == want
     assert license_scan.license_scan(spark.createDataFrame([], DOCS)).count() == 0
@@ -387,3 +396,55 @@ def test_two_for_one_fills_a_gap():
     counts[[60, 30, 25, 14]] = 1  # greedy takes 60 and 30; 25 and 14 fill the gap of 30's place better
     plan = packing.best_two_fit(counts)
     assert plan[0] == ({60: 1, 25: 1, 14: 1}, 1)
+
+
+def edited(words, rng, word, every=None, kind="replace"):
+    out = []
+    for i, w in enumerate(words, 1):
+        if every and i % every == 0:
+            out += {"replace": [word()], "insert": [w, word()], "drop": []}[kind]
+        else:
+            out.append(w)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["replace", "insert", "drop"])
+def test_contaminated_pairs_equal_brute_force(spark, kind):
+    """Every second to sixth word edited: all pairs that an alignment of all with all finds."""
+    rng = random.Random(len(kind))
+    pool = [f"w{i}" for i in range(900)]
+    word = lambda: rng.choice(pool)
+    items = [(i, " ".join(word() for _ in range(rng.randrange(8, 40)))) for i in range(30)]
+    docs = []
+    for i, (_, text) in enumerate(items):
+        for every in (None, 2, 3, 4, 5, 6):
+            filler = [[word() for _ in range(rng.randrange(0, 50))] for _ in range(2)]
+            docs.append((len(docs), " ".join([*filler[0], *edited(text.split(), rng, word, every, kind),
+                                              *filler[1]])))
+    wanted = set()
+    numbers = {w: i + 1 for i, w in enumerate(pool)}
+    coded = lambda t: np.array([numbers[w] for w in t.split()], np.int64)
+    for doc, text in docs:
+        for item, other in items:
+            score = decontaminate.smith_waterman(coded(other), coded(text))[0] / (2 * len(other.split()))
+            if score >= 0.5:
+                wanted.add((doc, item))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(
+        docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= wanted and len(wanted) > 100
+    assert len(wanted - got) <= 0.02 * len(wanted), sorted(wanted - got)[:5]
+
+
+def test_wrapped_and_embedded_licences_are_found(spark):
+    """A wrapped header before code, a notice inside a longer line, and a text that has neither."""
+    import textwrap
+
+    header = "\n".join("# " + line for line in textwrap.wrap(" ".join(license_scan.TEXTS["MIT"].split()), 78))
+    rng = random.Random(8)
+    code = "\n".join(f"v{rng.randrange(10 ** 6)} = f{rng.randrange(10 ** 6)}(x{i})" for i in range(400))
+    rows = [(1, header + "\n" + code), (2, "all of it came before. Released under the ISC License and more "
+             "words follow on the same line, as they do in prose"), (3, code), (4, None), (5, "")]
+    got = {(r["doc_id"], r["license_id"]): (r["dice"], r["n_units"]) for r in license_scan.license_scan(
+        docs_of(spark, rows)).collect()}
+    assert {k[0] for k in got} == {1, 2}
+    assert got[1, "MIT"][0] > 0.87 and got[1, "MIT"][1] == 0 and got[2, "ISC"] == (1.0, 0)
