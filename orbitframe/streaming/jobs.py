@@ -153,43 +153,54 @@ def settled(current: DataFrame, changes: DataFrame, events: DataFrame,
 _FLAT = ["norad_id", "name", *STATE]
 
 
-def with_previous_state(states: DataFrame) -> DataFrame:
+def with_previous_state(states: DataFrame, keep_days: float | None = None) -> DataFrame:
     """Pair each arriving object state with the one kept for that object.
 
-    ``states`` needs ``cycle_at``. The last state per object lives in the
-    state store; the first sight of an object sets the baseline and emits
-    nothing, a cycle not newer than the kept one is ignored, so a replay does
-    not alert again. Differences themselves are column expressions.
+    ``states`` needs ``cycle_at``. The last state per object lives in the state store, for
+    ``keep_days`` without a new one if that is given; the first sight of an object sets the baseline
+    and emits nothing, a cycle not newer than the kept one is ignored, so a replay does not alert
+    again. Of a micro-batch one state for each new cycle of an object is held at a time, whatever
+    repeats. Differences themselves are column expressions.
     """
     struct = F.struct(*_FLAT)
     packed = states.select("norad_id", "cycle_at", F.to_json(struct).alias("payload"))
+    columns = ["norad_id", "cycle_at", "before", "now"]
 
     def remember(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
         kept = state.getOption
         at, payload = kept if kept is not None else (None, None)
-        rows = pd.concat(list(batches)).sort_values("cycle_at")
+        queued: dict[int, str] = {}
+        for rows in batches:
+            stamps = rows["cycle_at"].to_numpy("datetime64[us]").astype(np.int64).tolist()
+            for stamp, text in zip(stamps, rows["payload"]):
+                if at is None or stamp > at:
+                    queued.setdefault(stamp, text)
         out = []
-        for row in rows.itertuples():
-            stamp = row.cycle_at.value // 1000
-            if at is not None and stamp <= at:
-                continue
+        for at in sorted(queued):
             if payload is not None:
-                out.append((key[0], row.cycle_at, payload, row.payload))
-            at, payload = stamp, row.payload
+                out.append((key[0], pd.Timestamp(at, unit="us"), payload, queued[at]))
+            payload = queued[at]
         if at is not None:
             state.update((at, payload))
-        yield pd.DataFrame(out, columns=["norad_id", "cycle_at", "before", "now"])
+            if keep_days is not None:
+                state.setTimeoutDuration(int(keep_days * 86_400_000))
+        yield pd.DataFrame(out, columns=columns)
 
+    timeout = GroupStateTimeout.NoTimeout if keep_days is None else GroupStateTimeout.ProcessingTimeTimeout
     paired = packed.groupBy("norad_id").applyInPandasWithState(
         remember, "norad_id long, cycle_at timestamp, before string, now string",
-        "at long, payload string", "append", GroupStateTimeout.NoTimeout)
+        "at long, payload string", "append", timeout)
     schema = schemas.OBJECT_STATE
     return paired.select("norad_id", "cycle_at", F.from_json("before", schema).alias("prev"),
                          F.from_json("now", schema).alias("cur"))
 
 
-def stream_findings(states: DataFrame) -> DataFrame:
+def stream_findings(states: DataFrame, keep_days: float | None = None) -> DataFrame:
     """Findings of a stream of object states."""
-    pairs = with_previous_state(states)
+    pairs = with_previous_state(states, keep_days)
     return pairs.select("norad_id", "cycle_at", F.explode(
         finding_list(F.col("cycle_at"))).alias("f")).select("norad_id", "cycle_at", "f.*")

@@ -151,13 +151,36 @@ def test_dossier_documents(spark, tmp_path):
     assert {d["norad_id"] for d in docs} == set(rows)
     for doc in docs:
         row = rows[doc["norad_id"]]
+        assert doc["has_tle"] == row["has_sets"]
+        if not doc["has_tle"]:
+            sections = ("regime", "elements", "threat", "rpo", "decay", "disposal", "changepoint")
+            assert all(doc[part] is None for part in sections)
+            assert doc["mitigations"] == [] and doc["n_maneuvers"] == 0
+            continue
         assert doc["threat"]["score"] == pytest.approx(row["threat_score"])
         assert (doc["disposal"] is not None) == (row["disposal_status"] is not None)
         assert (doc["rpo"] is not None) == (row["rpo_label"] is not None)
         assert doc["mitigations"][0]["urgency"] == row["top_urgency"]
-    assert any(d["rpo"] for d in docs)
-    shift = next(d["changepoint"] for d in docs if d["changepoint"])
-    assert set(shift) == {"metric", "direction", "before", "after", "unit", "epoch", "t_stat"}
+    assert any(d["rpo"] for d in docs) and not all(d["has_tle"] for d in docs)
+    shift = F.struct(F.lit("tempo").alias("metric"), F.lit("increased").alias("direction"),
+                     F.lit(1.0).alias("before"), F.lit(2.0).alias("after"), F.lit("days").alias("unit"),
+                     F.lit("2024-01-01").cast("timestamp").alias("epoch"), F.lit(3.0).alias("t_stat"))
+    told = json.loads(sinks.dossier_json(sheet.withColumn("changepoint", shift)).first()["document"])
+    assert set(told["changepoint"]) == {"metric", "direction", "before", "after", "unit", "epoch", "t_stat"}
+
+
+def test_the_object_table_is_kept_by_touched_objects(spark):
+    """New sets of some objects: refreshing their rows equals a new table."""
+    from orbitframe.operators import dossier
+    from orbitframe.plans.adapters import view
+
+    sets = landed(view(spark, "/root/testdata/sf0.001", "history").where("norad_id <= 60"))
+    late = (F.col("norad_id") % 5 == 0) & (F.col("epoch") > "2024-01-12")
+    before = dossier.object_table(sets.where(~late & (F.col("norad_id") != 7)))
+    touched = sets.where(late | (F.col("norad_id") == 7)).select("norad_id")
+    kept, anew = dossier.refreshed(before, sets, touched), dossier.object_table(sets)
+    rows = lambda df: sorted(str(r) for r in df.select(*sorted(df.columns)).collect())
+    assert rows(kept) == rows(anew) and before.count() == anew.count() - 1
 
 
 def state_rows(spark, rows):
@@ -303,3 +326,15 @@ def test_stream_findings_and_replay(spark, tmp_path, day):
     assert run() == [(1, "threat_up")]
     land([(1, "high"), (2, "low")], 2)
     assert run() == [(1, "threat_up"), (2, "threat_down")]
+
+
+def test_stream_findings_of_unordered_cycles(spark, tmp_path, day):
+    """Several cycles of an object in one micro-batch, out of order and repeated; with a time to live."""
+    folder, out, mark = str(tmp_path / "s"), str(tmp_path / "o"), str(tmp_path / "c")
+    for at, band in ((2, "moderate"), (0, "low"), (1, "high"), (1, "high"), (2, "moderate")):
+        state_rows(spark, [(1, band)]).withColumn("cycle_at", F.lit(day(at))).write.mode("append").parquet(folder)
+    states = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    jobs.stream_findings(states, keep_days=30).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    got = [(r["cycle_at"].day, r["kind"]) for r in spark.read.parquet(out).orderBy("cycle_at").collect()]
+    assert got == [(2, "threat_up"), (3, "threat_down")]
