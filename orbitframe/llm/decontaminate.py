@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -104,7 +105,7 @@ class Seeds:
                     size = max(len(numbers) - shape[-1], 0)
                     chance = total * np.prod([share[numbers[i:i + size]] for i in shape], axis=0)
                     plain = shape[-1] == n - 1
-                    rare = (chance <= CHANCE) & ~(settled[:size] & plain)
+                    rare = (chance * len(_shapes(n)) <= CHANCE) & ~(settled[:size] & plain)
                     starts = np.flatnonzero(rare)
                     put(n, item, _keys(numbers, shape)[starts], starts)
                     rare_somewhere |= len(starts) > 0
@@ -130,7 +131,10 @@ class Seeds:
             for shape in _shapes(n):
                 keys = _keys(numbers, shape)
                 at = np.flatnonzero(self.marks[n][keys >> np.uint64(44)])
-                low, high = (np.searchsorted(known, keys[at], side) for side in ("left", "right"))
+                low = np.searchsorted(known, keys[at])
+                real = known[np.minimum(low, len(known) - 1)] == keys[at]
+                at, low = at[real], low[real]
+                high = np.searchsorted(known, keys[at], "right")
                 for a, b, place in zip(low.tolist(), high.tolist(), at.tolist()):
                     out += [(int(item[i]), int(start[i]), place) for i in range(a, b)]
         return out
@@ -176,21 +180,56 @@ def _regions(hits: list[tuple[int, int]], length: int, size: int):
     yield max(0, first), min(size, last)
 
 
-def align(items: _Items, seeds: Seeds, numbers: np.ndarray, min_score: float):
-    """(item, score, equal words, first word, last word) of items in one document."""
-    hits = defaultdict(list)
-    for begin in range(0, max(len(numbers), 1), _PART):
-        for item, start, at in seeds.find(numbers[begin:begin + _PART + GRAMS[-1] - 1]):
-            hits[item].append((start, begin + at))
+def _joined(items: _Items, texts: list) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Numbered texts in groups of about ``_PART`` words, with the place of each group's first."""
+    first, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        held.append(items.numbered(text))
+        size += len(held[-1])
+        if size >= _PART:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held
+
+
+def found_in(items: _Items, seeds: Seeds, texts: list, min_score: float):
+    """(place of the text, item, score, equal words, first word, last word) of items in texts.
+
+    Seeds are searched in many texts at once. Between two of them stand words of no item, so no seed
+    reaches from one into the other.
+    """
+    gap = np.zeros(GRAMS[-1], np.int64)
+    for first, held in _joined(items, texts):
+        line = np.concatenate([x for numbers in held for x in (numbers, gap)])
+        starts = np.cumsum([0] + [len(numbers) + len(gap) for numbers in held])
+        hits = defaultdict(lambda: defaultdict(list))
+        for begin in range(0, len(line), _PART):
+            for item, start, at in seeds.find(line[begin:begin + _PART + GRAMS[-1] - 1]):
+                doc = int(np.searchsorted(starts, begin + at, "right")) - 1
+                hits[doc][item].append((start, begin + at - int(starts[doc])))
+        for doc, of_doc in sorted(hits.items()):
+            for row in align(items, of_doc, held[doc], min_score):
+                yield first + doc, *row
+
+
+def align(items: _Items, hits: dict[int, list[tuple[int, int]]], numbers: np.ndarray, min_score: float):
+    """(item, score, equal words, first word, last word) of items in one document, around its seeds."""
     for item, found in sorted(hits.items()):
         words = items.words[item]
+        different = np.unique(words)
         best = None
         for a, b in _regions(found, len(words), len(numbers)):
             for begin in range(a, b, 64 * len(words)):  # a long span, in overlapping parts
                 part = numbers[begin:min(b, begin + 66 * len(words))]
+                # an alignment that scores enough has this many equal words at least
+                if np.isin(part, different).sum() < min_score * len(words):
+                    continue
                 score, matches, first, last = smith_waterman(words, part)
                 if best is None or score > best[0]:
                     best = score, matches, begin + first, begin + last
+        if best is None:
+            continue
         score = best[0] / (MATCH * len(words))
         if score >= min_score:
             yield item, score, *best[1:]
@@ -244,9 +283,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
         def run(batches, items=items, seeds=seeds):
             own = items.value
             for rows in batches:
-                found = [(doc_id, own.ids[item], *rest)
-                         for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())
-                         for item, *rest in align(own, seeds.value, own.numbered(text), min_score)]
+                ids = rows.column(0).to_pylist()
+                found = [(ids[doc], own.ids[item], *rest) for doc, item, *rest in found_in(
+                    own, seeds.value, rows.column(1).to_pylist(), min_score)]
                 if found:
                     yield batch(_FOUND, **dict(zip(_FOUND.names, zip(*found))))
 
@@ -266,9 +305,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float
         def run(batches, items=items, seeds=seeds):
             own = items.value
             for rows in batches:
-                yield rows.filter(pa.array(
-                    [not any(True for _ in align(own, seeds.value, own.numbered(text), min_score))
-                     for text in rows.column(at).cast(pa.string()).to_pylist()], pa.bool_()))
+                texts = rows.column(at).cast(pa.string()).to_pylist()
+                gone = {doc for doc, *_ in found_in(own, seeds.value, texts, min_score)}
+                yield rows.filter(pa.array([i not in gone for i in range(len(texts))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
